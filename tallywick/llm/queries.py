@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywick.llm import ordinal_quality
+from tallywick.llm import ngram_join, ordinal_quality
 from tallywick.session import table
 
 #: Grade (2: good) and least probability of it at which a document is selected.
 GOOD, MIN_TAIL = 2, 0.5
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its near-duplicate class: five-word grams, Jaccard 0.8 or more."""
+    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the ordinal classifier selects, with their expected grade and tail probability."""
     docs = table(spark, sf_dir, "documents")
@@ -23,7 +28,7 @@ def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_ordinal_quality,)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op7_ordinal_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
