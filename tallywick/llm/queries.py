@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywick.llm import ngram_join, ordinal_quality
+from tallywick.llm import decontaminate, mixture, ngram_join, ordinal_quality
 from tallywick.session import table
 
 #: Grade (2: good) and least probability of it at which a document is selected.
 GOOD, MIN_TAIL = 2, 0.5
+#: Share of all tokens that the mixture keeps.
+KEEP_SHARE = 0.8
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +29,57 @@ def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.filter("keep").select("doc_id", F.round("expected_grade", 6).alias("expected_grade"), F.round("tail_probability", 6).alias("tail_probability"), "keep")
 
 
+def mixture_dims() -> dict[str, Column]:
+    return {"source": F.col("source"), "lang": F.col("lang"), "topic": mixture.text_topic()}
+
+
+def op8_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents drawn after raking token weights to source, language and topic marginals."""
+    docs = table(spark, sf_dir, "documents")
+    drawn = mixture.mix(docs, mixture_dims(), mixture.word_count(), keep_share=KEEP_SHARE)
+    return drawn.select("doc_id", "source", "lang", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"))
+
+
+def _op8_sql() -> str:
+    """The same raking, unrolled round by round, with c from the sorted cells in closed form."""
+    dims, steps, last = ("source", "lang", "topic"), [], "r0"
+    for i in range(1, 8 * 3 + 1):
+        d = dims[(i - 1) % 3]
+        steps.append(f"r{i} AS MATERIALIZED (SELECT source, lang, topic, tokens, t_source, t_lang, t_topic, coalesce(raked * t_{d} / nullif(sum(raked) OVER (PARTITION BY {d}), 0), 0) AS raked FROM {last})")
+        last = f"r{i}"
+    shares = ", ".join(f"m_{d} AS (SELECT {d}, power(sum(tokens)::DOUBLE, 0.5) / sum(power(sum(tokens)::DOUBLE, 0.5)) OVER () AS t_{d} FROM cells GROUP BY {d})" for d in dims)
+    return f"""
+WITH keyed AS (
+  SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
+    CASE WHEN contains(coalesce(text, ''), ' | ') THEN 'table'
+         WHEN regexp_matches(coalesce(text, ''), '[%$#&*]{{3}}') THEN 'symbols'
+         WHEN length(coalesce(text, '')) < 1000 THEN 'short prose'
+         WHEN length(coalesce(text, '')) < 5000 THEN 'prose' ELSE 'long prose' END AS topic,
+    CASE WHEN trim(coalesce(text, '')) = '' THEN 0 ELSE len(string_split_regex(trim(text), '[ \n\t\r]+')) END AS tokens
+  FROM documents),
+cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM keyed GROUP BY ALL),
+{shares},
+r0 AS MATERIALIZED (SELECT c.*, t_source, t_lang, t_topic, tokens / (SELECT sum(tokens) FROM cells)::DOUBLE AS raked
+  FROM cells c JOIN m_source USING (source) JOIN m_lang USING (lang) JOIN m_topic USING (topic)),
+{', '.join(steps)},
+w AS MATERIALIZED (SELECT source, lang, topic, tokens, coalesce(raked * (SELECT sum(tokens) FROM cells) / nullif(tokens, 0), 1.0) AS weight FROM {last}),
+o AS (SELECT *, sum(tokens) OVER s - tokens AS capped, sum(tokens * weight) OVER (ORDER BY weight, source, lang, topic) AS rest, sum(tokens) OVER () AS every
+      FROM w WINDOW s AS (ORDER BY weight DESC, source DESC, lang DESC, topic DESC)),
+c AS (SELECT min(({KEEP_SHARE} * every - capped) / rest) FILTER (WHERE ({KEEP_SHARE} * every - capped) / rest * weight <= 1) AS c FROM o)
+SELECT k.doc_id, d.source, d.lang, round(w.weight, 6) AS weight, round(least(1.0, w.weight * c.c), 6) AS probability
+FROM keyed k JOIN documents d USING (doc_id) JOIN w USING (source, lang, topic), c
+WHERE ('0x' || substr(md5('17:' || k.doc_id), 1, 13))::UBIGINT::DOUBLE / 4503599627370496.0 < least(1.0, w.weight * c.c)"""
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items whose tokens their tiles cover to half or more."""
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("coverage", F.round("coverage", 6))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op7_ordinal_quality)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op7_ordinal_quality, op8_source_mixture, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_source_mixture": _op8_sql()}
