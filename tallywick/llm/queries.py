@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywick.llm import decontaminate, mixture, ngram_join, ordinal_quality
-from tallywick.session import table
+from tallywick.llm import decontaminate, mixture, ngram_join, ordinal_quality, token_binary
+from tallywick.session import Scratch, table
 
 #: Grade (2: good) and least probability of it at which a document is selected.
 GOOD, MIN_TAIL = 2, 0.5
+#: The id that ends a document in the token files.
+END_ID = 2
 #: Share of all tokens that the mixture keeps.
 KEEP_SHARE = 0.8
 
@@ -21,6 +23,28 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    """The byte-level BPE file; it is installed on every machine, so a task asks for its own place."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _tokenizer() -> token_binary.WordCachedTokenizer:
+    return token_binary.WordCachedTokenizer(tokenizer_path())
+
+
+def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum in the range-coded id files, read back from them."""
+    return token_files(spark, table(spark, sf_dir, "documents"))
+
+
+def token_files(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    path = f"{Scratch(spark, 'token-ids').root}/frames"
+    token_binary.write_ids(docs, path, _tokenizer, END_ID)
+    return token_binary.read_ids(spark.read.parquet(path))
+
+
 def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the ordinal classifier selects, with their expected grade and tail probability."""
     docs = table(spark, sf_dir, "documents")
@@ -50,7 +74,7 @@ def _op8_sql() -> str:
     shares = ", ".join(f"m_{d} AS (SELECT {d}, power(sum(tokens)::DOUBLE, 0.5) / sum(power(sum(tokens)::DOUBLE, 0.5)) OVER () AS t_{d} FROM cells GROUP BY {d})" for d in dims)
     return f"""
 WITH keyed AS (
-  SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
+  SELECT doc_id, source AS source0, lang AS lang0, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
     CASE WHEN contains(coalesce(text, ''), ' | ') THEN 'table'
          WHEN regexp_matches(coalesce(text, ''), '[%$#&*]{{3}}') THEN 'symbols'
          WHEN length(coalesce(text, '')) < 1000 THEN 'short prose'
@@ -65,9 +89,9 @@ r0 AS MATERIALIZED (SELECT c.*, t_source, t_lang, t_topic, tokens / (SELECT sum(
 w AS MATERIALIZED (SELECT source, lang, topic, tokens, coalesce(raked * (SELECT sum(tokens) FROM cells) / nullif(tokens, 0), 1.0) AS weight FROM {last}),
 o AS (SELECT *, sum(tokens) OVER s - tokens AS capped, sum(tokens * weight) OVER (ORDER BY weight, source, lang, topic) AS rest, sum(tokens) OVER () AS every
       FROM w WINDOW s AS (ORDER BY weight DESC, source DESC, lang DESC, topic DESC)),
-c AS (SELECT min(({KEEP_SHARE} * every - capped) / rest) FILTER (WHERE ({KEEP_SHARE} * every - capped) / rest * weight <= 1) AS c FROM o)
-SELECT k.doc_id, d.source, d.lang, round(w.weight, 6) AS weight, round(least(1.0, w.weight * c.c), 6) AS probability
-FROM keyed k JOIN documents d USING (doc_id) JOIN w USING (source, lang, topic), c
+c AS (SELECT ({KEEP_SHARE} * every - capped) / rest AS c FROM o WHERE ({KEEP_SHARE} * every - capped) / rest * weight <= 1 ORDER BY weight DESC, source DESC, lang DESC, topic DESC LIMIT 1)
+SELECT k.doc_id, k.source0 AS source, k.lang0 AS lang, round(w.weight, 6) AS weight, round(least(1.0, w.weight * c.c), 6) AS probability
+FROM keyed k JOIN w USING (source, lang, topic), c
 WHERE ('0x' || substr(md5('17:' || k.doc_id), 1, 13))::UBIGINT::DOUBLE / 4503599627370496.0 < least(1.0, w.weight * c.c)"""
 
 
@@ -78,7 +102,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op7_ordinal_quality, op8_source_mixture, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_token_binary, op7_ordinal_quality, op8_source_mixture, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
