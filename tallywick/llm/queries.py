@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywick.llm import decontaminate, mixture, ngram_join, ordinal_quality, token_binary
+from tallywick.llm import decontaminate, mixture, ngram_join, ordinal_quality, syncmers, token_binary
 from tallywick.session import Scratch, table
 
 #: Grade (2: good) and least probability of it at which a document is selected.
@@ -95,6 +95,11 @@ FROM keyed k JOIN w USING (source, lang, topic), c
 WHERE ('0x' || substr(md5('17:' || k.doc_id), 1, 13))::UBIGINT::DOUBLE / 4503599627370496.0 < least(1.0, w.weight * c.c)"""
 
 
+def op9_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint beside those of its edited text and of the next document."""
+    return syncmers.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the benchmark items whose tokens their tiles cover to half or more."""
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -102,7 +107,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_token_binary, op7_ordinal_quality, op8_source_mixture, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_token_binary, op7_ordinal_quality, op8_source_mixture, op9_syncmer_fingerprints, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
