@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywick.llm import decontaminate, mixture, ngram_join, ordinal_quality, syncmers, token_binary
+from tallywick.llm import chunk_dedup, decontaminate, mixture, ngram_join, ordinal_quality, syncmers, token_binary
 from tallywick.session import Scratch, table
 
 #: Grade (2: good) and least probability of it at which a document is selected.
@@ -45,6 +45,11 @@ def token_files(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return token_binary.read_ids(spark.read.parquet(path))
 
 
+def op5_chunk_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages that documents share with other documents, by content-defined chunks."""
+    return chunk_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the ordinal classifier selects, with their expected grade and tail probability."""
     docs = table(spark, sf_dir, "documents")
@@ -107,7 +112,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_token_binary, op7_ordinal_quality, op8_source_mixture, op9_syncmer_fingerprints, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_token_binary, op5_chunk_repeats, op7_ordinal_quality, op8_source_mixture, op9_syncmer_fingerprints, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
