@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywick.llm import chunk_dedup, decontaminate, mixture, ngram_join, ordinal_quality, syncmers, token_binary
+from tallywick.llm import chat_format, chunk_dedup, decontaminate, license_scan, mixture, ngram_join, ordinal_quality, syncmers, token_binary, warc_derive
 from tallywick.session import Scratch, table
 
 #: Grade (2: good) and least probability of it at which a document is selected.
@@ -23,6 +23,94 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one made of control strings, read back from its formatted string."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.range(2, numPartitions=1).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    made = chat_format.format_conversations(turns.unionByName(control))
+    back = made.select("conv_id", chat_format.read_turns(F.col("formatted")).alias("turns"), chat_format.read_loss_text(F.col("formatted"), F.col("spans")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(every, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+_OP2_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+marked AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+    length(regexp_replace(role, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\\\2\3', 'g')) AS role_chars,
+    length(regexp_replace(text, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\\\2\3', 'g')) AS text_chars FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  (5 + sum(text_chars + CASE WHEN before IS NULL THEN 16 + role_chars WHEN before = role THEN 13 ELSE 21 + role_chars END))::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id"""
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the licence templates that their lines, paragraphs or whole texts match."""
+    return license_scan.license_matches(table(spark, sf_dir, "documents")).withColumn("best_dice", F.round("best_dice", 6))
+
+
+def _op4_sql() -> str:
+    quoted = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in license_scan.TEMPLATES.items())
+    grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    return rf"""
+WITH t AS (SELECT template, {grams} AS g FROM
+    (SELECT template, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM (VALUES {quoted}) v(template, text))),
+s AS (SELECT doc_id, unnest(list_distinct(list_concat(list_concat(string_split(coalesce(text, ''), chr(10)), string_split_regex(coalesce(text, ''), '\n[ \t]*\n')), [coalesce(text, '')]))) AS segment FROM documents),
+b AS (SELECT row_number() OVER () AS k, doc_id, {grams} AS g FROM
+    (SELECT doc_id, string_split(trim(regexp_replace(lower(segment), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM s) WHERE len(w) BETWEEN 2 AND 400),
+d AS (SELECT k, doc_id, template, 2.0 * len(list_intersect(b.g, t.g)) / (len(b.g) + len(t.g)) AS dice FROM b, t
+      WHERE len(b.g) BETWEEN 0.8 / 1.2 * len(t.g) - 1e-9 AND 1.2 / 0.8 * len(t.g) + 1e-9),
+m AS (SELECT doc_id, template, dice FROM d WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY k ORDER BY dice DESC, template) = 1)
+SELECT doc_id, template, count(*) AS n_segments, round(max(dice), 6) AS best_dice FROM m GROUP BY ALL"""
+
+
+def op6_warc_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metadata and conversion record of every page, with digests of header and block."""
+    made = warc_derive.derive(warc_derive.responses_of_pages(table(spark, sf_dir, "pages")), ["page_id"])
+    return made.select("page_id", "kind", "record_id", "refers_to", "target_uri", "source_digest", F.col("n_links").cast("long").alias("n_links"), F.length("block").cast("long").alias("block_chars"), "block_digest", F.sha2("header", 256).alias("header_sha256"))
+
+
+def _op6_sql() -> str:
+    def quoted(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
+    def entities(text: str) -> str:
+        for entity, char in warc_derive.ENTITIES:
+            text = f"replace({text}, {quoted(entity)}, {quoted(char)})"
+        return text
+
+    def urn(text: str) -> str:
+        d = f"md5({text})"
+        return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({d}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
+
+    shown = f"regexp_replace(regexp_replace(regexp_replace(payload, {quoted(warc_derive.HIDDEN)}, '', 'g'), {quoted(warc_derive.BREAKS)}, chr(10), 'g'), {quoted(warc_derive.TAGS)}, '', 'g')"
+    text = f"trim(regexp_replace(regexp_replace(translate({entities(shown)}, chr(9) || chr(13) || chr(12), '   '), '  +', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
+    nl = "chr(13) || chr(10)"
+    folder = r"regexp_extract(target_uri, '^([a-z][a-z0-9+.-]*://[^/?#]*(?:/[^?#]*/|/)?)', 1)"
+    link = f"""CASE WHEN regexp_matches({{x}}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {{x}}
+      WHEN starts_with({{x}}, '/') THEN regexp_extract(target_uri, '^([a-z][a-z0-9+.-]*://[^/?#]*)', 1) || {{x}}
+      ELSE CASE WHEN ends_with({folder}, '/') THEN {folder} ELSE {folder} || '/' END || {{x}} END""".replace("{x}", entities("x"))
+    title = f"trim(regexp_replace({entities(f'regexp_extract(payload, {quoted(warc_derive.TITLE)}, 1)')}, '[ \t\r\n]+', ' ', 'g'))"
+    fields = [("WARC-Type", "kind"), ("WARC-Record-ID", "record_id"), ("WARC-Date", "'1970-01-01T00:00:00Z'"), ("WARC-Refers-To", "refers_to"), ("WARC-Refers-To-Target-URI", "target_uri"), ("WARC-Target-URI", "target_uri"), ("WARC-Source-Payload-Digest", "source_digest"), ("WARC-Source-Status", "'HTTP/1.1 200 OK'"), ("WARC-Source-Content-Type", "'text/html; charset=utf-8'"), ("WARC-Block-Digest", "'sha256:' || sha256(block)"), ("Content-Type", "mime"), ("Content-Length", "strlen(block)::VARCHAR")]
+    header = f"'WARC/1.1' || {nl} || " + " || ".join(f"'{k}: ' || {v} || {nl}" for k, v in fields) + f" || {nl}"
+    return f"""
+WITH r AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload,
+    {urn("concat_ws(chr(10), 'response', page_id::VARCHAR, url)")} AS refers_to FROM pages),
+l AS (SELECT *, 'sha256:' || sha256(payload) AS source_digest, regexp_extract_all(payload, {quoted(warc_derive.LINKS)}, 1) AS links FROM r),
+b AS (SELECT page_id, target_uri, refers_to, source_digest, len(links) AS n_links, 'metadata' AS kind, 'application/warc-fields' AS mime,
+    'title: ' || {title} || {nl} || coalesce(array_to_string(list_transform(links, lambda x: 'outlink: ' || {link} || {nl}), ''), '') AS block FROM l
+  UNION ALL SELECT page_id, target_uri, refers_to, source_digest, len(links), 'conversion', 'text/plain; charset=utf-8', {text} FROM l),
+n AS (SELECT *, {urn("concat_ws(chr(10), kind, refers_to)")} AS record_id FROM b)
+SELECT page_id, kind, record_id, refers_to, target_uri, source_digest, n_links::BIGINT AS n_links, length(block)::BIGINT AS block_chars,
+  'sha256:' || sha256(block) AS block_digest, sha256({header}) AS header_sha256 FROM n"""
+
+
 def tokenizer_path() -> str:
     """The byte-level BPE file; it is installed on every machine, so a task asks for its own place."""
     import public_tokenizers
@@ -112,8 +200,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_token_binary, op5_chunk_repeats, op7_ordinal_quality, op8_source_mixture, op9_syncmer_fingerprints, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_format, op3_token_binary, op4_license_scan, op5_chunk_repeats, op6_warc_derive, op7_ordinal_quality, op8_source_mixture, op9_syncmer_fingerprints, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_source_mixture": _op8_sql()}
+    return {"op2_chat_format": _OP2_SQL, "op4_license_scan": _op4_sql(), "op6_warc_derive": _op6_sql(), "op8_source_mixture": _op8_sql()}
