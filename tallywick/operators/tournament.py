@@ -160,14 +160,14 @@ def bracket_tree(items: DataFrame, rounds: int = 40) -> DataFrame:
     greater one; equal columns give the right one. Result adds parent (pos or null) and depth.
     """
     scratch = Scratch(items.sparkSession, "bracket")
-    level = F.coalesce("col", F.lit(-1))
-    rows = items.withColumn("level", level)
-    games = items.filter(F.col("col").isNotNull()).select("tree", F.col("pos").alias("p"), F.col("col").alias("c"))
-    # a tree's games are one bracket, not the table: the join is within trees, and aggregates at once
-    met = rows.join(games, "tree").filter(F.col("pos") != F.col("p"))
-    left = F.max(F.when((F.col("p") < F.col("pos")) & (F.col("c") >= F.col("level")), F.struct("p", "c")))
-    right = F.min(F.when((F.col("p") > F.col("pos")) & (F.col("c") > F.col("level")), F.struct("p", "c")))
-    near = met.groupBy("tree", "pos").agg(left.alias("l"), right.alias("r"))
+    # every game stands on each level up to its column, so the nearest game of at least or over a
+    # level is the last such row before or after an item on that level: n log n rows, no self join
+    games = items.filter(F.col("col").isNotNull()).select("tree", "pos", F.col("col").alias("c"), F.explode(F.sequence(F.lit(-1), F.col("col").cast("int"))).alias("level"))
+    teams = items.filter(F.col("col").isNull()).select("tree", "pos", F.lit(None).cast(items.schema["col"].dataType).alias("c"), F.lit(-1).alias("level"))
+    here = F.struct(F.col("pos").alias("p"), F.col("c").alias("c"))
+    ahead, behind = (Window.partitionBy("tree", "level").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("pos"), F.col("pos").desc()))
+    near = games.unionByName(teams).select("tree", "level", "pos", "c", F.last(F.when(F.col("c") >= F.col("level"), here), True).over(ahead).alias("l"), F.last(F.when(F.col("c") > F.col("level"), here), True).over(behind).alias("r"))
+    near = near.filter(F.col("level") == F.coalesce("c", F.lit(-1)))
     parent = F.when(F.col("r").isNotNull() & (F.col("l").isNull() | (F.col("r.c") <= F.col("l.c"))), F.col("r.p")).otherwise(F.col("l.p"))
     out = items.join(near.select("tree", "pos", parent.alias("parent")), ["tree", "pos"], "left")
     at = scratch.save(out.select("tree", "pos", F.coalesce("parent", "pos").alias("to"), F.col("parent").isNotNull().cast("int").alias("depth")), "start")
