@@ -14,10 +14,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallywick.operators.ranking import first_per_group
+
 # Entities that plain text resolves, the ampersand last.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
+def first_landed(plan: DataFrame, landed: DataFrame, key: str, place: str, title: str, size: str, least: int) -> DataFrame:
+    """Per key the first candidate title that landed with more than `least` characters, else null (O-07a)."""
+    found = plan.join(landed.filter(F.col(size) > least).select(title), title, "left_semi")
+    return plan.select(key).distinct().join(found.groupBy(key).agg(F.min_by(title, place).alias(title)), key, "left")
+
+
+def pick_version(df: DataFrame, title: str, own: Column, order: str) -> DataFrame:
+    """Of several records of a title the one that bears its own number, else the first (O-07)."""
+    return first_per_group(df, [title], [own.desc(), F.col(order)])
+
+
 def strip_markup(html: Column, scripts: bool = True, comments: bool = True) -> Column:
     """Text without tags, entities resolved, white space single (O-110)."""
     text = F.coalesce(html, F.lit(""))
@@ -196,7 +209,7 @@ def rule_scan(df: DataFrame, key: str, text: str, rules: dict[str, str], before:
 
 def rule_report(hits: DataFrame, group: str, rules: list[str]) -> DataFrame:
     """Hits per group and rule, one column per rule."""
-    return hits.groupBy(group).pivot("rule", rules).agg(F.count("*")).na.fill(0)
+    return hits.groupBy(group).pivot("rule", rules).agg(F.count("snippet")).na.fill(0)
 
 
 def unsafe_markup(html: Column) -> Column:

@@ -98,14 +98,16 @@ def link_extract(spark: SparkSession, d: str) -> DataFrame:
     return X.links(table(spark, d, "pages"), "page_id", "url", "html")
 
 
-@query("SELECT p.page_id, (SELECT count(*) FROM pages q WHERE regexp_extract(q.url, '^([a-z]+://[^/?#]+)', 1) = regexp_extract(p.url, '^([a-z]+://[^/?#]+)', 1) AND q.page_id > p.page_id) > 0 AS followed FROM pages p")
+@query(r"""WITH o AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin FROM pages), x AS (SELECT origin, min(page_id) AS home FROM o GROUP BY 1),
+ l AS (SELECT DISTINCT home, url FROM o JOIN x USING (origin)), c AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY home ORDER BY url) <= 30) SELECT home, p.page_id FROM c JOIN pages p USING (url)""")
 def page_follow(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^([a-z]+://[^/?#]+)", 1).alias("origin"))
-    newest = p.groupBy("origin").agg(F.max("page_id").alias("top"))
-    return p.join(newest, "origin").select("page_id", (F.col("top") > F.col("page_id")).alias("followed"))
+    p = table(spark, d, "pages").select("page_id", "url", F.regexp_extract("url", r"^([a-z]+://[^/?#]+)", 1).alias("origin"))
+    home = p.groupBy("origin").agg(F.min("page_id").alias("home"))
+    index = p.join(home, "origin").select("home", F.col("url").alias("href")).distinct()
+    return X.follow(index, p.select("page_id", "url"), "home", "href", "url", 30).select("home", "page_id")
 
 
-@query(r"SELECT page_id FROM pages WHERE regexp_matches(html, '(?i)<\s*(?:script|iframe)\b|\son[a-z]+\s*=|(?:href|src)\s*=\s*[""'']?\s*javascript:')")
+@query(r"""SELECT page_id FROM pages WHERE regexp_matches(html, '(?i)<\s*(?:script|iframe)\b|\son[a-z]+\s*=|(?:href|src)\s*=\s*["'']?\s*javascript:')""")
 def unsafe_markup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").filter(X.unsafe_markup(F.col("html"))).select("page_id")
 
@@ -114,7 +116,7 @@ def unsafe_markup(spark: SparkSession, d: str) -> DataFrame:
 RULES = {"licence": "(?i)licen[cs]ed? under", "mail": "[a-z0-9._]+@[a-z0-9.]+", "symbols": r"[%$#&*]{3}", "reserved": "All rights reserved"}
 
 
-@query("WITH h AS (" + " UNION ALL ".join(f"SELECT doc_id, source, '{k}' AS rule, text, instr(text, regexp_extract(text, '{v}')) AS at FROM documents WHERE regexp_matches(text, '{v}')" for k, v in RULES.items()) + ") SELECT doc_id, rule, substr(text, greatest(at - 30, 1)::BIGINT, (at - greatest(at - 30, 1) + 40)::BIGINT) AS snippet FROM h")
+@query("WITH h AS (" + " UNION ALL ".join(f"SELECT doc_id, source, '{k}' AS rule, text, instr(text, regexp_extract(text, '{v}')) AS pos FROM documents WHERE regexp_matches(text, '{v}')" for k, v in RULES.items()) + ") SELECT doc_id, rule, substr(text, greatest(pos - 30, 1), pos - greatest(pos - 30, 1) + 40) AS snippet FROM h")
 def rule_scan(spark: SparkSession, d: str) -> DataFrame:
     return X.rule_scan(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", RULES)
 
@@ -145,11 +147,12 @@ def fragment_rows(spark: SparkSession, d: str) -> DataFrame:
 def ordered_title_pick(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select((F.col("doc_id") % 120).alias("slot"), "doc_id", "lang", "n_chars")
     place = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "de", 1).otherwise(2)
-    good = docs.filter("n_chars > 1000").groupBy("slot").agg(F.min_by("doc_id", F.struct(place, "doc_id")).alias("doc_id"))
-    return docs.select("slot").distinct().join(good, "slot", "left")
+    plan = docs.select("slot", (place * 1000000 + F.col("doc_id")).alias("place"), F.col("doc_id").alias("title"))
+    landed = docs.select(F.col("doc_id").alias("title"), F.col("n_chars").alias("size"))
+    return X.first_landed(plan, landed, "slot", "place", "title", "size", 1000).select("slot", F.col("title").alias("doc_id"))
 
 
 @query("SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY substr(text, 1, 20) ORDER BY CASE WHEN doc_id % 10 = length(text) % 10 THEN 0 ELSE 1 END, doc_id) = 1")
 def version_pick(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 20).alias("title"), (F.col("doc_id") % 10 == F.length("text") % 10).alias("own"))
-    return C.first_per_group(docs, ["title"], [F.col("own").desc(), F.col("doc_id")]).select("doc_id")
+    return X.pick_version(docs, "title", F.col("own"), "doc_id").select("doc_id")
