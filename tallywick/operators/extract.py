@@ -96,7 +96,7 @@ def rightmost_number(cells: Column) -> Column:
 
 def score_cell(text: Column) -> Column:
     """Struct of both scores, walk-off and the extra-inning note of a score cell (O-116)."""
-    pattern = r"^\s*(\d+)\s*([xX])?\s*[-−–—ー‐]\s*(\d+)\s*([xX])?\s*(?:[（(]([^）)]*)[）)])?\s*$"
+    pattern = r"^\s*(\d+)\s*([xX])?\s*[-−－–—ー‐]\s*(\d+)\s*([xX])?\s*(?:[（(]([^）)]*)[）)])?\s*$"
     part = [F.regexp_extract(text, pattern, i) for i in range(6)]
     return F.when(part[0] != "", F.struct(part[1].cast("int").alias("a"), part[3].cast("int").alias("b"), ((part[2] != "") | (part[4] != "")).alias("walk_off"), F.when(part[5] != "", part[5]).alias("note")))
 
