@@ -20,7 +20,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     The classifier is fitted on the rated documents that are among docs.
     """
     model = ordinal_quality.fit(docs, table(spark, sf_dir, "labels"), ordinal_quality.rated_grade())
-    return ordinal_quality.score(docs, model, grade=corpus.GOOD, min_tail=corpus.MIN_TAIL).filter("keep").select(docs.columns)
+    return ordinal_quality.selected(docs, model, grade=corpus.GOOD, min_tail=corpus.MIN_TAIL)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by raked and calibrated probabilities."""
-    return mixture.mix(docs, corpus.mixture_dims(), mixture.word_count(), keep_share=corpus.KEEP_SHARE).select(docs.columns)
+    return mixture.drawn(docs, corpus.mixture_dims(), mixture.word_count(), keep_share=corpus.KEEP_SHARE)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

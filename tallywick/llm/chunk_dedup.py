@@ -95,7 +95,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 24) -> DataFrame:
     """Spans that other documents repeat: id, start, end (code points), n_words, n_chunks, n_docs, first_doc.
 
-    n_docs is the most documents that share one of its chunks, first_doc the least id among them.
+    n_docs is the number of documents that share its longest chunk, first_doc the least id of them.
     """
     scratch = Scratch(docs.sparkSession, "chunks")
     chunks = _chunks(docs, id_col, text_col)
@@ -105,7 +105,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # rows of one id with several texts keep apart by the end of the run: chunk numbers repeat there
     run = Window.partitionBy(id_col).orderBy("k", "start", "end")
     runs = places.dropDuplicates([id_col, "k", "start", "end"]).withColumn("run", F.col("k") - F.row_number().over(run))
-    spans = runs.groupBy(id_col, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"), F.max("n_docs").alias("n_docs"), F.min("first_doc").alias("first_doc"))
+    # chunks of a few bytes repeat by chance: the longest chunk speaks for its span
+    size = F.struct(F.col("end") - F.col("start"), -F.col("k"))
+    spans = runs.groupBy(id_col, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"), F.max_by("n_docs", size).alias("n_docs"), F.max_by("first_doc", size).alias("first_doc"))
     return spans.filter(F.col("n_words") >= min_words).drop("run")
 
 
@@ -113,7 +115,10 @@ def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", t
     """docs with those spans cut out of their texts that a document of lesser id holds first."""
     cuts = spans.filter(F.col("first_doc") < F.col(id_col)).groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
     names = docs.columns
-    at = names.index(text_col)
+    at, extra = names.index(text_col), "__cuts"
+    while extra in names:
+        extra += "_"
+    cuts = cuts.withColumnRenamed("__cuts", extra)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -128,4 +133,4 @@ def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", t
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.join(cuts, id_col, "left").select(*names, "__cuts").mapInArrow(apply, docs.schema)
+    return docs.join(cuts, id_col, "left").select(*names, extra).mapInArrow(apply, docs.schema)

@@ -55,7 +55,7 @@ def anchor_words(templates: dict[str, list[str]], threshold: float) -> list[str]
     chosen: set[str] = set()
     for grams in templates.values():
         for word in sorted({w for g in grams for w in g.split(" ")}, key=lambda w: (w in COMMON, w.isdigit(), -len(w), w)):
-            if sum(not chosen & set(g.split(" ")) for g in grams) < threshold / (2 - threshold) * len(grams):
+            if sum(not chosen & set(g.split(" ")) for g in grams) < threshold / (2 - threshold) * len(grams) - 1e-9:
                 break
             chosen.add(word)
     return sorted(chosen)

@@ -9,8 +9,8 @@ reproducible and does not depend on partitioning.
 All work on documents is one pre-aggregating groupBy and one join with the cells; raking runs on the
 cells table as window sums per category. Defined results: a null category is the category "(none)";
 null or empty texts count no tokens; a cell without tokens has the ratio 1; rows with equal ids are
-kept or dropped together; rows with a null id are drawn as one id; other columns pass through, and a
-clash with an output column (topic aside, which the caller names) raises ValueError; an empty table
+kept or dropped together; rows with a null id are drawn as one id; other columns pass through; in
+`mix` an input column named weight or probability is replaced, in `drawn` it stays; an empty table
 gives an empty result.
 """
 
@@ -80,15 +80,32 @@ def calibrate(cells: DataFrame, keep_share: float) -> float:
     return c
 
 
-def mix(docs: DataFrame, dims: dict[str, Column], tokens: Column, id_col: str = "doc_id", keep_share: float = 0.8, tempering: float = 0.5, rounds: int = 8, seed: int = 17) -> DataFrame:
-    """The drawn rows of docs, with weight and probability; dims names a column for each dimension."""
-    if clash := {*OUTPUTS, *(f"__{d}" for d in dims)} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} exist already")
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def _draw(docs: DataFrame, dims: dict[str, Column], tokens: Column, id_col: str, keep_share: float, tempering: float, rounds: int, seed: int) -> tuple[DataFrame, str, str]:
     scratch = Scratch(docs.sparkSession, "mixture")
-    named = {f"__{d}": F.coalesce(c.cast("string"), F.lit("(none)")) for d, c in dims.items()}
+    named = {_free(docs, f"__{d}"): F.coalesce(c.cast("string"), F.lit("(none)")) for d, c in dims.items()}
+    weight, chance = _free(docs, "__weight"), _free(docs, "__chance")
     keyed = docs.withColumns(named)
-    cells = scratch.save(keyed.groupBy(*named).agg(F.sum(tokens).alias("tokens")), "cells")
+    counted = docs.select(*(c.alias(n) for n, c in named.items()), tokens.alias("tokens"))
+    cells = scratch.save(counted.groupBy(*named).agg(F.sum("tokens").alias("tokens")), "cells")
     raked = scratch.save(rake(cells, list(named), tempering, rounds), "raked")
-    chance = raked.select(*named, "weight", F.least(F.lit(1.0), F.col("weight") * F.lit(calibrate(raked, keep_share))).alias("probability"))
+    chances = raked.select(*named, F.col("weight").alias(weight), F.least(F.lit(1.0), F.col("weight") * F.lit(calibrate(raked, keep_share))).alias(chance))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
-    return keyed.join(chance, list(named)).filter(draw < F.col("probability")).select(*docs.columns, *OUTPUTS)
+    return keyed.join(chances, list(named)).filter(draw < F.col(chance)), weight, chance
+
+
+def mix(docs: DataFrame, dims: dict[str, Column], tokens: Column, id_col: str = "doc_id", keep_share: float = 0.8, tempering: float = 0.5, rounds: int = 8, seed: int = 17) -> DataFrame:
+    """The drawn rows of docs, with weight and probability; dims names a column for each dimension."""
+    rows, weight, chance = _draw(docs, dims, tokens, id_col, keep_share, tempering, rounds, seed)
+    return rows.select(*(c for c in docs.columns if c not in OUTPUTS), F.col(weight).alias("weight"), F.col(chance).alias("probability"))
+
+
+def drawn(docs: DataFrame, dims: dict[str, Column], tokens: Column, id_col: str = "doc_id", keep_share: float = 0.8, tempering: float = 0.5, rounds: int = 8, seed: int = 17) -> DataFrame:
+    """The drawn rows of docs as they are."""
+    return _draw(docs, dims, tokens, id_col, keep_share, tempering, rounds, seed)[0].select(docs.columns)

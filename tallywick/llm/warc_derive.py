@@ -8,7 +8,8 @@ and length of their own block. All of it is column expressions; no shuffle is ne
 
 Defined results: null payloads, headers and URIs are empty; an empty payload gives an empty text and
 no links; repeated rows give repeated records with equal ids, as the ids derive from the response's;
-rows keep their other columns in `keep`; an empty table gives no rows. Entities other than the five
+rows keep their other columns in `keep`, but for those with the name of an output column; an empty
+table gives no rows. Entities other than the five
 of XML, nbsp and the numeric apostrophe stay as they are.
 """
 
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BLOCKS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|th|thead|title|tr|ul"
+OUTPUTS = ("kind", "record_id", "refers_to", "target_uri", "source_digest", "n_links", "header", "block", "block_digest")
 #: What a text does not show: comments, scripts and styles with their content.
 HIDDEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
 BREAKS = rf"(?i)</?(?:{_BLOCKS})\b[^>]*>"
@@ -80,9 +82,11 @@ def _record(kind: str, content_type: str, block: Column) -> Column:
 
 def derive(responses: DataFrame, keep: list[str], record_id: str = "record_id", target: str = "target_uri", date: str = "date", http_headers: str = "http_headers", payload: str = "payload") -> DataFrame:
     """Two rows per response: keep, kind, record_id, refers_to, target_uri, source_digest, n_links, header, block, block_digest."""
+    keep = [c for c in keep if c not in OUTPUTS]
+    kept = F.struct(*(F.col(c) for c in keep)) if keep else F.lit(None)
     text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (record_id, target, date, http_headers, payload)}
     rows = responses.select(
-        *keep,
+        kept.alias("kept"),
         text[record_id].alias("record_id"),
         text[target].alias("target"),
         text[date].alias("date"),
@@ -95,10 +99,10 @@ def derive(responses: DataFrame, keep: list[str], record_id: str = "record_id",
     links = F.transform("links", lambda x: F.concat(F.lit("outlink: "), resolve(unescape_entities(x), F.col("target")), F.lit("\r\n")))
     title = F.trim(F.regexp_replace(unescape_entities(F.regexp_extract("payload", TITLE, 1)), "[ \t\r\n]+", " "))
     fields = F.concat(F.lit("title: "), title, F.lit("\r\n"), F.array_join(links, ""))
-    both = rows.select(*keep, F.col("record_id").alias("refers_to"), "record_id", "target", "date", "status", "source_type", "source_digest", F.size("links").alias("n_links"), fields.alias("fields"), plain_text(F.col("payload")).alias("text"))
+    both = rows.select("kept", F.col("record_id").alias("refers_to"), "record_id", "target", "date", "status", "source_type", "source_digest", F.size("links").alias("n_links"), fields.alias("fields"), plain_text(F.col("payload")).alias("text"))
     records = F.array(_record("metadata", "application/warc-fields", F.col("fields")), _record("conversion", "text/plain; charset=utf-8", F.col("text")))
-    out = both.select(*keep, "refers_to", F.col("target").alias("target_uri"), "source_digest", "n_links", F.explode(records).alias("r"))
-    return out.select(*keep, F.col("r.kind").alias("kind"), F.col("r.record_id").alias("record_id"), "refers_to", "target_uri", "source_digest", "n_links", F.col("r.header").alias("header"), F.col("r.block").alias("block"), F.col("r.block_digest").alias("block_digest"))
+    out = both.select("kept", "refers_to", F.col("target").alias("target_uri"), "source_digest", "n_links", F.explode(records).alias("r"))
+    return out.select(*(F.col("kept")[c].alias(c) for c in keep), F.col("r.kind").alias("kind"), F.col("r.record_id").alias("record_id"), "refers_to", "target_uri", "source_digest", "n_links", F.col("r.header").alias("header"), F.col("r.block").alias("block"), F.col("r.block_digest").alias("block_digest"))
 
 
 def responses_of_pages(pages: DataFrame) -> DataFrame:
