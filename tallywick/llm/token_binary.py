@@ -110,7 +110,10 @@ def unpack_frame(frame: bytes) -> tuple[np.ndarray, np.ndarray]:
     for size in sizes:
         payloads.append(frame[at : at + size])
         at += size
-    ids = decode_blocks(payloads, n_ids, block)
+    try:
+        ids = decode_blocks(payloads, n_ids, block)
+    except IndexError as e:  # a damaged payload can run past its end
+        raise ValueError("a block ends early") from e
     for k, crc in enumerate(sums):
         if zlib.crc32(ids[k * block : (k + 1) * block].astype("<u4").tobytes()) != crc:
             raise ValueError(f"block {k} fails its checksum")
