@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tallywick.operators import joins, ranking, search
 from tallywick.plans import bindings as B
 from tallywick.plans.catalog import query
-from tallywick.session import table
+from tallywick.session import Scratch, table
+from tallywick.sources import files
 
 
 @query("SELECT n_nationkey, n_name FROM nation")
@@ -160,3 +161,19 @@ def message_listing(spark: SparkSession, d: str) -> DataFrame:
     region = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("rk"), "r_name")
     nation = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("nk"), "n_name")
     return joins.two_refs(c, region, nation, ("rk", "nk")).orderBy(F.col("at").desc_nulls_last(), "conv_id", "turn").limit(200).select("conv_id", "turn", "r_name", "n_name")
+
+
+@query(B.cte("ent") + "SELECT entity, name, balance FROM ent WHERE district = 7")
+def partition_read(spark: SparkSession, d: str) -> DataFrame:
+    """One district of a table partitioned by district; no other partition is opened."""
+    path = f"{Scratch(spark, 'entities').root}/by-district"
+    files.write_partitions(B.entities(spark, d), path, "district", ["entity"])
+    return files.read_partition(spark, path, "district", 7).select("entity", "name", "balance")
+
+
+@query("SELECT page_id, octet_length(encode(html)) AS bytes, regexp_matches(html, '(?is)<meta[^>]*charset') AS named FROM pages")
+def landed_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Landed bodies decoded by the charset that their own head names."""
+    raw = table(spark, d, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"), F.lit(None).cast("string").alias("header"))
+    decoded = files.decode_pages(raw, "content", "header")
+    return decoded.select("page_id", F.octet_length("text").alias("bytes"), F.col("text").rlike("(?is)<meta[^>]*charset").alias("named"))

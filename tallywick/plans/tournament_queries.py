@@ -186,3 +186,18 @@ def short_name_aliases(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
     entries = c.select(F.col("c_mktsegment").alias("tournament"), F.col("c_custkey").alias("team"), F.concat(F.lit("T"), (F.col("c_custkey") % 50).cast("string")).alias("short"), F.array(F.concat(F.lit("R"), F.col("c_nationkey").cast("string"))).alias("regions"))
     return T.short_name_aliases(entries, "tournament", "team", "short", "regions")
+
+
+@query(B.cte("app", "brk", "ent") + """, cur AS (SELECT entity FROM app WHERE year = (SELECT max(year) FROM app) AND season = 'summer'), g AS (SELECT * FROM brk WHERE round <= 4),
+ s AS (SELECT team, count(*) FILTER (WHERE won) AS wins FROM (SELECT winner AS team, true AS won FROM g UNION ALL SELECT loser, false FROM g) GROUP BY 1), dead AS (SELECT loser AS team FROM g)
+ SELECT entity, name, entity NOT IN (SELECT team FROM dead) AS alive, coalesce(wins, 0) AS wins FROM cur JOIN ent USING (entity) LEFT JOIN s ON team = entity ORDER BY alive DESC, wins DESC, name, entity LIMIT 100""")
+def season_participants(spark: SparkSession, d: str) -> DataFrame:
+    """Participants of the newest summer with their live status, the living and winning first."""
+    app = B.appearances(spark, d)
+    newest = app.agg(F.max("year").alias("year"))
+    now = app.filter("season = 'summer'").join(F.broadcast(newest), "year", "left_semi").select("entity")
+    g = B.bracket_games(spark, d).filter("round <= 4")
+    status = T.live_status(g, T.alive_teams(teams(spark, d), g)).select(F.col("team").alias("entity"), "alive", "wins")
+    rows = now.join(B.entities(spark, d).select("entity", "name"), "entity").join(status, "entity", "left")
+    rows = rows.select("entity", "name", F.coalesce("alive", F.lit(False)).alias("alive"), F.coalesce("wins", F.lit(0)).alias("wins"))
+    return ranking.top_n(rows, [F.col("alive").desc(), F.col("wins").desc(), F.col("name"), F.col("entity")], 100)
