@@ -41,6 +41,8 @@ def depth_to_final(games: DataFrame, terminals: dict[str, int], label: str = "la
     pointers, so they have no cycles; they double until all have reached their end.
     """
     scratch = Scratch(games.sparkSession, "depth")
+    # the games are read by every step below: computed once
+    games = scratch.save(games, "games")
     sides = games.select("tournament", "ord", F.explode(F.array("winner", "loser")).alias("team"))
     following = sides.withColumn("next", F.lead("ord").over(Window.partitionBy("tournament", "team").orderBy("ord")))
     own = F.lit(None).cast("int")
