@@ -90,7 +90,7 @@ def _op6_sql() -> str:
         return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({d}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
 
     shown = f"regexp_replace(regexp_replace(regexp_replace(payload, {quoted(warc_derive.HIDDEN)}, '', 'g'), {quoted(warc_derive.BREAKS)}, chr(10), 'g'), {quoted(warc_derive.TAGS)}, '', 'g')"
-    text = f"trim(regexp_replace(regexp_replace(translate({entities(shown)}, chr(9) || chr(13) || chr(12), '   '), '  +', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
+    text = f"trim(regexp_replace(regexp_replace({entities(shown)}, {quoted(warc_derive.BLANKS)}, ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
     nl = "chr(13) || chr(10)"
     folder = r"regexp_extract(target_uri, '^([a-z][a-z0-9+.-]*://[^/?#]*(?:/[^?#]*/|/)?)', 1)"
     link = f"""CASE WHEN regexp_matches({{x}}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {{x}}

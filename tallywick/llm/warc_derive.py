@@ -24,6 +24,7 @@ OUTPUTS = ("kind", "record_id", "refers_to", "target_uri", "source_digest", "n_l
 HIDDEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
 BREAKS = rf"(?i)</?(?:{_BLOCKS})\b[^>]*>"
 TAGS = r"(?i)</?[a-z][^>]*>|<![^>]*>"
+BLANKS = r"[ \t\r\f]{2,}|[\t\r\f]"
 LINKS = r"(?i)<a\s(?:[^>]*?\s)?href=\"([^\"]*)\""
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
@@ -38,7 +39,7 @@ def unescape_entities(text: Column) -> Column:
 def plain_text(html: Column) -> Column:
     """Visible text: block elements break lines, runs of blanks are one, empty lines go."""
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, ""), BREAKS, "\n"), TAGS, "")
-    text = F.regexp_replace(F.translate(unescape_entities(text), "\t\r\f", "   "), "  +", " ")
+    text = F.regexp_replace(unescape_entities(text), BLANKS, " ")
     return F.trim(F.regexp_replace(text, " ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
