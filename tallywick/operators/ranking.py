@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywick.session import Scratch
+
 
 def tied_rank(df: DataFrame, value: str, name: str = "rank", wide: bool = False, cuts: int = 64) -> DataFrame:
     """Competition rank (1, 2, 2, 4) by value, descending (O-69).
@@ -13,6 +15,8 @@ def tied_rank(df: DataFrame, value: str, name: str = "rank", wide: bool = False,
     distinct values are few (counts, years); `wide` is for metrics with as many values as rows:
     the histogram is cut into value ranges, ranked inside them, and offset by the ranges above.
     """
+    if wide:  # read by the cuts, the histogram and the join: computed once
+        df = Scratch(df.sparkSession, "ranked").save(df, "rows")
     counts = df.groupBy(value).agg(F.count("*").alias("n"))
     better = Window.orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, -1)
     if not wide:
