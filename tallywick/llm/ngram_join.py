@@ -12,9 +12,13 @@ can still join different components are found exactly: the texts of those bucket
 prefix of their grams in ascending order of frequency, which every pair at the threshold must share
 (prefix filtering), and verified. Classes are the connected components of all verified links.
 
+The links among texts of large buckets are counted, not listed. Linked texts have one component, so
+the texts of a component are dealt to blocks, every two blocks meet in one task, and that task compares
+all their pairs on full gram sets and gives out one number per text; the numbers of a text are summed.
+
 Result, one row per document: id, class_id (least id of its class), n_copies (documents with the same
-word sequence, itself included) and n_links (verified links of its text to other texts; texts of
-large buckets are verified against hubs and across components, not against each other).
+word sequence, itself included) and n_links (other texts whose similarity to its text reaches the
+threshold, each counted once).
 
 Defined results: null, empty or blank texts have no grams, are never linked and form their own
 classes; texts of fewer than n words have one gram, all their words; ids that repeat with one text
@@ -39,6 +43,12 @@ from tallywick.llm.textcore import WordHasher, gram_hashes, mix, slices, texts
 from tallywick.session import Scratch
 
 
+#: Most texts (on average) and grams of a block; two blocks meet in a task.
+BLOCK_TEXTS, BLOCK_GRAMS = 256, 1 << 20
+#: Gram columns that a task compares at once.
+WIDTH = 4096
+
+
 def plan_bands(threshold: float, recall: float, most: int = 160) -> tuple[int, int]:
     """(bands, rows): the most selective rows whose bands reach the recall within `most` hashes.
 
@@ -162,8 +172,57 @@ def _crossing(mixed: DataFrame, grams: DataFrame, threshold: float) -> DataFrame
     return met.select(F.col("digest").alias("a"), "b").distinct()
 
 
-def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9995, small: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents with their text's digest, class texts, verified links between class texts)."""
+def common_grams(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Numbers of common grams of the sets at `left` (rows) with those at `right` (columns)."""
+    of = np.repeat(np.arange(len(sets)), [len(g) for g in sets])
+    _, at, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    more = held[at] > 1  # grams of one set only are common to no pair
+    of, at = of[more], (np.cumsum(held > 1) - 1)[at[more]]
+    order = np.argsort(at, kind="stable")
+    of, at = of[order], at[order]
+    both = np.zeros((len(left), len(right)), np.int64)
+    for start in range(0, int(at[-1]) + 1 if len(at) else 0, WIDTH):
+        a, b = np.searchsorted(at, [start, start + WIDTH])
+        holds = np.zeros((len(sets), WIDTH), np.float32)
+        holds[of[a:b], at[a:b] - start] = 1
+        both += (holds[left] @ holds[right].T).astype(np.int64)
+    return both
+
+
+def _crowd_links(crowd: DataFrame, grams: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """digest and n_links: the links of every text of the crowd (digest, n_grams) to others of it."""
+
+    def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        sets = [np.frombuffer(g.as_buffer(), np.uint64) for g in table.column("grams")]
+        sizes, block = np.array([len(g) for g in sets]), table.column("block").to_numpy()
+        left, right = (np.flatnonzero(block == k.as_py()) for k in key[1:])
+        n_links = np.zeros(len(sets), np.int64)
+        if len(left) and len(right):
+            both = common_grams(sets, left, right)
+            linked = both / (sizes[left][:, None] + sizes[right] - both) >= threshold
+            if key[1] == key[2]:
+                np.fill_diagonal(linked, False)
+                n_links[left] = linked.sum(axis=1)
+            else:
+                n_links[left], n_links[right] = linked.sum(axis=1), linked.sum(axis=0)
+        return pa.table({"digest": table.column("digest"), "n_links": pa.array(n_links)}).filter(pa.array(n_links > 0))
+
+    rows = crowd.join(labels.select(F.col("node").alias("digest"), "label"), "digest")
+    blocks = rows.groupBy("label").agg(F.count("*").alias("n"), F.sum("n_grams").alias("g")).filter("n > 1")
+    blocks = blocks.select("label", F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("g") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, "label").select("digest", "label", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int").alias("block"), "blocks").join(grams, "digest")
+    meet = dealt.select("digest", "label", "block", "grams", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    meet = meet.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", "grams")
+    return meet.groupBy("label", "i", "j").applyInArrow(count, "digest binary, n_links long").groupBy("digest").agg(F.sum("n_links").alias("n_links"))
+
+
+def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9995, small: int = 16) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents with their text's digest, class texts, verified links between class texts, crowd, gram sets).
+
+    The links make all components. The crowd (digest, n_grams) are the texts of large buckets, of whose
+    links to each other the links hold a part only; their gram sets are among the gram sets.
+    """
     scratch = Scratch(docs.sparkSession, "ngram-join")
     bands, rows = plan_bands(threshold, recall)
     signed = scratch.save(_signatures(docs, id_col, text_col, n, bands, rows), "signatures")
@@ -178,7 +237,8 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = few.unionByName(hubs).filter(_near("x.n_grams", "y.n_grams", threshold)).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
     pairs = scratch.save(pairs, "candidates")
     large = held.filter(F.col("n") > small).select("bucket", "digest")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).union(large.select("digest")).distinct().join(reps.select("digest", "rep"), "digest")
+    crowd = scratch.save(held.filter(F.col("n") > small).select("digest", "n_grams").distinct(), "crowd")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).union(crowd.select("digest")).distinct().join(reps.select("digest", "rep"), "digest")
     grams = scratch.save(_gram_sets(docs, wanted, id_col, text_col, n), "grams")
     links = scratch.save(_verify(pairs, grams, threshold), "links")
     labels = connected_components(links.select("a", "b"), scratch)
@@ -188,15 +248,18 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not mixed.isEmpty():
         more = _crossing(mixed, grams, threshold).join(pairs, ["a", "b"], "left_anti")
         links = links.unionByName(scratch.save(_verify(more, grams, threshold), "crossing"))
-    return members, reps, links
+    return members, reps, links, crowd, grams
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, **options) -> DataFrame:
     """One row per document: id, class_id, n_copies, n_links (see the module)."""
-    members, reps, links = ngram_links(docs, id_col, text_col, **options)
+    members, reps, links, crowd, grams = ngram_links(docs, id_col, text_col, threshold=threshold, **options)
     scratch = Scratch(docs.sparkSession, "ngram-classes")
     labels = connected_components(links.select("a", "b"), scratch)
-    degree = links.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count("*").alias("n_links"))
+    inside = [crowd.select(F.col("digest").alias(c), F.lit(True).alias(f"c{c}")) for c in "ab"]
+    others = links.join(inside[0], "a", "left").join(inside[1], "b", "left").filter("ca is null or cb is null")
+    degree = others.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count("*").alias("n_links"))
+    degree = degree.unionByName(_crowd_links(crowd, grams, labels, threshold)).groupBy("digest").agg(F.sum("n_links").alias("n_links"))
     named = reps.select("digest", "rep", "n_copies").join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").join(degree, "digest", "left")
     named = scratch.save(named.select("digest", F.coalesce("label", "digest").alias("label"), "rep", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named")
     least = named.groupBy("label").agg(F.min("rep").alias("class_id"))

@@ -55,6 +55,18 @@ def test_classes_equal_brute_force(make, groups, size, edits):
     assert got == brute_classes(rows)
 
 
+@pytest.mark.parametrize(("size", "block"), [(150, 256), (150, 40)])
+def test_links_equal_brute_force(make, monkeypatch, size, block):
+    """Groups far larger than a small bucket: every link of every text counts once."""
+    monkeypatch.setattr(J, "BLOCK_TEXTS", block)
+    monkeypatch.setattr(J, "WIDTH", 64)
+    rows = corpus(size, 1, size, 3) + [(1000 + k, t) for k, t in corpus(7, 3, 5, 1)]
+    sets = {" ".join(t.split()): grams(t) for _, t in rows}
+    want = {k: sum(len(sets[t] & g) / len(sets[t] | g) >= 0.8 for x, g in sets.items() if x != t) for k, t in rows}
+    got = {r.doc_id: r.n_links for r in J.ngram_jaccard_join(make(rows), recall=0.99999).collect()}
+    assert got == want and max(want.values()) > 26
+
+
 def test_edge_rows(make):
     long = " ".join(f"w{i}" for i in range(200_000))
     rows = [(1, None), (2, ""), (3, "  \n"), (4, "a b"), (5, "A  b"), (6, long), (7, long + " x"), (8, "a b c d e"), (8, "a b c d e"), (9, "f g h i j"), (None, "a b")]
