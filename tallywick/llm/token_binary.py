@@ -23,6 +23,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import batched, islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,8 @@ class WordCachedTokenizer:
 
     The pre-tokenizer never joins what single blanks or line ends part, except that a blank belongs
     to the word after it; so a text without other or adjacent white space is the concatenation of
-    its words' ids. Other texts go through the tokenizer whole. The word table is bounded.
+    its words' ids. Other texts go through the tokenizer whole. The word table is bounded: where the words
+    of a call exceed it, the call has a table of its own, of which the other keeps what it can hold.
     """
 
     def __init__(self, path: str, limit: int = 400_000):
@@ -60,12 +62,10 @@ class WordCachedTokenizer:
     def _ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > self.limit:
-            self.known.clear()
-        new = list(words)
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[w] = array("I", e.ids).tobytes()
+    def _learn(self, words: set[str], table: dict[str, bytes]) -> None:
+        for new in batched(words, self.limit):
+            for w, e in zip(new, self.tokenizer.encode_batch(list(new), add_special_tokens=False), strict=True):
+                table[w] = array("I", e.ids).tobytes()
 
     def encode(self, batch: list[str]) -> list[bytes]:
         split: list[list[str] | None] = []
@@ -80,11 +80,12 @@ class WordCachedTokenizer:
             split.append(words[1:] if parts == len(text.split()) else None)
         known = self.known
         missing = {w for words in split if words for w in words if w not in known}
-        if missing:
-            before = len(known)
-            self._learn(missing)
-            if len(known) < before + len(missing):  # emptied: what the other texts need is gone
-                self._learn({w for words in split if words for w in words} - missing)
+        if len(self.known) + len(missing) > self.limit:
+            known = {w: known[w] for words in split if words for w in words if w in known}
+            self._learn(missing, known)
+            self.known = dict(islice(known.items(), self.limit))
+        elif missing:
+            self._learn(missing, known)
         return [self._ids(t) if words is None else b"".join([known[w] for w in words]) for t, words in zip(batch, split, strict=True)]
 
 

@@ -81,6 +81,14 @@ def test_tokenizer_equals_whole_text_calls():
     assert t.encode(odd) == [t._ids(x) for x in odd]
 
 
+@pytest.mark.parametrize("limit", [1, 3, 8])
+def test_tokenizer_with_more_words_than_its_table(limit):
+    t = token_binary.WordCachedTokenizer(queries.tokenizer_path(), limit=limit)
+    for batch in (["a b", "c"], ["a d e", "f g h a", "b"], ["a", "x\ty"], [LONG[:5000], "a h"], []):
+        assert t.encode(batch) == [t._ids(x) for x in batch]
+        assert len(t.known) <= limit
+
+
 @pytest.mark.parametrize("partitions", [1, 3])
 def test_token_files(spark, make, tmp_path, partitions):
     rows = [(7, "b a"), (3, None), (5, ""), (5, "x"), (None, "n"), (9, LONG[:200_000]), (1, "a\nb")]
