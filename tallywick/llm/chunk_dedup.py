@@ -4,8 +4,11 @@ A gear hash rolls over the UTF-8 bytes (the last 32 decide); a chunk ends where
 zero, on a character boundary, or at `most` bytes. Cuts depend on the bytes around them alone, so an
 insertion moves the chunks after it without changing them. Chunks are deduplicated by their 128-bit
 digest: the documents of a digest are counted with partial aggregation first, and chunks that more
-than one document holds join back to their places. Runs of such chunks in a document are its
-repeated spans; a span counts from `min_words` words in whole chunks on.
+than one document holds join back to their places. Runs of such chunks in a document are repeated
+passages, which count from `min_words` words in whole chunks on. A run is split into spans by whether
+a document of lesser id holds the chunks: a stretch of `min_words` words that one does is a span of its
+own, and chunks that this document is the first to hold are never in it. Shorter stretches (chunks of
+a few bytes repeat by chance) stay with the chunks around them, which the document keeps.
 
 A chunk at either end of a repeat is cut differently, so a span is on average two thirds of a chunk
 to two chunks shorter than the repeat: with chunks of 32 bytes, 24 words in whole chunks stand for
@@ -95,7 +98,9 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 24) -> DataFrame:
     """Spans that other documents repeat: id, start, end (code points), n_words, n_chunks, n_docs, first_doc.
 
-    n_docs is the number of documents that share its longest chunk, first_doc the least id of them.
+    n_docs is the number of documents that share its longest chunk, first_doc the least id of them;
+    where first_doc is a lesser id than id, every chunk of the span has a holder of lesser id. Words
+    are counted over the spans of a run: where a run is split, n_words of a span can be below min_words.
     """
     scratch = Scratch(docs.sparkSession, "chunks")
     chunks = _chunks(docs, id_col, text_col)
@@ -105,10 +110,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # rows of one id with several texts keep apart by the end of the run: chunk numbers repeat there
     run = Window.partitionBy(id_col).orderBy("k", "start", "end")
     runs = places.dropDuplicates([id_col, "k", "start", "end"]).withColumn("run", F.col("k") - F.row_number().over(run))
-    # chunks of a few bytes repeat by chance: the longest chunk speaks for its span
-    size = F.struct(F.col("end") - F.col("start"), -F.col("k"))
-    spans = runs.groupBy(id_col, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"), F.max_by("n_docs", size).alias("n_docs"), F.max_by("first_doc", size).alias("first_doc"))
-    return spans.filter(F.col("n_words") >= min_words).drop("run")
+    order = ["k", "start", "end"]
+    runs = runs.withColumn("run_words", F.sum("words").over(Window.partitionBy(id_col, "run"))).withColumn("earlier", F.col("first_doc") < F.col(id_col))
+    runs = runs.withColumn("stretch", F.col("k") - F.row_number().over(Window.partitionBy(id_col, "run", "earlier").orderBy(*order)))
+    runs = runs.withColumn("cut", F.col("earlier") & (F.sum("words").over(Window.partitionBy(id_col, "run", "earlier", "stretch")) >= min_words))
+    runs = runs.withColumn("stretch", F.col("k") - F.row_number().over(Window.partitionBy(id_col, "run", "cut").orderBy(*order)))
+    # the longest chunk speaks for its span, in a span that is kept the longest that has no earlier holder
+    size = F.struct(F.col("cut") | ~F.col("earlier"), F.col("end") - F.col("start"), -F.col("k"))
+    spans = runs.filter(F.col("run_words") >= min_words).groupBy(id_col, "run", "cut", "stretch").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"), F.max_by("n_docs", size).alias("n_docs"), F.max_by("first_doc", size).alias("first_doc"), F.max(F.col("end") - F.col("start")).alias("longest"))
+    # what a cut leaves of a run is a span where it has the words, or a chunk too long for chance
+    return spans.filter(F.col("cut") | (F.col("n_words") >= min_words) | (F.col("longest") >= 1 << MEAN_BITS)).drop("run", "cut", "stretch", "longest")
 
 
 def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

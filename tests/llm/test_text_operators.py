@@ -170,6 +170,22 @@ def test_repeats(make):
     assert chunk_dedup.repeated_spans(make([])).count() == 0
 
 
+def test_repeats_of_copies_that_share_a_passage(make):
+    """Copies 7 and 8 hold a passage of document 3: 7 loses the passage alone, 8 loses everything."""
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(n))
+    for size in (400, 60):
+        head, passage, tail = text(90), text(size), text(90)
+        rows = [(3, f"{text(50)} {passage} {text(50)}"), (7, f"{head} {passage} {tail}"), (8, f"{head} {passage} {tail}"), (9, text(80))]
+        texts, docs = dict(rows), make(rows)
+        spans = chunk_dedup.repeated_spans(docs)
+        of_7 = sorted((s.start, s.first_doc, s.n_docs) for s in spans.filter("doc_id = 7").collect())
+        assert [x[1:] for x in of_7] == [(7, 2), (3, 3), (7, 2)]
+        left = {r.doc_id: r.text for r in chunk_dedup.without_repeats(docs, spans).collect()}
+        assert left[3] == texts[3] and left[9] == texts[9] and left[8] == ""
+        assert left[7].startswith(head) and left[7].endswith(tail) and len(left[7]) < len(texts[7]) - 4 * size // 2
+
+
 # WARC
 
 
