@@ -118,8 +118,8 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _tokenizer() -> token_binary.WordCachedTokenizer:
-    return token_binary.WordCachedTokenizer(tokenizer_path())
+def _tokenizer() -> token_binary.PieceTokenizer:
+    return token_binary.tokenizer_of(tokenizer_path())
 
 
 def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,16 +51,31 @@ def test_chat_edges(spark):
 @given(st.lists(st.integers(0, range_coder.MAX_ID) | st.integers(0, 3), max_size=300), st.sampled_from([1, 7, 64]))
 def test_range_coder_round_trip(ids, block):
     ids = np.array(ids, np.uint32)
-    payloads = range_coder.encode_blocks(ids, block)
-    assert range_coder.decode_blocks(payloads, len(ids), block).tolist() == ids.tolist()
-    if len(ids) > block:  # a block decodes without the others
-        assert range_coder.decode_blocks(payloads[1:2], min(block, len(ids) - block), min(block, len(ids) - block) if len(ids) < block else block).tolist() == ids[block : 2 * block].tolist() or len(ids) < 2 * block
+    model, payloads = range_coder.encode_blocks(ids, block)
+    assert range_coder.decode_blocks(model, payloads, len(ids), block).tolist() == ids.tolist()
+    if len(ids) >= 2 * block:  # a block decodes without the others
+        assert range_coder.decode_blocks(model, payloads[1:2], block, block).tolist() == ids[block : 2 * block].tolist()
+
+
+def test_range_coder_round_trip_over_rebuilt_tables():
+    rng = np.random.default_rng(3)
+    ids = np.where(rng.random(9000) < 0.7, rng.integers(0, 90, 9000), rng.integers(0, range_coder.MAX_ID + 1, 9000)).astype(np.uint32)
+    model, payloads = range_coder.encode_blocks(ids, 2048)
+    assert range_coder.decode_blocks(model, payloads, len(ids), 2048).tolist() == ids.tolist()
 
 
 def test_range_coder_learns():
     rng = np.random.default_rng(1)
     ids = np.tile(rng.integers(0, 50_000, 64), 64).astype(np.uint32)
-    assert sum(map(len, range_coder.encode_blocks(ids, 4096))) < len(ids) / 2
+    assert sum(map(len, range_coder.encode_blocks(ids, 4096)[1])) < len(ids) / 2
+
+
+def test_frames_are_smaller_than_deflated_blocks(spark):
+    t = queries._tokenizer()
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    ids = np.frombuffer(b"".join(t.encode(r.text or "") for r in rows), "<u4")
+    size, block = len(token_binary.pack_frame(ids, np.array([len(ids)]))), token_binary.BLOCK
+    assert size < sum(len(zlib.compress(ids[k : k + block].astype("<u2").tobytes())) for k in range(0, len(ids), block))
 
 
 def test_frames_detect_damage():
@@ -68,25 +83,55 @@ def test_frames_detect_damage():
     frame = bytearray(token_binary.pack_frame(ids, np.array([2000, 3000])))
     back, lengths = token_binary.unpack_frame(bytes(frame))
     assert back.tolist() == ids.tolist() and lengths.tolist() == [2000, 3000]
-    frame[-40] ^= 1
-    with pytest.raises(ValueError):
-        token_binary.unpack_frame(bytes(frame))
+    for at in (-40, 2, 40, 100, len(frame) // 2):
+        frame[at] ^= 1
+        with pytest.raises(ValueError):
+            token_binary.unpack_frame(bytes(frame))
+        frame[at] ^= 1
+    for size in (0, 10, 60, len(frame) - 40):
+        with pytest.raises(ValueError):
+            token_binary.unpack_frame(bytes(frame[:size]))
 
 
-def test_tokenizer_equals_whole_text_calls():
-    t = queries._tokenizer()
+def untouched():
+    """The library's tokenizer of the same file, as it is."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(queries.tokenizer_path())
+
+
+def dealt(tokenizer, text):
+    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_tokenizer_equals_the_librarys():
+    t, plain = token_binary.PieceTokenizer(queries.tokenizer_path()), untouched()
     rng = random.Random(5)
-    odd = ["a  b", " x", "x ", "\n\nx", "a\tb", "it's we'll\n 5%", "", " ", "\n", "é x", "<|endoftext|> a", "a\x85b", "x\x1cy"]
-    odd += ["".join(rng.choices(["a", "bc", " ", "\n", "'s", "9", "!", "é"], k=rng.randint(1, 30))) for _ in range(200)]
-    assert t.encode(odd) == [t._ids(x) for x in odd]
+    odd = ["a  b", " x", "x ", "\n\nx", "a\tb", "it's we'll\n 5%", "", " ", "\n", "é x", "<|endoftext|> a", "a <|endoftext|> b", "a\x85b", "x\x1cy", "a_b __ _", "½ x²", "I'm they'd ''s", "日本語 テスト、1", "x\r\ny"]
+    odd += ["".join(rng.choices(["a", "bc", " ", "\n", "'s", "9", "!", "é", "_", "<|endoftext|>", "\u00a0", "語"], k=rng.randint(1, 30))) for _ in range(400)]
+    assert [t.encode(x) for x in odd] == [dealt(plain, x) for x in odd]
+    assert np.frombuffer(t.encode("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+
+
+def test_pieces_of_every_plain_character_equal_the_librarys():
+    first = untouched().pre_tokenizer
+    plain = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and token_binary._PLAIN.fullmatch(chr(c))]
+    assert len(plain) > 20_000
+    for k in range(0, len(plain), 100):
+        text = "".join(f"a{c}b {c}1{c}{c} {c}" for c in plain[k : k + 100])
+        want = [len(shown) for shown, _ in first.pre_tokenize_str(text)]
+        latin = token_binary._PLAIN_LATIN.fullmatch(text)
+        assert k or latin
+        for parts in (token_binary._PIECES, *([token_binary._LATIN_PIECES] if latin else [])):
+            assert [len(p.encode()) for p in parts.findall(text)] == want
 
 
 @pytest.mark.parametrize("limit", [1, 3, 8])
-def test_tokenizer_with_more_words_than_its_table(limit):
-    t = token_binary.WordCachedTokenizer(queries.tokenizer_path(), limit=limit)
-    for batch in (["a b", "c"], ["a d e", "f g h a", "b"], ["a", "x\ty"], [LONG[:5000], "a h"], []):
-        assert t.encode(batch) == [t._ids(x) for x in batch]
-        assert len(t.known) <= limit
+def test_tokenizer_with_more_pieces_than_its_table(limit):
+    t, plain = token_binary.PieceTokenizer(queries.tokenizer_path(), limit=limit), untouched()
+    for text in ("a b", "c", "a d e", "f g h a", "b", "a", "x\ty", LONG[:5000], "a h"):
+        assert t.encode(text) == dealt(plain, text)
+        assert len(t.pieces) <= limit and len(t.pieces.old) <= limit
 
 
 @pytest.mark.parametrize("partitions", [1, 3])
@@ -95,11 +140,11 @@ def test_token_files(spark, make, tmp_path, partitions):
     path = str(tmp_path / "ids")
     token_binary.write_ids(make(rows), path, queries._tokenizer, 2, frame_ids=50, partitions=partitions)
     got = token_binary.read_ids(spark.read.parquet(path)).orderBy("start").collect()
-    t, at = queries._tokenizer(), 0
+    t, at = untouched(), 0
     want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     assert [r.doc_id for r in got] == [k for k, _ in want]
     for r, (_, text) in zip(got, want, strict=True):
-        ids = np.array([*t.tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
 
