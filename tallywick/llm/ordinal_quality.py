@@ -6,7 +6,7 @@ probabilities, and a document is selected by its tail probability at the wanted
 
 Defined results: a null or empty text has no features and gets the score 0, so its probabilities
 come from the thresholds alone; repeated rows each get a row; ratings with a null grade or id are
-not used, and of several grades of one id the lowest counts. Where all ratings have one grade, every
+not used, of several grades of one id the lowest counts, and of several texts the least. Where all ratings have one grade, every
 document gets that grade's side of each threshold; without any ratings nothing can be told and every
 document is kept (all tail probabilities 1). Other columns of the input pass through; an input column
 with the name of an output column is replaced by it in `score`, and kept as it is in `selected`. An
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,11 +32,21 @@ _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 #: Width of the hashed feature space.
 BITS = 20
-#: Most rated documents used for fitting: the documented bound of the training sample.
-MAX_TRAIN = 20_000
+#: Most rated documents and most of their features used for fitting: the documented bounds of the
+#: training sample.
+MAX_TRAIN, MAX_FEATURES = 20_000, 1 << 24
 OUTPUTS = ("score", "expected_grade", "tail_probability", "keep")
 
 
+def capitals(text: str) -> int:
+    """Characters of the whole text that lower-casing changes."""
+    low = text.lower()
+    if len(low) != len(text):
+        return sum(c != c.lower() for c in text)
+    a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (text, low))
+    return int((a != b).sum())
+
+
 class Features:
     """Distinct hashed features of a text: lower-cased words, runs of punctuation, a mark for capitals."""
 
@@ -49,7 +59,7 @@ class Features:
         found = set(_TOKEN.findall(text.lower()))
         if text.isupper():
             found.add("\x00upper")
-        elif text and sum(map(str.isupper, text[:4096])) * 3 > min(len(text), 4096) and sum(map(str.isupper, text)) * 3 > len(text):
+        elif capitals(text) * 3 > len(text):
             found.add("\x00capitals")
         out = []
         for t in found:
@@ -127,8 +137,9 @@ def train_ordinal(offsets: np.ndarray, ids: np.ndarray, grades: np.ndarray, bits
     return OrdinalModel(weights, np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))]), bits)
 
 
-def fit(docs: DataFrame, ratings: DataFrame, grade: Column, id_col: str = "doc_id", text_col: str = "text", levels: int = 3, bits: int = BITS, max_train: int = MAX_TRAIN) -> OrdinalModel:
-    """Fit on at most max_train rated documents, taken by a hash of their id.
+def fit(docs: DataFrame, ratings: DataFrame, grade: Column, id_col: str = "doc_id", text_col: str = "text", levels: int = 3, bits: int = BITS, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> OrdinalModel:
+    """Fit on at most max_train rated documents with at most max_features features, taken by a hash of
+    their id. Of rows that repeat an id, the one with the least text is used.
 
     Only the ids of the sample (bounded by max_train) are broadcast; the features of that sample
     are gathered for the fit.
@@ -140,9 +151,14 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: Column, id_col: str = "doc_i
         make = Features(bits)
         for batch in slices(batches):
             found = [make.of(t).tobytes() for t in texts(batch.column(0))]
-            yield pa.record_batch([pa.array(found, pa.binary()), batch.column(1)], names=["f", "g"])
-
-    rows = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).select(text_col, "__grade").mapInArrow(features, "f binary, g int").toArrow()
+            yield pa.record_batch([pa.array(found, pa.binary()), *batch.columns[1:]], names=["f", "g", "h"])
+
+    rated = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("__text")).join(F.broadcast(sample), id_col)
+    # one row of every id of the sample, so the gathered rows are bounded by it
+    rated = rated.groupBy(id_col, "__grade").agg(F.min("__text").alias("__text"))
+    rows = rated.select("__text", "__grade", F.xxhash64(id_col)).mapInArrow(features, "f binary, g int, h long")
+    upto = F.sum(F.length("f") / 4).over(Window.orderBy("h", "g", "f").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("upto", upto).filter(F.col("upto") <= max_features).select("f", "g").toArrow()
     grades = rows.column("g").to_numpy().astype(np.int64)
     if len(np.unique(grades)) < 2:
         cuts = np.arange(1, levels)

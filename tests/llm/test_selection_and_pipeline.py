@@ -1,10 +1,13 @@
 """Quality classifier, mixture, the pipeline's stages and the registered queries."""
 
+import math
 import random
+import re
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -41,6 +44,52 @@ def test_classifier_edges(spark, make):
     assert ordinal_quality.selected(make([]), model).count() == 0
 
 
+def test_capitals_count_over_the_whole_text():
+    f = ordinal_quality.Features(20)
+    a, b = "UPPER CASE " * 1000, "lower case words " * 900
+    assert f.of(a + b).tolist() == f.of(b + a).tolist()
+    marked = set(f.of(a + b).tolist()) - {f.of(w)[0] for w in (a + b).split()} - set(f.of(a.lower() + b).tolist())
+    assert len(marked) == 1 and ordinal_quality.capitals(a + b) == 9000
+    assert ordinal_quality.capitals("\u0130Ab") == 2 and ordinal_quality.capitals("") == 0
+
+
+def brute_tails(text, model):
+    """Tail probabilities of a text from the definition: distinct tokens, hashed, summed."""
+    found = {t for t in re.findall(r"\w+|[^\w\s]+", text.lower())}
+    if text.isupper():
+        found.add("\x00upper")
+    elif sum(c != c.lower() for c in text) * 3 > len(text):
+        found.add("\x00capitals")
+    slots = {xxhash.xxh32_intdigest(t.encode()) % 2**model.bits for t in found}
+    score = sum(float(model.weights[s]) for s in slots)
+    return [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+
+
+def test_quality_query_against_brute_force(spark):
+    docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
+    model = ordinal_quality.fit(docs, labels, ordinal_quality.rated_grade())
+    got = {r.doc_id: r for r in queries.op7_ordinal_quality(spark, DATA).collect()}
+    for r in docs.collect():
+        tails = brute_tails(r.text or "", model)
+        assert (r.doc_id in got) == (tails[1] >= 0.5)
+        if r.doc_id in got:
+            assert abs(got[r.doc_id].tail_probability - tails[1]) < 1e-5 and abs(got[r.doc_id].expected_grade - sum(tails)) < 1e-5
+
+
+def test_the_fit_is_bounded(spark, make):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(50))) for i in range(40)] * 3 + [(1, "a shorter text")]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    seen = []
+    real = ordinal_quality.train_ordinal
+    ordinal_quality.train_ordinal = lambda offsets, ids, grades, *a, **k: seen.append((len(grades), len(ids))) or real(offsets, ids, grades, *a, **k)
+    try:
+        ordinal_quality.fit(make(rows), labels, ordinal_quality.rated_grade())
+        ordinal_quality.fit(make(rows), labels, ordinal_quality.rated_grade(), max_features=500)
+    finally:
+        ordinal_quality.train_ordinal = real
+    assert seen[0][0] == 40 and seen[1][1] <= 500
+
+
 def test_gradient_by_differences():
     """The fit lowers the cumulative logit loss to where no single weight improves it."""
     rng = np.random.default_rng(0)
