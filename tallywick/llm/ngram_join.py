@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +47,8 @@ from tallywick.session import Scratch
 BLOCK_TEXTS, BLOCK_GRAMS = 256, 1 << 20
 #: Gram columns that a task compares at once.
 WIDTH = 4096
+#: Rows of a bucket that are dealt to one task.
+BUCKET_ROWS = 512
 
 
 def plan_bands(threshold: float, recall: float, most: int = 160) -> tuple[int, int]:
@@ -236,23 +238,28 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hubs = held.filter(F.col("n") > small).select(F.struct("digest", "n_grams").alias("m"), F.explode(F.array("low", "high")).alias("h")).filter("m != h").select(F.least("m", "h").alias("x"), F.greatest("m", "h").alias("y"))
     pairs = few.unionByName(hubs).filter(_near("x.n_grams", "y.n_grams", threshold)).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
     pairs = scratch.save(pairs, "candidates")
-    large = held.filter(F.col("n") > small).select("bucket", "digest")
+    # a large bucket is dealt to several tasks wherever its rows meet something of the bucket
+    share = F.ceil(F.col("n") / BUCKET_ROWS).cast("int")
+    large = held.filter(F.col("n") > small).select("bucket", "digest", F.pmod(F.xxhash64("digest"), share).alias("salt"))
     crowd = scratch.save(held.filter(F.col("n") > small).select("digest", "n_grams").distinct(), "crowd")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).union(crowd.select("digest")).distinct().join(reps.select("digest", "rep"), "digest")
     grams = scratch.save(_gram_sets(docs, wanted, id_col, text_col, n), "grams")
     links = scratch.save(_verify(pairs, grams, threshold), "links")
     labels = connected_components(links.select("a", "b"), scratch)
-    labelled = large.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").select("bucket", "digest", F.coalesce("label", "digest").alias("label"))
-    split = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("bucket")
-    mixed = scratch.save(labelled.join(split, "bucket", "left_semi").select("digest", "label").distinct(), "mixed")
+    named = labels.select(F.col("node").alias("digest"), "label")
+    labelled = large.join(named, "digest", "left").select("bucket", "salt", "digest", F.coalesce("label", "digest").alias("label"))
+    split = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("salt").alias("salts")).filter("x != y")
+    split = split.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts"))).alias("salt"))
+    mixed = scratch.save(labelled.join(split, ["bucket", "salt"], "left_semi").select("digest", "label").distinct(), "mixed")
     if not mixed.isEmpty():
         more = _crossing(mixed, grams, threshold).join(pairs, ["a", "b"], "left_anti")
         links = links.unionByName(scratch.save(_verify(more, grams, threshold), "crossing"))
     return members, reps, links, crowd, grams
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, **options) -> DataFrame:
-    """One row per document: id, class_id, n_copies, n_links (see the module)."""
+def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, **options) -> tuple[DataFrame, DataFrame]:
+    """(members, classes): id and digest of every row with an id, blank texts' digest null; and per
+    digest its class_id, class_digest (the text that stands for the class), n_copies and n_links."""
     members, reps, links, crowd, grams = ngram_links(docs, id_col, text_col, threshold=threshold, **options)
     scratch = Scratch(docs.sparkSession, "ngram-classes")
     labels = connected_components(links.select("a", "b"), scratch)
@@ -262,8 +269,56 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     degree = degree.unionByName(_crowd_links(crowd, grams, labels, threshold)).groupBy("digest").agg(F.sum("n_links").alias("n_links"))
     named = reps.select("digest", "rep", "n_copies").join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").join(degree, "digest", "left")
     named = scratch.save(named.select("digest", F.coalesce("label", "digest").alias("label"), "rep", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named")
-    least = named.groupBy("label").agg(F.min("rep").alias("class_id"))
-    classes = scratch.save(named.join(least, "label").select("digest", "class_id", "n_copies", "n_links"), "classes")
+    least = named.groupBy("label").agg(F.min(F.struct("rep", "digest")).alias("least"))
+    classes = named.join(least, "label").select("digest", F.col("least.rep").alias("class_id"), F.col("least.digest").alias("class_digest"), "n_copies", "n_links")
+    return members, scratch.save(classes, "classes")
+
+
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, **options) -> DataFrame:
+    """One row per document: id, class_id, n_copies, n_links (see the module)."""
+    members, classes = ngram_classes(docs, id_col, text_col, threshold, **options)
     linked = members.filter("digest is not null").distinct().join(classes, "digest").select(id_col, "class_id", "n_copies", "n_links")
     blank = members.filter("digest is null").distinct().select(id_col, F.col(id_col).alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(blank)
+
+
+def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, **options) -> DataFrame:
+    """The rows of docs that stand for their class: of every class of near copies the text that has its
+    least id (of several the least digest), once.
+
+    Rows are told apart by id and text, so of rows that repeat an id each unique text stays. Of rows
+    equal in both, one stays, also where the text is blank. Rows with a null id stay as they are.
+    """
+    members, classes = ngram_classes(docs, id_col, text_col, threshold, **options)
+    scratch = Scratch(docs.sparkSession, "ngram-kept")
+    ids = members.groupBy(id_col).agg(F.count("*").alias("n"))
+    repeated = scratch.save(ids.filter("n > 1").select(id_col), "repeated")
+    gone = members.join(classes, "digest").filter(~((F.col(id_col) == F.col("class_id")) & (F.col("digest") == F.col("class_digest")))).select(id_col)
+    once = docs.join(gone.unionByName(repeated).distinct(), id_col, "left_anti").select(docs.columns)
+    if repeated.isEmpty():
+        return once
+    kept = classes.filter("digest = class_digest").select(F.col("class_id").alias(id_col), "digest")
+    kept = kept.unionByName(members.filter("digest is null"))
+    return once.unionByName(_texts_of(docs.join(repeated, id_col, "left_semi").select(docs.columns), kept, id_col, text_col))
+
+
+def _texts_of(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of docs for every (id, digest) of kept: of several the least by all columns' hash."""
+    names, digest = docs.columns, "__digest"
+    while digest in names:
+        digest += "_"
+    at = names.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(digest, T.BinaryType())])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in slices(batches):
+            found = pa.array([grams_of(hasher, t, 1)[0] for t in texts(batch.column(at))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=schema.names)
+
+    rows = docs.mapInArrow(apply, schema)
+    wanted = kept.distinct().select(F.col(id_col).alias(digest + "i"), F.col("digest").alias(digest + "d"))
+    rows = rows.join(wanted, (F.col(id_col) == F.col(digest + "i")) & F.col(digest).eqNullSafe(F.col(digest + "d")), "left_semi")
+    order = Window.partitionBy(id_col, digest).orderBy(F.xxhash64(*names), text_col)
+    place = digest + "n"
+    return rows.withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).select(names)

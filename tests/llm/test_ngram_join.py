@@ -84,3 +84,39 @@ def test_plan_reaches_recall():
     for t in (0.5, 0.8, 0.95):
         bands, rows = J.plan_bands(t, 0.999)
         assert 1 - (1 - t**rows) ** bands >= 0.999 and bands * rows <= 160
+
+
+def test_large_buckets_dealt_to_many_tasks(make, monkeypatch):
+    monkeypatch.setattr(J, "BUCKET_ROWS", 7)
+    rows = corpus(1, 1, 120, 3)
+    assert {r.doc_id: r.class_id for r in J.ngram_jaccard_join(make(rows), recall=0.99999).collect()} == brute_classes(rows)
+
+
+def test_one_per_class_tells_rows_apart_by_id_and_text(make):
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven", "twelve of these words stand alone")
+    rows = [(1, a), (1, b), (5, b), (3, a), (9, a), (9, c), (7, c), (7, c), (8, None), (8, ""), (None, a)]
+    kept = sorted(((r.doc_id or 0), r.text or "") for r in J.one_per_class(make(rows)).collect())
+    assert kept == [(0, a), (1, a), (1, b), (7, c), (8, "")]
+    assert J.one_per_class(make(rows)).columns == make(rows).columns
+    plain = corpus(3, 6, 3, 1)
+    assert sorted(r.doc_id for r in J.one_per_class(make(plain)).collect()) == sorted(set(brute_classes(plain).values()))
+
+
+def test_recall_with_the_default_bands(spark):
+    """Links of every text whose id is divisible by 50 to all texts, against brute force; the defaults."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    texts = {r.doc_id: " ".join((r.text or "").lower().split()) for r in docs.collect()}
+    sets = {t: grams(t) for t in set(texts.values()) if t}
+    holders = {}
+    for t, g in sets.items():
+        for x in g:
+            holders.setdefault(x, []).append(t)
+    got = {r.doc_id: r.n_links for r in J.ngram_jaccard_join(docs).filter("doc_id % 50 = 0").collect()}
+    true = found = 0
+    for k, t in texts.items():
+        if k % 50 == 0 and t:
+            near = {u for x in sets[t] for u in holders[x]} - {t}
+            n = sum(len(sets[t] & sets[u]) / len(sets[t] | sets[u]) >= 0.8 for u in near)
+            true, found = true + n, found + got[k]
+            assert got[k] <= n
+    assert true >= 5 and found >= 0.99 * true
