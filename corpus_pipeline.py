@@ -24,16 +24,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one whose id names the class."""
-    found = ngram_join.ngram_jaccard_join(docs)
-    gone = found.filter("doc_id != class_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    # rows that repeat an id are copies of each other only if their texts are; those have equal classes
-    repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null")
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated.select("doc_id"), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(repeated.select("doc_id"), "doc_id", "left_anti").select(docs.columns).unionByName(again)
+    """One document of each near-duplicate class: the one whose id names the class.
+
+    Rows are told apart by id and text: rows that share an id but not a text are documents of their own.
+    """
+    return ngram_join.one_per_class(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
