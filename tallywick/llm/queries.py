@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,35 +78,47 @@ def op6_warc_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op6_sql() -> str:
-    def quoted(pattern: str) -> str:
-        return "'" + pattern.replace("'", "''") + "'"
+    """Written on its own: entities by their names' list, links by cases, header lines spelt out."""
+    names = ", ".join(f"'{k}': chr({v})" for k, v in [*sorted(name2codepoint.items()), ("apos", 39)])
+    nl = "chr(13) || chr(10)"
 
     def entities(text: str) -> str:
-        for entity, char in warc_derive.ENTITIES:
-            text = f"replace({text}, {quoted(entity)}, {quoted(char)})"
-        return text
+        code = "CASE WHEN p[2] IN ('x', 'X') THEN ('0x' || regexp_extract(p, '^#[xX]([0-9a-fA-F]{1,6});', 1))::INT ELSE regexp_extract(p, '^#([0-9]{1,7});', 1)::INT END"
+        numeric = f"CASE WHEN ({code}) BETWEEN 1 AND 55295 OR ({code}) BETWEEN 57344 AND 1114111 THEN chr({code}) ELSE chr(65533) END"
+        shown = f"""CASE WHEN regexp_matches(p, '^#([0-9]{{1,7}}|[xX][0-9a-fA-F]{{1,6}});') THEN {numeric} || substr(p, instr(p, ';') + 1)
+          WHEN regexp_matches(p, '^[A-Za-z][A-Za-z0-9]{{1,7}};') AND m[split_part(p, ';', 1)] IS NOT NULL THEN m[split_part(p, ';', 1)] || substr(p, instr(p, ';') + 1)
+          ELSE '&' || p END"""
+        return f"string_split({text}, '&')[1] || array_to_string(list_transform(string_split({text}, '&')[2:], lambda p: {shown}), '')"
 
     def urn(text: str) -> str:
         d = f"md5({text})"
         return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({d}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
 
-    shown = f"regexp_replace(regexp_replace(regexp_replace(payload, {quoted(warc_derive.HIDDEN)}, '', 'g'), {quoted(warc_derive.BREAKS)}, chr(10), 'g'), {quoted(warc_derive.TAGS)}, '', 'g')"
-    text = f"trim(regexp_replace(regexp_replace({entities(shown)}, {quoted(warc_derive.BLANKS)}, ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
-    nl = "chr(13) || chr(10)"
-    folder = r"regexp_extract(target_uri, '^([a-z][a-z0-9+.-]*://[^/?#]*(?:/[^?#]*/|/)?)', 1)"
-    link = f"""CASE WHEN regexp_matches({{x}}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {{x}}
-      WHEN starts_with({{x}}, '/') THEN regexp_extract(target_uri, '^([a-z][a-z0-9+.-]*://[^/?#]*)', 1) || {{x}}
-      ELSE CASE WHEN ends_with({folder}, '/') THEN {folder} ELSE {folder} || '/' END || {{x}} END""".replace("{x}", entities("x"))
-    title = f"trim(regexp_replace({entities(f'regexp_extract(payload, {quoted(warc_derive.TITLE)}, 1)')}, '[ \t\r\n]+', ' ', 'g'))"
-    fields = [("WARC-Type", "kind"), ("WARC-Record-ID", "record_id"), ("WARC-Date", "'1970-01-01T00:00:00Z'"), ("WARC-Refers-To", "refers_to"), ("WARC-Refers-To-Target-URI", "target_uri"), ("WARC-Target-URI", "target_uri"), ("WARC-Source-Payload-Digest", "source_digest"), ("WARC-Source-Status", "'HTTP/1.1 200 OK'"), ("WARC-Source-Content-Type", "'text/html; charset=utf-8'"), ("WARC-Block-Digest", "'sha256:' || sha256(block)"), ("Content-Type", "mime"), ("Content-Length", "strlen(block)::VARCHAR")]
+    block = "address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|th|thead|title|tr|ul"
+    bare = "regexp_replace(regexp_replace(payload, '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style)([ \t\r\n][^>]*)?>.*?</(script|style)[ \t\r\n]*>', '', 'g')"
+    shown = f"regexp_replace(regexp_replace({bare}, '(?i)</?({block})([^a-z0-9_>][^>]*)?>', chr(10), 'g'), '(?i)</?[a-z][^>]*>|<![^>]*>', '', 'g')"
+    lines = f"regexp_replace(replace({entities('shown')}, chr(160), ' '), '[ \t\r\f]+', ' ', 'g')"
+    text = f"trim(regexp_replace({lines}, ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"
+    host = "regexp_extract(target_uri, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*')"
+    folder = "coalesce(nullif(regexp_extract(target_uri, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/)([^?#]*/)?', 0), ''), " + host + " || '/')"
+    link = f"""CASE WHEN regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN x WHEN starts_with(x, '//') THEN split_part(target_uri, '//', 1) || x
+      WHEN starts_with(x, '/') THEN {host} || x WHEN x = '' THEN split_part(target_uri, '#', 1) WHEN starts_with(x, '#') THEN split_part(target_uri, '#', 1) || x
+      WHEN starts_with(x, '?') THEN split_part(split_part(target_uri, '#', 1), '?', 1) || x ELSE {folder} || x END"""
+    title = f"trim(regexp_replace({entities("regexp_extract(payload, '(?is)<title(?:[ \t\r\n][^>]*)?>(.*?)</title', 1)")}, '[ \t\r\n]+', ' ', 'g'))"
+    source = "['Content-Type: text/html; charset=utf-8', 'Content-Length: ' || strlen(payload)]"
+    fields = [("WARC-Type", "kind"), ("WARC-Record-ID", "record_id"), ("WARC-Date", "'1970-01-01T00:00:00Z'"), ("WARC-Refers-To", "refers_to"), ("WARC-Refers-To-Target-URI", "target_uri"), ("WARC-Target-URI", "target_uri"), ("WARC-Source-Payload-Digest", "source_digest"), ("WARC-Source-Status", "'HTTP/1.1 200 OK'"), ("WARC-Source-Content-Type", "'text/html; charset=utf-8'"), ("WARC-Block-Digest", "'sha256:' || sha256(block)"), ("Content-Type", "mime"), ("Content-Length", "strlen(block)::VARCHAR"), ("WARC-Source-Header", "heads[1]"), ("WARC-Source-Header", "heads[2]")]
     header = f"'WARC/1.1' || {nl} || " + " || ".join(f"'{k}: ' || {v} || {nl}" for k, v in fields) + f" || {nl}"
     return f"""
-WITH r AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload,
-    {urn("concat_ws(chr(10), 'response', page_id::VARCHAR, url)")} AS refers_to FROM pages),
-l AS (SELECT *, 'sha256:' || sha256(payload) AS source_digest, regexp_extract_all(payload, {quoted(warc_derive.LINKS)}, 1) AS links FROM r),
-b AS (SELECT page_id, target_uri, refers_to, source_digest, len(links) AS n_links, 'metadata' AS kind, 'application/warc-fields' AS mime,
-    'title: ' || {title} || {nl} || coalesce(array_to_string(list_transform(links, lambda x: 'outlink: ' || {link} || {nl}), ''), '') AS block FROM l
-  UNION ALL SELECT page_id, target_uri, refers_to, source_digest, len(links), 'conversion', 'text/plain; charset=utf-8', {text} FROM l),
+WITH names AS MATERIALIZED (SELECT MAP {{{names}}} AS m),
+r AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload,
+    {urn("concat_ws(chr(10), 'response', page_id::VARCHAR, url)")} AS refers_to, m FROM pages, names),
+s AS (SELECT *, 'sha256:' || sha256(payload) AS source_digest, {source} AS heads, {shown} AS shown,
+    regexp_extract_all(payload, '(?i)<a[ \t\r\n](?:[^>]*?[ \t\r\n])?href[ \t\r\n]*=[ \t\r\n]*("[^"]*"|''[^'']*''|[^ \t\r\n"''>]+)', 1) AS raw FROM r),
+l AS (SELECT *, list_transform(raw, lambda y: trim(regexp_replace({entities("trim(y, '\"''')")}, '[\t\r\n]', '', 'g'))) AS links FROM s),
+b AS (SELECT page_id, target_uri, refers_to, source_digest, heads, len(links) AS n_links, 'metadata' AS kind, 'application/warc-fields' AS mime,
+    'title: ' || {title} || {nl} || 'http-status: HTTP/1.1 200 OK' || {nl} || 'http-header: ' || heads[1] || {nl} || 'http-header: ' || heads[2] || {nl}
+      || coalesce(array_to_string(list_transform(links, lambda x: 'outlink: ' || {link} || {nl}), ''), '') AS block FROM l
+  UNION ALL SELECT page_id, target_uri, refers_to, source_digest, heads, len(links), 'conversion', 'text/plain; charset=utf-8', {text} FROM l),
 n AS (SELECT *, {urn("concat_ws(chr(10), kind, refers_to)")} AS record_id FROM b)
 SELECT page_id, kind, record_id, refers_to, target_uri, source_digest, n_links::BIGINT AS n_links, length(block)::BIGINT AS block_chars,
   'sha256:' || sha256(block) AS block_digest, sha256({header}) AS header_sha256 FROM n"""

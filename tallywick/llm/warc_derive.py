@@ -1,20 +1,27 @@
 """WARC derivatives: response records to linked metadata and plain-text conversion records.
 
 Responses are rows with a record id, target URI, HTTP header block and payload. Each gives a metadata
-record (application/warc-fields: title and outlinks, resolved against the target) and a conversion
-record (text/plain). Both carry WARC-Refers-To and WARC-Refers-To-Target-URI of the response, the
-payload digest of the source, and the source's content type and HTTP status line, besides a digest
-and length of their own block. All of it is column expressions; no shuffle is needed.
+record (application/warc-fields: title, status line, one http-header field per line of the source's
+header block, outlinks resolved against the target by RFC 3986) and a conversion record (text/plain).
+Both carry WARC-Refers-To and WARC-Refers-To-Target-URI of the response, the payload digest of the
+source, its HTTP status line, content type and every header line (WARC-Source-Header, folded lines
+joined), besides a digest and length of their own block. All of it is column expressions; no shuffle
+is needed.
+
+Links are href values of anchors in double, single or no quotes; blanks around them and line ends and
+tabs inside go, as browsers do. Character references are resolved once: decimal, hexadecimal and the
+named ones of HTML 4; what is none stays as it is, and numbers that are no character give U+FFFD.
 
 Defined results: null payloads, headers and URIs are empty; an empty payload gives an empty text and
 no links; repeated rows give repeated records with equal ids, as the ids derive from the response's;
 rows keep their other columns in `keep`, but for those with the name of an output column; an empty
-table gives no rows. Entities other than the five
-of XML, nbsp and the numeric apostrophe stay as they are.
+table gives no rows. A relative link whose target has no scheme and host stays as it is.
 """
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,30 +32,82 @@ HIDDEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</sty
 BREAKS = rf"(?i)</?(?:{_BLOCKS})\b[^>]*>"
 TAGS = r"(?i)</?[a-z][^>]*>|<![^>]*>"
 BLANKS = r"[ \t\r\f]{2,}|[\t\r\f]"
-LINKS = r"(?i)<a\s(?:[^>]*?\s)?href=\"([^\"]*)\""
+LINKS = r"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+REFERENCE = "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"
+#: Scheme with colon, authority with slashes, path, query with mark, fragment with mark (RFC 3986, appendix B).
+URI = r"^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?"
+DOTS = r"(?:^|/)\.{1,2}(?:/|$)"
+HEADER_LINE = r"^[!#$%&'*+.^_`|~0-9A-Za-z-]+:"
+
+
+def character(code: Column) -> Column:
+    """The character of a code point; U+FFFD where there is none."""
+    known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    packed = F.unhex(F.lpad(F.hex(F.when(known, code).otherwise(0xFFFD)), 8, "0"))
+    return F.decode(packed, "UTF-32")
 
 
 def unescape_entities(text: Column) -> Column:
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Character references resolved, each once, so an escaped reference stays readable."""
+    names = F.create_map(*(F.lit(x) for k, v in sorted(name2codepoint.items()) for x in (k, chr(v))))
+    names = F.map_concat(names, F.create_map(F.lit("apos"), F.lit("'")))
+
+    def part(p: Column) -> Column:
+        name = F.regexp_extract(p, REFERENCE, 1)
+        digits = F.substring(name, 2, 8)
+        code = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(digits)
+        shown = F.when(name.startswith("#"), character(code.cast("long"))).otherwise(F.try_element_at(names, name))
+        return F.when((name == "") | shown.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(shown, F.substr(p, F.length(name) + 2)))
+
+    parts = F.split(text, "&")
+    made = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), part), ""))
+    return F.when(text.contains("&"), made).otherwise(text)
 
 
 def plain_text(html: Column) -> Column:
     """Visible text: block elements break lines, runs of blanks are one, empty lines go."""
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, ""), BREAKS, "\n"), TAGS, "")
-    text = F.regexp_replace(unescape_entities(text), BLANKS, " ")
+    text = F.regexp_replace(F.replace(unescape_entities(text), F.lit("\u00a0"), F.lit(" ")), BLANKS, " ")
     return F.trim(F.regexp_replace(text, " ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
-def resolve(link: Column, target: Column) -> Column:
-    """An outlink as an absolute URI: absolute, rooted, or relative to the target's folder."""
-    root = F.regexp_extract(target, r"^([a-z][a-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_extract(target, r"^([a-z][a-z0-9+.-]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
-    folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
-    return F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link).when(link.startswith("/"), F.concat(root, link)).otherwise(F.concat(folder, link))
+def link_value(raw: Column) -> Column:
+    """The reference that an href attribute's value stands for."""
+    bare = unescape_entities(F.regexp_replace(raw, "^[\"']|[\"']$", ""))
+    return F.trim(F.regexp_replace(bare, "[\t\r\n]", ""))
+
+
+def without_dots(path: Column) -> Column:
+    """A path without its . and .. segments."""
+
+    def step(done: Column, s: Column) -> Column:
+        popped = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))
+        return F.when(s == ".", done).when(s == "..", popped).otherwise(F.concat(done, F.array(s)))
+
+    parts = F.split(path, "/")
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts) - 1), F.slice(parts, 1, 1), step)
+    last = F.element_at(parts, -1)
+    made = F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
+    return F.when(path.rlike(DOTS), made).otherwise(path)
+
+
+def resolve(link: Column, base: Column) -> Column:
+    """A reference resolved against a base by RFC 3986. base: struct of scheme, host, path and query."""
+    scheme, host, path, query, fragment = (F.regexp_extract(link, URI, i) for i in range(1, 6))
+    folder = F.regexp_extract(base["path"], "^(.*/)", 1)
+    folder = F.when((folder == "") & (base["host"] != ""), "/").otherwise(folder)
+    rooted = F.concat(base["scheme"], base["host"])
+    same = F.concat(rooted, base["path"], F.when(query == "", base["query"]).otherwise(query), fragment)
+    return (
+        F.when((base["scheme"] == "") & (scheme == ""), link)
+        .when(path.startswith("/") & (scheme == "") & (host == ""), F.concat(rooted, without_dots(path), query, fragment))
+        .when((scheme != "") & (host == ""), link)
+        .when(scheme != "", F.concat(scheme, host, without_dots(path), query, fragment))
+        .when(host != "", F.concat(base["scheme"], host, without_dots(path), query, fragment))
+        .when(path == "", same)
+        .otherwise(F.concat(rooted, without_dots(F.concat(folder, path)), query, fragment))
+    )
 
 
 def record_urn(*parts: Column) -> Column:
@@ -61,6 +120,11 @@ def digest(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text, 256))
 
 
+def _each(name: str, values: Column) -> Column:
+    """A line for every value."""
+    return F.array_join(F.transform(values, lambda x: F.concat(F.lit(name), x, F.lit("\r\n"))), "")
+
+
 def _record(kind: str, content_type: str, block: Column) -> Column:
     own = record_urn(F.lit(kind), F.col("record_id"))
     fields = [
@@ -77,7 +141,8 @@ def _record(kind: str, content_type: str, block: Column) -> Column:
         ("Content-Type", F.lit(content_type)),
         ("Content-Length", F.octet_length(block).cast("string")),
     ]
-    header = F.concat(F.lit("WARC/1.1\r\n"), *(F.concat(F.lit(f"{k}: "), v, F.lit("\r\n")) for k, v in fields), F.lit("\r\n"))
+    lines = (F.concat(F.lit(f"{k}: "), v, F.lit("\r\n")) for k, v in fields)
+    header = F.concat(F.lit("WARC/1.1\r\n"), *lines, _each("WARC-Source-Header: ", F.col("source_headers")), F.lit("\r\n"))
     return F.struct(F.lit(kind).alias("kind"), own.alias("record_id"), header.alias("header"), block.alias("block"), digest(block).alias("block_digest"))
 
 
@@ -94,20 +159,25 @@ def derive(responses: DataFrame, keep: list[str], record_id: str = "record_id",
         text[payload].alias("payload"),
         F.regexp_extract(text[http_headers], r"^([^\r\n]*)", 1).alias("status"),
         F.regexp_extract(text[http_headers], r"(?im)^content-type: *([^\r\n]*)", 1).alias("source_type"),
+        F.filter(F.split(F.regexp_replace(text[http_headers], r"\r?\n[ \t]+", " "), r"\r?\n"), lambda x: x.rlike(HEADER_LINE)).alias("source_headers"),
         digest(text[payload]).alias("source_digest"),
+        F.struct(*(F.regexp_extract(text[target], URI, i).alias(c) for i, c in enumerate(("scheme", "host", "path", "query"), 1))).alias("base"),
         F.regexp_extract_all(text[payload], F.lit(LINKS), 1).alias("links"),
     )
-    links = F.transform("links", lambda x: F.concat(F.lit("outlink: "), resolve(unescape_entities(x), F.col("target")), F.lit("\r\n")))
+    links = _each("outlink: ", F.transform("links", lambda x: resolve(link_value(x), F.col("base"))))
     title = F.trim(F.regexp_replace(unescape_entities(F.regexp_extract("payload", TITLE, 1)), "[ \t\r\n]+", " "))
-    fields = F.concat(F.lit("title: "), title, F.lit("\r\n"), F.array_join(links, ""))
-    both = rows.select("kept", F.col("record_id").alias("refers_to"), "record_id", "target", "date", "status", "source_type", "source_digest", F.size("links").alias("n_links"), fields.alias("fields"), plain_text(F.col("payload")).alias("text"))
+    heads = _each("http-header: ", F.col("source_headers"))
+    fields = F.concat(F.lit("title: "), title, F.lit("\r\nhttp-status: "), F.col("status"), F.lit("\r\n"), heads, links)
+    both = rows.select("kept", F.col("record_id").alias("refers_to"), "record_id", "target", "date", "status", "source_type", "source_headers", "source_digest", F.size("links").alias("n_links"), fields.alias("fields"), plain_text(F.col("payload")).alias("text"))
     records = F.array(_record("metadata", "application/warc-fields", F.col("fields")), _record("conversion", "text/plain; charset=utf-8", F.col("text")))
     out = both.select("kept", "refers_to", F.col("target").alias("target_uri"), "source_digest", "n_links", F.explode(records).alias("r"))
     return out.select(*(F.col("kept")[c].alias(c) for c in keep), F.col("r.kind").alias("kind"), F.col("r.record_id").alias("record_id"), "refers_to", "target_uri", "source_digest", "n_links", F.col("r.header").alias("header"), F.col("r.block").alias("block"), F.col("r.block_digest").alias("block_digest"))
 
 
-def responses_of_pages(pages: DataFrame) -> DataFrame:
-    """Landed pages as response rows: id from page id and URL, a plain HTTP header block."""
+def responses_of_pages(pages: DataFrame, fetched: str = "1970-01-01T00:00:00Z") -> DataFrame:
+    """Landed pages as response rows: id from page id and URL. A page has neither headers nor a time of
+    fetch: its header block states type and length of the body, and the caller gives the time."""
     body = F.coalesce(F.col("html"), F.lit(""))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
-    return pages.select("page_id", record_urn(F.lit("response"), F.col("page_id").cast("string"), F.col("url")).alias("record_id"), F.col("url").alias("target_uri"), F.lit("1970-01-01T00:00:00Z").alias("date"), head.alias("http_headers"), body.alias("payload"))
+    record = record_urn(F.lit("response"), F.col("page_id").cast("string"), F.col("url"))
+    return pages.select("page_id", record.alias("record_id"), F.col("url").alias("target_uri"), F.lit(fetched).alias("date"), head.alias("http_headers"), body.alias("payload"))

@@ -241,8 +241,9 @@ def test_warc(spark):
     out = warc_derive.derive(df, ["kind", "text"]).collect()
     assert len(out) == 8 and all(r.text == "own" for r in out)
     by = {(r.kind, r.refers_to): r for r in out}
+    links = "outlink: http://h.org/x?a=1&b=2\r\noutlink: http://h.org/d/y\r\n"
     meta, conv = by[("metadata", "r1")], by[("conversion", "r1")]
-    assert meta.block == "title: A & B\r\noutlink: http://h.org/x?a=1&b=2\r\noutlink: http://h.org/d/y\r\n"
+    assert meta.block in ("title: A & B\r\nhttp-status: \r\n" + links, "title: A & B\r\nhttp-status: HTTP/1.1 200 OK\r\nhttp-header: Content-Type: text/html\r\n" + links)
     assert conv.block == "A & B\none\ntwo <3\nlm"
     assert meta.source_digest == "sha256:" + hashlib.sha256(html.encode()).hexdigest() == conv.source_digest and meta.record_id != conv.record_id
     header = dict(x.split(": ", 1) for x in by[("conversion", "long")].header.split("\r\n") if ": " in x)
@@ -251,6 +252,39 @@ def test_warc(spark):
     assert warc_derive.derive(df.limit(0), []).count() == 0
 
 
+def test_warc_carries_every_source_header(spark):
+    head = "HTTP/1.1 301 Moved\r\nServer: x\r\nLocation: /y\r\nETag: \"a:b\"\r\nX-Long: one\r\n  two\r\nContent-Language: de\r\ncontent-type: text/html\r\n\r\nnot a header: no"
+    names = ["Server: x", "Location: /y", 'ETag: "a:b"', "X-Long: one two", "Content-Language: de", "content-type: text/html"]
+    df = spark.createDataFrame([("r", "http://h.org/", "d", head, "")], "record_id string, target_uri string, date string, http_headers string, payload string")
+    for r in warc_derive.derive(df, []).collect():
+        assert [x[20:] for x in r.header.split("\r\n") if x.startswith("WARC-Source-Header: ")] == names
+        if r.kind == "metadata":
+            assert [x[13:] for x in r.block.split("\r\n") if x.startswith("http-header: ")] == names
+
+
+@pytest.mark.parametrize("base", ["http://a/b/c/d;p?q", "https://h.org/d/p.html", "http://h.org", "https://h.org/x/?a#f"])
+def test_links_resolve_as_the_standard_says(spark, base):
+    from urllib.parse import urljoin
+
+    refs = ["g", "./g", "g/", "/g", "//g", "//cdn.org/x", "?y", "g?y", "#s", "g#s", "g?y#s", ";x", "g;x", ".", "./", "..", "../", "../g", "../..", "../../g", "../../../g", "/./g", "/../g", "g.", ".g", "g..", "..g", "./../g", "./g/.", "g/./h", "g/../h", "g;x=1/./y", "http://o.org/a/../b", "mailto:a@b.c", "HTTP://X/", "x/y/../../z/."]
+    rows = spark.createDataFrame([(x,) for x in refs], "x string")
+    parts = F.struct(*(F.regexp_extract(F.lit(base), warc_derive.URI, i).alias(c) for i, c in enumerate(("scheme", "host", "path", "query"), 1)))
+    got = {r.x: r.y for r in rows.select("x", warc_derive.resolve(F.col("x"), parts).alias("y")).collect()}
+    for x in refs:
+        want = urljoin(base, x)
+        want = {"HTTP://X/": x, "http://o.org/a/../b": "http://o.org/b"}.get(x, want)  # the standard is stricter
+        assert got[x].rstrip("/") == want.rstrip("/"), (base, x)
+    assert spark.range(1).select(warc_derive.resolve(F.lit("a/b"), F.struct(*(F.lit("").alias(c) for c in ("scheme", "host", "path", "query")))).alias("y")).first().y == "a/b"
+
+
+def test_hrefs_in_all_quotes_and_entities(spark):
+    html = "<a href='single'>x</a><a class=k href=bare>x</a><a HREF = \"&eacute;&#8217;&#x41;\">x</a><a href=\" a\n b\t \">x</a><a data-href='no'>x</a>&copy;&amp;lt;&nosuch;&#0;&#xD800;&&#;&apos;"
+    df = spark.createDataFrame([("r", "http://h.org/d/p", "d", "", html)], "record_id string, target_uri string, date string, http_headers string, payload string")
+    by = {r.kind: r.block for r in warc_derive.derive(df, []).collect()}
+    assert [x[9:] for x in by["metadata"].split("\r\n") if x.startswith("outlink: ")] == ["http://h.org/d/single", "http://h.org/d/bare", "http://h.org/d/é’A", "http://h.org/d/a b"]
+    assert by["conversion"] == "xxxxx©&lt;&nosuch;\ufffd\ufffd&&#;'"
+
+
 # fingerprints
 
 
