@@ -385,12 +385,30 @@ def test_contamination(spark, make):
     items = [(i, " ".join(word() for _ in range(40))) for i in range(6)] + [(6, None), (7, ""), (8, "two words"), (0, "repeated item id has other words in it")]
     w = items[1][1].split()
     mixed = " ".join(w[20:40] + [word() for _ in range(5)] + w[0:20])
-    rows = [(1, f"{LONG} {items[0][1].upper()} tail"), (2, mixed), (3, " ".join(w[:15])), (4, None), (5, ""), (6, "has two words here"), (7, items[3][1]), (7, items[3][1]), (8, " ".join(word() for _ in range(300)))]
+    rows = [(1, f"{LONG} {items[0][1].upper()} tail"), (2, mixed), (3, " ".join(w[:15])), (4, None), (5, ""), (6, "has two words here"), (9, "Two, words!"), (7, items[3][1]), (7, items[3][1]), (8, " ".join(word() for _ in range(300)))]
     bench = spark.createDataFrame(items, "item_id bigint, text string").withColumn("doc_id", F.lit(1))
     docs = make(rows)
-    for block in (10, 10_000):
-        got = sorted((r.doc_id, r.item_id, round(r.coverage, 3)) for r in decontaminate.contaminated(docs, bench, block_tokens=block).collect())
-        assert got == [(1, 0, 1.0), (2, 1, 1.0), (6, 8, 1.0), (7, 3, 1.0), (7, 3, 1.0)]
-        kept = decontaminate.drop_contaminated(docs, bench, block_tokens=block)
-        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 8]
+    for most in (10, 10_000):  # joined by shuffle, and sent to the tasks
+        got = sorted((r.doc_id, r.item_id, round(r.coverage, 3)) for r in decontaminate.contaminated(docs, bench, broadcast_tokens=most).collect())
+        assert got == [(1, 0, 1.0), (2, 1, 1.0), (7, 3, 1.0), (7, 3, 1.0), (9, 8, 1.0)]
+        kept = decontaminate.drop_contaminated(docs, bench, broadcast_tokens=most)
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6, 8]
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 and decontaminate.contaminated(make([]), bench).count() == 0
+
+
+def test_contamination_of_repeated_items_and_ids(spark, make):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words[:30])), (1, " ".join(words[30:])), (None, " ".join(words[:30])), (2, "nothing of it")]
+    bench = spark.createDataFrame([(5, " ".join(words[:30])), (5, " ".join(words[:30])), (None, " ".join(words[20:50]))], "item_id bigint, text string")
+    each = []
+    for most in (1, 10_000):
+        found = decontaminate.contaminated(make(rows), bench, broadcast_tokens=most).collect()
+        each.append(sorted(str((r.doc_id, r.item_id, round(r.coverage, 3), r.n_tiles, r.longest)) for r in found))
+        assert [r.doc_id for r in decontaminate.drop_contaminated(make(rows), bench, broadcast_tokens=most).collect()] == [2]
+    assert each[0] == each[1] and len(each[0]) == 5
+
+
+def test_decontamination_query_both_ways(spark):
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    sent, joined = (decontaminate.contaminated(docs, bench, broadcast_tokens=n).collect() for n in (10**6, 10))
+    assert len(sent) > 3 and sorted(map(str, sent)) == sorted(map(str, joined))
