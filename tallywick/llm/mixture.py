@@ -1,14 +1,18 @@
 """Mixing sources to target weights by iterative proportional fitting (raking).
 
 Token weights of the cells (one per combination of the categories) are raked until their marginals
-meet the targets of every dimension; a cell's ratio of raked to natural share then calibrates the
-sampling probability of its documents, min(1, c * ratio), with c solved so that the expected tokens
-are the wanted share of all tokens. Documents are drawn by a hash of their id, so the sample is
-reproducible and does not depend on partitioning.
+meet the targets of every dimension. Targets are shares by category, given per dimension; what they
+leave goes to the categories not named, by their own token shares to a power. Raking ends when no
+marginal is off by more than the tolerance, and `marginals` reports what is left. A cell's ratio of
+raked to natural share then calibrates the sampling probability of its documents, min(1, c * ratio),
+with c solved so that the expected tokens are the wanted share of all tokens. Documents are drawn by a
+hash of their id, so the sample is reproducible and does not depend on partitioning.
 
 All work on documents is one pre-aggregating groupBy and one join with the cells; raking runs on the
 cells table as window sums per category. Defined results: a null category is the category "(none)";
-null or empty texts count no tokens; a cell without tokens has the ratio 1; rows with equal ids are
+null or empty texts count no tokens; a cell without tokens has the ratio 1; named categories that the
+table lacks count nothing, and the shares of those it has are scaled down where they exceed 1; a
+category whose target is 0 is not drawn; targets that no weights can meet end after `most` rounds; rows with equal ids are
 kept or dropped together; rows with a null id are drawn as one id; other columns pass through; in
 `mix` an input column named weight or probability is replaced, in `drawn` it stays; an empty table
 gives an empty result.
@@ -42,24 +46,56 @@ def word_count(text_col: str = "text") -> Column:
     return F.when(text == "", 0).otherwise(F.size(F.split(text, r"[ \n\t\r]+"))).cast("long")
 
 
-def rake(cells: DataFrame, dims: list[str], tempering: float = 0.5, rounds: int = 8) -> DataFrame:
-    """cells (dims, tokens) with `weight`: raked share over natural share.
-
-    The target of a category is its token share to the power `tempering`, normalised: 1 keeps the
-    natural mix, 0 makes the categories equal. Each round scales every dimension once.
-    """
+def _aimed(cells: DataFrame, dims: list[str], tempering: float, targets: dict[str, dict[str, float]]) -> DataFrame:
+    """cells with all_tokens, the natural share as `raked`, and target_<dim> of every dimension."""
     total = cells.agg(F.sum("tokens").cast("double").alias("all_tokens"))
     out = cells.crossJoin(F.broadcast(total)).withColumn("raked", F.col("tokens") / F.nullif("all_tokens", F.lit(0.0)))
     for d in dims:
-        shares = cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(tempering)).alias("t"))
-        norm = shares.agg(F.sum("t").alias("norm"))
-        out = out.join(shares.crossJoin(F.broadcast(norm)).select(F.col(d).alias(f"__{d}"), (F.col("t") / F.nullif("norm", F.lit(0.0))).alias(f"target_{d}")), F.col(d) == F.col(f"__{d}")).drop(f"__{d}")
-    for _ in range(rounds):
-        for d in dims:
-            of_category = F.sum("raked").over(Window.partitionBy(d))
-            out = out.withColumn("raked", F.coalesce(F.col("raked") * F.col(f"target_{d}") / F.nullif(of_category, F.lit(0.0)), F.lit(0.0)))
+        named = targets.get(d, {})
+        given = F.lit(None).cast("double")
+        for category, share in named.items():
+            given = F.when(F.col(d) == category, F.lit(float(share))).otherwise(given)
+        shares = cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("n")).withColumn("given", given)
+        free = F.when(F.col("given").isNull(), F.pow("n", F.lit(tempering)))
+        shares = shares.withColumn("free", free)
+        sums = shares.agg(F.coalesce(F.sum("given"), F.lit(0.0)).alias("taken"), F.coalesce(F.sum("free"), F.lit(0.0)).alias("rest"))
+        # without categories to take what is left, and beyond 1, the given shares are scaled
+        scale = F.when((F.col("taken") > 1) | (F.col("rest") == 0), F.nullif("taken", F.lit(0.0))).otherwise(F.lit(1.0))
+        left = F.greatest(1 - F.col("taken"), F.lit(0.0))
+        target = F.coalesce(F.col("given") / scale, left * F.col("free") / F.nullif("rest", F.lit(0.0)))
+        aims = shares.crossJoin(F.broadcast(sums)).select(F.col(d).alias(f"__{d}"), target.alias(f"target_{d}"))
+        out = out.join(aims, F.col(d) == F.col(f"__{d}")).drop(f"__{d}")
+    return out
+
+
+def marginals(raked: DataFrame, dims: list[str]) -> DataFrame:
+    """dimension, category, target, reached and residual of raked cells."""
+    parts = [raked.groupBy(F.col(d).alias("category")).agg(F.max(f"target_{d}").alias("target"), F.sum("raked").alias("reached")).select(F.lit(d).alias("dimension"), "category", "target", "reached") for d in dims]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out.withColumn("residual", F.abs(F.col("reached") - F.col("target")))
+
+
+def rake(cells: DataFrame, dims: list[str], tempering: float = 0.5, targets: dict[str, dict[str, float]] | None = None, tolerance: float = 1e-9, most: int = 64) -> DataFrame:
+    """cells (dims, tokens) with raked share, targets and `weight`: raked share over natural share.
+
+    targets: shares by category of a dimension; categories without one get what is left by their token
+    share to the power `tempering`: 1 keeps the natural mix, 0 makes them equal. Each round scales every
+    dimension once; after every eight of them, at most `most` in all, the residual is measured.
+    """
+    scratch = Scratch(cells.sparkSession, "rake")
+    out = scratch.save(_aimed(cells, dims, tempering, targets or {}), "aimed")
+    for done in range(8, most + 8, 8):
+        for _ in range(8):
+            for d in dims:
+                of_category = F.sum("raked").over(Window.partitionBy(d))
+                out = out.withColumn("raked", F.coalesce(F.col("raked") * F.col(f"target_{d}") / F.nullif(of_category, F.lit(0.0)), F.lit(0.0)))
+        out = scratch.save(out, "raked")
+        if done >= most or (marginals(out, dims).agg(F.max("residual")).first()[0] or 0.0) <= tolerance:
+            break
     ratio = F.coalesce(F.col("raked") * F.col("all_tokens") / F.nullif(F.col("tokens").cast("double"), F.lit(0.0)), F.lit(1.0))
-    return out.select(*dims, "tokens", ratio.alias("weight"))
+    return out.withColumn("weight", ratio)
 
 
 def calibrate(cells: DataFrame, keep_share: float) -> float:
@@ -87,25 +123,27 @@ def _free(df: DataFrame, name: str) -> str:
     return name
 
 
-def _draw(docs: DataFrame, dims: dict[str, Column], tokens: Column, id_col: str, keep_share: float, tempering: float, rounds: int, seed: int) -> tuple[DataFrame, str, str]:
+def _draw(docs: DataFrame, dims: dict[str, Column], tokens: Column, id_col: str, keep_share: float, tempering: float, targets: dict[str, dict[str, float]] | None, seed: int) -> tuple[DataFrame, str, str]:
     scratch = Scratch(docs.sparkSession, "mixture")
     named = {_free(docs, f"__{d}"): F.coalesce(c.cast("string"), F.lit("(none)")) for d, c in dims.items()}
     weight, chance = _free(docs, "__weight"), _free(docs, "__chance")
     keyed = docs.withColumns(named)
     counted = docs.select(*(c.alias(n) for n, c in named.items()), tokens.alias("tokens"))
     cells = scratch.save(counted.groupBy(*named).agg(F.sum("tokens").alias("tokens")), "cells")
-    raked = scratch.save(rake(cells, list(named), tempering, rounds), "raked")
+    aims = {n: (targets or {}).get(d, {}) for n, d in zip(named, dims, strict=True)}
+    raked = rake(cells, list(named), tempering, aims)
     chances = raked.select(*named, F.col("weight").alias(weight), F.least(F.lit(1.0), F.col("weight") * F.lit(calibrate(raked, keep_share))).alias(chance))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
     return keyed.join(chances, list(named)).filter(draw < F.col(chance)), weight, chance
 
 
-def mix(docs: DataFrame, dims: dict[str, Column], tokens: Column, id_col: str = "doc_id", keep_share: float = 0.8, tempering: float = 0.5, rounds: int = 8, seed: int = 17) -> DataFrame:
-    """The drawn rows of docs, with weight and probability; dims names a column for each dimension."""
-    rows, weight, chance = _draw(docs, dims, tokens, id_col, keep_share, tempering, rounds, seed)
+def mix(docs: DataFrame, dims: dict[str, Column], tokens: Column, id_col: str = "doc_id", keep_share: float = 0.8, tempering: float = 0.5, targets: dict[str, dict[str, float]] | None = None, seed: int = 17) -> DataFrame:
+    """The drawn rows of docs, with weight and probability; dims names a column for each dimension, and
+    targets gives shares by category of some of them."""
+    rows, weight, chance = _draw(docs, dims, tokens, id_col, keep_share, tempering, targets, seed)
     return rows.select(*(c for c in docs.columns if c not in OUTPUTS), F.col(weight).alias("weight"), F.col(chance).alias("probability"))
 
 
-def drawn(docs: DataFrame, dims: dict[str, Column], tokens: Column, id_col: str = "doc_id", keep_share: float = 0.8, tempering: float = 0.5, rounds: int = 8, seed: int = 17) -> DataFrame:
+def drawn(docs: DataFrame, dims: dict[str, Column], tokens: Column, id_col: str = "doc_id", keep_share: float = 0.8, tempering: float = 0.5, targets: dict[str, dict[str, float]] | None = None, seed: int = 17) -> DataFrame:
     """The drawn rows of docs as they are."""
-    return _draw(docs, dims, tokens, id_col, keep_share, tempering, rounds, seed)[0].select(docs.columns)
+    return _draw(docs, dims, tokens, id_col, keep_share, tempering, targets, seed)[0].select(docs.columns)

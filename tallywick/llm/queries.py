@@ -15,8 +15,9 @@ from tallywick.session import Scratch, table
 GOOD, MIN_TAIL = 2, 0.5
 #: The id that ends a document in the token files.
 END_ID = 2
-#: Share of all tokens that the mixture keeps.
+#: Share of all tokens that the mixture keeps, and the target weights of some languages and topics.
 KEEP_SHARE = 0.8
+TARGETS = {"lang": {"en": 0.4, "de": 0.2}, "topic": {"table": 0.02, "symbols": 0.01}}
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,18 +167,25 @@ def mixture_dims() -> dict[str, Column]:
 def op8_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents drawn after raking token weights to source, language and topic marginals."""
     docs = table(spark, sf_dir, "documents")
-    drawn = mixture.mix(docs, mixture_dims(), mixture.word_count(), keep_share=KEEP_SHARE)
+    drawn = mixture.mix(docs, mixture_dims(), mixture.word_count(), keep_share=KEEP_SHARE, targets=TARGETS)
     return drawn.select("doc_id", "source", "lang", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"))
 
 
 def _op8_sql() -> str:
-    """The same raking, unrolled round by round, with c from the sorted cells in closed form."""
+    """The same raking, unrolled over more rounds than it needs, with c from the sorted cells in closed form."""
     dims, steps, last = ("source", "lang", "topic"), [], "r0"
-    for i in range(1, 8 * 3 + 1):
+    for i in range(1, 24 * 3 + 1):
         d = dims[(i - 1) % 3]
         steps.append(f"r{i} AS MATERIALIZED (SELECT source, lang, topic, tokens, t_source, t_lang, t_topic, coalesce(raked * t_{d} / nullif(sum(raked) OVER (PARTITION BY {d}), 0), 0) AS raked FROM {last})")
         last = f"r{i}"
-    shares = ", ".join(f"m_{d} AS (SELECT {d}, power(sum(tokens)::DOUBLE, 0.5) / sum(power(sum(tokens)::DOUBLE, 0.5)) OVER () AS t_{d} FROM cells GROUP BY {d})" for d in dims)
+    def aims(d: str) -> str:
+        named = TARGETS.get(d, {})
+        given = f"CASE {d} {' '.join(f"WHEN '{k}' THEN {v}" for k, v in named.items())} END::DOUBLE" if named else "NULL::DOUBLE"
+        return f"""m_{d} AS (SELECT {d}, CASE WHEN g IS NOT NULL THEN g / CASE WHEN taken > 1 OR rest = 0 THEN taken ELSE 1 END ELSE greatest(1 - taken, 0) * p / rest END AS t_{d}
+  FROM (SELECT {d}, g, p, coalesce(sum(g) OVER (), 0) AS taken, coalesce(sum(CASE WHEN g IS NULL THEN p END) OVER (), 0) AS rest
+    FROM (SELECT {d}, {given} AS g, power(sum(tokens)::DOUBLE, 0.5) AS p FROM cells GROUP BY {d})))"""
+
+    shares = ", ".join(map(aims, dims))
     return f"""
 WITH keyed AS (
   SELECT doc_id, source AS source0, lang AS lang0, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
