@@ -20,6 +20,7 @@ table gives no rows. A relative link whose target has no scheme and host stays a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
@@ -41,6 +42,11 @@ DOTS = r"(?:^|/)\.{1,2}(?:/|$)"
 HEADER_LINE = r"^[!#$%&'*+.^_`|~0-9A-Za-z-]+:"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
 def character(code: Column) -> Column:
     """The character of a code point; U+FFFD where there is none."""
     known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
@@ -50,19 +56,24 @@ def character(code: Column) -> Column:
 
 def unescape_entities(text: Column) -> Column:
     """Character references resolved, each once, so an escaped reference stays readable."""
-    names = F.create_map(*(F.lit(x) for k, v in sorted(name2codepoint.items()) for x in (k, chr(v))))
-    names = F.map_concat(names, F.create_map(F.lit("apos"), F.lit("'")))
+    names = F.create_map(*(F.lit(x) for k, v in [*sorted(name2codepoint.items()), ("apos", 39)] for x in (k, chr(v))))
+
+    def numeric(name: Column) -> Column:
+        code = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 8))
+        return character(code.cast("long"))
+
+    def shown(p: Column, name: Column) -> Column:
+        char = F.when(name.startswith("#"), numeric(name)).when(name != "", F.try_element_at(names, name))
+        return let(char, lambda c: F.when(c.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(c, F.substr(p, F.length(name) + 2))))
 
     def part(p: Column) -> Column:
-        name = F.regexp_extract(p, REFERENCE, 1)
-        digits = F.substring(name, 2, 8)
-        code = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(digits)
-        shown = F.when(name.startswith("#"), character(code.cast("long"))).otherwise(F.try_element_at(names, name))
-        return F.when((name == "") | shown.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(shown, F.substr(p, F.length(name) + 2)))
+        other = let(F.regexp_extract(p, REFERENCE, 1), lambda name: shown(p, name))
+        return F.when(p.startswith("amp;"), F.concat(F.lit("&"), F.substr(p, F.lit(5)))).otherwise(other)
+
+    def made(parts: Column) -> Column:
+        return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), part), ""))
 
-    parts = F.split(text, "&")
-    made = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), part), ""))
-    return F.when(text.contains("&"), made).otherwise(text)
+    return let(text, lambda t: F.when(t.contains("&"), let(F.split(t, "&"), made)).otherwise(t))
 
 
 def plain_text(html: Column) -> Column:
@@ -74,8 +85,9 @@ def plain_text(html: Column) -> Column:
 
 def link_value(raw: Column) -> Column:
     """The reference that an href attribute's value stands for."""
-    bare = unescape_entities(F.regexp_replace(raw, "^[\"']|[\"']$", ""))
-    return F.trim(F.regexp_replace(bare, "[\t\r\n]", ""))
+    quoted = F.substring(raw, 1, 1).isin("'", '"')
+    bare = F.when(quoted, F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+    return F.trim(F.translate(unescape_entities(bare), "\t\r\n", ""))
 
 
 def without_dots(path: Column) -> Column:
@@ -85,27 +97,34 @@ def without_dots(path: Column) -> Column:
         popped = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))
         return F.when(s == ".", done).when(s == "..", popped).otherwise(F.concat(done, F.array(s)))
 
-    parts = F.split(path, "/")
-    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts) - 1), F.slice(parts, 1, 1), step)
-    last = F.element_at(parts, -1)
-    made = F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
-    return F.when(path.rlike(DOTS), made).otherwise(path)
+    def made(parts: Column) -> Column:
+        kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts) - 1), F.slice(parts, 1, 1), step)
+        return F.concat(F.array_join(kept, "/"), F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
+
+    return let(path, lambda p: F.when(p.rlike(DOTS), let(F.split(p, "/"), made)).otherwise(p))
 
 
 def resolve(link: Column, base: Column) -> Column:
     """A reference resolved against a base by RFC 3986. base: struct of scheme, host, path and query."""
-    scheme, host, path, query, fragment = (F.regexp_extract(link, URI, i) for i in range(1, 6))
-    folder = F.regexp_extract(base["path"], "^(.*/)", 1)
-    folder = F.when((folder == "") & (base["host"] != ""), "/").otherwise(folder)
+    parts = F.struct(*(F.regexp_extract(link, URI, i).alias(c) for i, c in enumerate(("scheme", "host", "path", "query", "fragment"), 1)))
+    whole = let(parts, lambda r: F.when((base["scheme"] == "") & (r["scheme"] == ""), link).otherwise(_absolute(r, base, link)))
+    # most links of a page are paths from its root
+    rooted = link.startswith("/") & ~link.startswith("//") & ~link.contains(".") & (base["scheme"] != "")
+    return F.when(rooted, F.concat(base["scheme"], base["host"], link)).otherwise(whole)
+
+
+def _absolute(ref: Column, base: Column, link: Column) -> Column:
+    scheme, host, path, query, fragment = (ref[c] for c in ("scheme", "host", "path", "query", "fragment"))
     rooted = F.concat(base["scheme"], base["host"])
     same = F.concat(rooted, base["path"], F.when(query == "", base["query"]).otherwise(query), fragment)
+    folder = F.regexp_extract(base["path"], "^(.*/)", 1)
+    folder = F.when(base["path"].contains("/"), folder).when(base["host"] != "", "/").otherwise("")
     return (
-        F.when((base["scheme"] == "") & (scheme == ""), link)
-        .when(path.startswith("/") & (scheme == "") & (host == ""), F.concat(rooted, without_dots(path), query, fragment))
-        .when((scheme != "") & (host == ""), link)
+        F.when((scheme != "") & (host == ""), link)
         .when(scheme != "", F.concat(scheme, host, without_dots(path), query, fragment))
         .when(host != "", F.concat(base["scheme"], host, without_dots(path), query, fragment))
         .when(path == "", same)
+        .when(path.startswith("/"), F.concat(rooted, without_dots(path), query, fragment))
         .otherwise(F.concat(rooted, without_dots(F.concat(folder, path)), query, fragment))
     )
 
@@ -164,7 +183,7 @@ def derive(responses: DataFrame, keep: list[str], record_id: str = "record_id",
         F.struct(*(F.regexp_extract(text[target], URI, i).alias(c) for i, c in enumerate(("scheme", "host", "path", "query"), 1))).alias("base"),
         F.regexp_extract_all(text[payload], F.lit(LINKS), 1).alias("links"),
     )
-    links = _each("outlink: ", F.transform("links", lambda x: resolve(link_value(x), F.col("base"))))
+    links = _each("outlink: ", F.transform("links", lambda x: let(link_value(x), lambda y: resolve(y, F.col("base")))))
     title = F.trim(F.regexp_replace(unescape_entities(F.regexp_extract("payload", TITLE, 1)), "[ \t\r\n]+", " "))
     heads = _each("http-header: ", F.col("source_headers"))
     fields = F.concat(F.lit("title: "), title, F.lit("\r\nhttp-status: "), F.col("status"), F.lit("\r\n"), heads, links)
