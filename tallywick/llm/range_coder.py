@@ -166,10 +166,12 @@ def _predictions(grid: np.ndarray) -> np.ndarray:
         known = np.concatenate([before, part])
         at = _places(known[1:-1], known[:-2], m.row)
         before, coded = known[-2:], part + 1
+        cases, same = np.empty((len(part), 2, n), np.uint8), np.empty((len(part), n), bool)
         for k in range(len(part)):
             m.look(at[k])
-            one, two = m.learn(coded[k])
-            np.add(two + (one << 4), (m.held[0] == m.held[1]) << 8, out=said[first + k], casting="unsafe")
+            cases[k] = m.learn(coded[k])
+            np.equal(m.held[0], m.held[1], out=same[k])
+        said[first : first + REBUILD] = cases[:, 1] + (cases[:, 0].astype(np.int16) << 4) + (same.astype(np.int16) << 8)
     return said
 
 
@@ -216,7 +218,8 @@ def encode_blocks(ids: np.ndarray, block: int) -> tuple[bytes, list[bytes]]:
     packed = model.pack()
 
     out = np.zeros((n, block + 4), np.uint32)
-    words, row, at = out.ravel(), np.arange(n) * (block + 4), np.zeros(n, np.int64)
+    words, row = out.ravel(), np.arange(n) * (block + 4)
+    at = row.copy()
     low, span, unit, more = np.zeros(n), np.full(n, _TWO48), np.empty(n), np.empty(n)
     lane = np.arange(n, dtype=np.int64)
     counts = np.zeros((n, CLASSES), np.int64)
@@ -241,21 +244,23 @@ def encode_blocks(ids: np.ndarray, block: int) -> tuple[bytes, list[bytes]]:
             np.multiply(unit, size[k], out=span)
             over = np.flatnonzero(low >= _TWO48)
             if len(over):
-                words[row[over] + at[over] - 1] += 1
+                words[at[over] - 1] += 1
                 low[over] -= _TWO48
             full = np.flatnonzero(span < _TWO32)
             if len(full):
                 x = low[full]
                 top = np.floor(x / _TWO32)
-                words[row[full] + at[full]] = top
-                at[full] += 1
+                spot = at[full]
+                words[spot] = top
+                at[full] = spot + 1
                 low[full] = (x - top * _TWO32) * _TWO16
                 span[full] *= _TWO16
     for k in (_TWO32, _TWO16, 1.0):
         top = np.floor(low / k)
-        words[row + at] = top
+        words[at] = top
         low -= top * k
         at += 1
+    at -= row
     for j in range(int(at.max()) - 1, 0, -1):  # carries wait in the upper half of a word
         out[:, j - 1] += out[:, j] >> np.uint32(16)
     widths = WIDTH.astype(np.uint8)[classes] * by_rest
@@ -278,18 +283,19 @@ def decode_blocks(packed: bytes, payloads: list[bytes], total: int, block: int)
     bit = (row + np.array([int.from_bytes(p[:4], "little") for p in payloads])) * 16
     code = stream[row] * _TWO32 + stream[row + 1] * _TWO16 + stream[row + 2]
     # at every word, it and the next two as one number, from which the plain bits are cut
-    pair = stream.astype(np.uint32) << np.uint32(16)
+    pair = stream.astype(np.int64) << 16
     pair[:-1] |= stream[1:]
     last = len(stream) - 1
     span, lane = np.full(n, _TWO48), np.arange(n, dtype=np.int64)
     m, counts = _Contexts(n), np.zeros((n, CLASSES), np.int64)
     out, rest_of = np.empty((block, n), np.int32), np.empty((min(REBUILD, block), n), np.uint8)
-    cum_row, slot_row = lane * CLASSES, lane << WHOLE_BITS
+    cum_row, slot_row = lane * CLASSES, (lane << WHOLE_BITS) - 1
     p1, p2 = np.zeros(n, np.int32), np.zeros(n, np.int32)
     # order-2 shares in the second row, as the contexts have them
     shares = np.concatenate([model.share_one, model.share_two]).astype(np.uint32)
     of_row = np.array([[0], [TOP + 1]], np.int32)
-    spread = (BASE << 5 | WIDTH).astype(np.int32)
+    spread = (BASE + 1 << 5 | WIDTH).astype(np.int32)
+    mask_of, below = (1 << np.arange(32)) - 1, np.full(n, 32)
     for step in range(block):
         k = step % REBUILD
         if not k:
@@ -304,15 +310,16 @@ def decode_blocks(packed: bytes, payloads: list[bytes], total: int, block: int)
         s_one, s_two = shares.take(m.c + of_row, mode="clip")
         held_one, held_two = m.held
         s_one *= held_one != held_two
-        edge = (s_two + ((MOST - s_two) * s_one >> np.uint32(MIX_BITS))).astype(np.int32)
-        s_two = s_two.astype(np.int32)
+        edge = (s_two + ((MOST - s_two) * s_one >> np.uint32(MIX_BITS))).view(np.int32)
+        s_two = s_two.view(np.int32)
         rest = (1 << MIX_BITS) - edge
         unit = np.floor(span * (1 / _TWO16))
         value = (code / unit).astype(np.int32)
         two, one = -(value < s_two).astype(np.int32), -(value < edge).astype(np.int32)
-        # the least x with x * rest >> WHOLE_BITS beyond the value lies in the class's upper part
-        x = (((value - edge + 1 << WHOLE_BITS) + rest - 1) / rest).astype(np.int32)
-        c = class_at.take(np.maximum(x - 1, 0) + slot_row, mode="clip")
+        # the least x with x * rest >> WHOLE_BITS beyond the value lies in the class's upper part; where
+        # order-1 or order-2 was right, any class will do
+        x = (((value - edge + 1 << WHOLE_BITS) + (rest - 1)) / rest).astype(np.int32)
+        c = class_at.take(x + slot_row, mode="clip")
         found = ranges.take(cum_row + c, mode="clip")
         lo = found >> WHOLE_BITS + 1
         hi = (lo + (found & (2 << WHOLE_BITS) - 1)) * rest >> WHOLE_BITS
@@ -333,9 +340,9 @@ def decode_blocks(packed: bytes, payloads: list[bytes], total: int, block: int)
             span[short] *= _TWO16
         found = spread.take(c, mode="clip")
         width = found & 31 & ~one
-        place = pair.take(bit >> 4, mode="clip").astype(np.int64) >> 32 - (bit & 15) - width & (1 << width) - 1
+        place = pair.take(bit >> 4, mode="clip") >> below - (bit & 15) - width & mask_of.take(width)
         bit += width
-        i = (found >> 5) + place.astype(np.int32) + 1
+        i = (found >> 5) + place.astype(np.int32)
         i ^= (i ^ held_one) & one
         i ^= (i ^ held_two) & two
         np.bitwise_or(c, one & 255, out=rest_of[k], casting="unsafe")

@@ -95,7 +95,7 @@ class PieceTokenizer:
     characters or an added token's string go through the tokenizer whole.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
