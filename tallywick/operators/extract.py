@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallywick.functions.uris import resolve, uri_parts
 from tallywick.operators.ranking import first_per_group
 
 # Entities that plain text resolves, the ampersand last.
@@ -51,23 +52,42 @@ def table_cells(pages: DataFrame, key: str, html: str) -> DataFrame:
     return cells.select(key, "row", "cell", strip_markup(F.col("__c")).alias("text"))
 
 
-def links(pages: DataFrame, key: str, url: str, html: str, href: str = ".*", label: str = ".*") -> DataFrame:
-    """Same-origin links resolved against the page, the first label of each (O-112): key, href, label."""
-    found = F.regexp_extract_all(html, F.lit(r"(?is)(<a\s[^>]*href=\"[^\"]*\"[^>]*>.*?</a>)"), 1)
-    rows = pages.select(key, F.regexp_extract(url, r"^([a-z]+://[^/?#]+)", 1).alias("__o"), F.posexplode(found).alias("__p", "__a"))
-    raw = F.regexp_extract("__a", r"(?i)href=\"([^\"]*)\"", 1)
-    full = F.when(raw.startswith("/"), F.concat("__o", raw)).otherwise(raw)
-    rows = rows.select(key, "__o", "__p", full.alias("href"), strip_markup(F.col("__a")).alias("label"))
-    kept = rows.filter(F.col("href").startswith(F.concat("__o", F.lit("/"))) & F.col("href").rlike(href) & F.col("label").rlike(label))
-    return kept.groupBy(key, "href").agg(F.min_by("label", "__p").alias("label"))
+ANCHOR = r"(?is)(<a\s[^>]*href\s*=\s*(?:\"[^\"]*\"|'[^']*')[^>]*>.*?</a>)"
 
 
-def follow(index: DataFrame, pages: DataFrame, key: str, href: str, url: str, cap: int) -> DataFrame:
+def links(pages: DataFrame, key: str, url: str, html: str, href: str = ".*", label: str = ".*") -> DataFrame:
+    """Same-origin links resolved against the page, the first label of each (O-112): key, href, label
+    and place, the link's first position on its page."""
+    found = F.regexp_extract_all(html, F.lit(ANCHOR), 1)
+    rows = pages.select(key, uri_parts(F.col(url)).alias("__b"), F.posexplode(found).alias("__p", "__a"))
+    raw = F.regexp_extract("__a", r"(?is)href\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", 1)
+    raw = F.concat(raw, F.regexp_extract("__a", r"(?is)href\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", 2))
+    origin = F.concat(F.col("__b.scheme"), F.col("__b.host"))
+    rows = rows.select(key, origin.alias("__o"), "__p", resolve(F.trim(raw), F.col("__b")).alias("href"), strip_markup(F.col("__a")).alias("label"))
+    same = (F.col("href") == F.col("__o")) | F.col("href").rlike("^[^/]*//[^/?#]*[/?#]") & (F.regexp_extract("href", "^([^/]*//[^/?#]*)", 1) == F.col("__o"))
+    kept = rows.filter(same & F.col("href").rlike(href) & F.col("label").rlike(label))
+    return kept.groupBy(key, "href").agg(F.min_by("label", "__p").alias("label"), F.min("__p").alias("place"))
+
+
+def follow(index: DataFrame, pages: DataFrame, key: str, href: str, url: str, cap: int, order: str) -> DataFrame:
     """The landed pages that an index links to, at most `cap` per index page in link order (O-121)."""
-    first = index.withColumn("__rn", F.row_number().over(Window.partitionBy(key).orderBy(href))).filter(F.col("__rn") <= cap)
+    first = index.withColumn("__rn", F.row_number().over(Window.partitionBy(key).orderBy(order, href))).filter(F.col("__rn") <= cap)
     return first.select(key, F.col(href).alias(url)).join(pages, url)
 
 
+def follow_rounds(start: DataFrame, links: DataFrame, pages: DataFrame, url: str, source: str, href: str, order: str, caps: list[int]) -> DataFrame:
+    """Rounds of links from start pages: index, archive, page (O-121): url and round, the first in which
+    it was reached. links: source, href, order; each round takes at most its cap of a page's links."""
+    reached = start.select(url, F.lit(0).alias("round"))
+    frontier = reached.select(url)
+    for i, cap in enumerate(caps, 1):
+        index = links.join(frontier.select(F.col(url).alias(source)), source, "left_semi")
+        found = follow(index, pages.select(url), source, href, url, cap, order).select(url).distinct()
+        frontier = found.join(reached.select(url), url, "left_anti")
+        reached = reached.unionByName(frontier.select(url, F.lit(i).alias("round")))
+    return reached
+
+
 def carry_forward(df: DataFrame, partition: list[str], order: list[str], values: list[str], reset: str | None = None) -> DataFrame:
     """The last value that is not null applies on; with `reset`, a new value of that column starts a
     segment in which the others begin anew (O-113)."""
@@ -176,24 +196,6 @@ def wiki_links(text: Column) -> Column:
     return F.transform(found, lambda x: F.struct(F.trim(F.regexp_extract(x, r"^\[\[([^|\]]+)", 1)).alias("target"), F.trim(F.regexp_extract(x, r"([^|\[]+)\]\]$", 1)).alias("label")))
 
 
-def participants(lines: DataFrame, key: str, n: str, line: str, school: str) -> DataFrame:
-    """Entries from list or table lines with exactly one link to a school; first occurrence each (O-125)."""
-    linked = lines.filter(F.col(line).rlike(r"^\s*[|*]")).withColumn("__l", F.filter(wiki_links(F.col(line)), lambda x: x["target"].rlike(school)))
-    rows = linked.filter(F.size("__l") == 1).select(key, n, F.col("__l")[0]["target"].alias("article"), F.col("__l")[0]["label"].alias("short"))
-    return rows.groupBy(key, "article").agg(F.min_by("short", n).alias("short"), F.min(n).alias(n))
-
-
-def prefer_layouts(found: DataFrame, keys: list[str], layout: str, order: list[str]) -> DataFrame:
-    """Games found by several layouts: the first layout in rank that has one wins per key (O-126)."""
-    w = Window.partitionBy(*keys).orderBy(layout, *order)
-    return found.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
-
-
-def row_span_years(rows: DataFrame, key: str, n: str, year: str) -> DataFrame:
-    """A year cell that spans rows applies to the rows below it (O-127)."""
-    return carry_forward(rows, [key], [n], [year])
-
-
 def infobox_year(text: Column, field: str) -> Column:
     """The year of an infobox field (O-128)."""
     return F.regexp_extract(text, rf"\|\s*{field}\s*=\s*(\d{{4}})", 1).try_cast("int")

@@ -53,13 +53,15 @@ def accepted_votes(spark: SparkSession, d: str) -> DataFrame:
     return C.accepted_votes(_guarded(spark, d), "target", "visitor", ["ts", "event_id"]).select("target", "visitor", "event_id")
 
 
-@query("""WITH m AS (SELECT conv_id, turn, trim(CASE WHEN turn = 3 THEN '  ' WHEN turn = 1 THEN '  ' || substr(text, 1, 200) || ' ' ELSE text END, ' ') AS body, trim(CASE WHEN turn % 2 = 0 THEN ' ' ELSE role END, ' ') AS who FROM conversations)
+@query("""WITH m AS (SELECT conv_id, turn, trim(text, ' ') AS body, trim(role, ' ') AS who FROM (SELECT conv_id, turn, text, role FROM conversations UNION ALL SELECT conv_id, turn + 100, '  ' || role || ' ', ' ' FROM conversations UNION ALL SELECT conv_id, turn + 200, '   ', role FROM conversations))
  SELECT conv_id, turn, length(body)::BIGINT AS chars, nullif(who, '') AS name, 'draft' AS status, CASE WHEN body = '' THEN 'blank' WHEN length(body) > 200 THEN 'too long' WHEN length(who) > 20 THEN 'name too long' END AS rejected FROM m""")
 def message_intake(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations")
-    body = F.when(F.col("turn") == 3, "  ").when(F.col("turn") == 1, F.concat(F.lit("  "), F.substring("text", 1, 200), F.lit(" "))).otherwise(F.col("text"))
-    rows = c.select("conv_id", "turn", body.alias("body"), F.when(F.col("turn") % 2 == 0, " ").otherwise(F.col("role")).alias("name"))
-    return C.message_intake(rows, "body", "name").select("conv_id", "turn", F.length("body").cast("long").alias("chars"), "name", "status", "rejected")
+    """T-05 over the whole texts, over short messages in blanks without a name, and over blank ones."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("body"), F.col("role").alias("name"))
+    short = c.select("conv_id", (F.col("turn") + 100).alias("turn"), F.concat(F.lit("  "), "name", F.lit(" ")).alias("body"), F.lit(" ").alias("name"))
+    blank = c.select("conv_id", (F.col("turn") + 200).alias("turn"), F.lit("   ").alias("body"), "name")
+    rows = C.message_intake(c.unionByName(short).unionByName(blank), "body", "name")
+    return rows.select("conv_id", "turn", F.length("body").cast("long").alias("chars"), "name", "status", "rejected")
 
 
 @query(_EVT.replace("WITH ", "WITH RECURSIVE ") + """, o AS (SELECT event_id, visitor, ts, row_number() OVER (PARTITION BY visitor ORDER BY ts, event_id) AS rn FROM evt WHERE visitor IS NOT NULL),
@@ -91,20 +93,40 @@ def strip_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", X.strip_markup(F.col("html")).alias("t")).select("page_id", F.md5("t").alias("text_md5"), F.length("t").cast("long").alias("chars"))
 
 
-@query("""WITH a AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS o, unnest(regexp_extract_all(html, '(?is)(<a\\s[^>]*href="[^"]*"[^>]*>.*?</a>)', 1)) AS a, unnest(range(len(regexp_extract_all(html, '(?is)(<a\\s[^>]*href="[^"]*"[^>]*>.*?</a>)', 1)))) AS p FROM pages),
- l AS (SELECT page_id, o, p, CASE WHEN starts_with(h, '/') THEN o || h ELSE h END AS href, label FROM (SELECT *, regexp_extract(a, '(?i)href="([^"]*)"', 1) AS h, """.replace("\\\\", "\\") + _PLAIN.format("a") + """ AS label FROM a))
- SELECT page_id, href, arg_min(label, p) AS label FROM l WHERE starts_with(href, o || '/') GROUP BY ALL""")
+_LINKED = """WITH p AS (SELECT page_id, url, html FROM pages UNION ALL SELECT page_id + 1000000, url, '<a class=k href=''sub.html''>S</a><A HREF="../up?q=1#f">U &amp; V</A><a href="//cdn.example/x">C</a><a href="?only">Q</a><a href="sub.html">again</a>' FROM pages),
+ a AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS o, split_part(split_part(url, '#', 1), '?', 1) AS bare, unnest(regexp_extract_all(html, '(?is)(<a\\s[^>]*href=(?:"[^"]*"|''[^'']*'')[^>]*>.*?</a>)', 1)) AS a, unnest(range(len(regexp_extract_all(html, '(?is)(<a\\s[^>]*href=(?:"[^"]*"|''[^'']*'')[^>]*>.*?</a>)', 1)))) AS p FROM p),
+ h AS (SELECT *, trim(regexp_extract(a, '(?i)href=["'']([^"'']*)', 1)) AS h, """.replace("\\\\", "\\") + _PLAIN.format("a") + """ AS label FROM a),
+ b AS (SELECT *, CASE WHEN bare = o THEN o || '/' ELSE regexp_extract(bare, '^(.*/)', 1) END AS folder FROM h),
+ l AS (SELECT page_id, o, p, label, CASE WHEN starts_with(h, '//') THEN split_part(o, '//', 1) || h WHEN starts_with(h, '/') THEN o || h WHEN starts_with(h, '?') THEN bare || h WHEN starts_with(h, '../') THEN CASE WHEN folder = o || '/' THEN folder ELSE regexp_replace(folder, '[^/]*/$', '') END || substr(h, 4) ELSE folder || h END AS href FROM b)
+ """
+
+
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    """The pages, and each again with links relative to it in other quotes."""
+    p = table(spark, d, "pages").select("page_id", "url", "html")
+    more = """<a class=k href='sub.html'>S</a><A HREF="../up?q=1#f">U &amp; V</A><a href="//cdn.example/x">C</a><a href="?only">Q</a><a href="sub.html">again</a>"""
+    return p.unionByName(p.select((F.col("page_id") + 1000000).alias("page_id"), "url", F.lit(more).alias("html")))
+
+
+@query(_LINKED + "SELECT page_id, href, arg_min(label, p) AS label, min(p)::INT AS place FROM l WHERE starts_with(href, o || '/') OR starts_with(href, o || '?') GROUP BY ALL")
 def link_extract(spark: SparkSession, d: str) -> DataFrame:
-    return X.links(table(spark, d, "pages"), "page_id", "url", "html")
+    return X.links(_linked(spark, d), "page_id", "url", "html")
 
 
-@query(r"""WITH o AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin FROM pages), x AS (SELECT origin, min(page_id) AS home FROM o GROUP BY 1),
- l AS (SELECT DISTINCT home, url FROM o JOIN x USING (origin)), c AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY home ORDER BY url) <= 30) SELECT home, p.page_id FROM c JOIN pages p USING (url)""")
+@query(r"""WITH n AS (SELECT count(*) AS n FROM pages), e AS (SELECT page_id AS source, (page_id * 7 + 13 * place + 5) % n AS page_id, place FROM pages, n, (SELECT unnest(range(6))::INT AS place)),
+ o AS (SELECT min(page_id) AS page_id FROM pages GROUP BY regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)), i AS (SELECT DISTINCT source, page_id, place FROM e),
+ k AS (SELECT source, page_id, row_number() OVER (PARTITION BY source ORDER BY place, page_id) AS rn FROM i),
+ r1 AS (SELECT DISTINCT p.page_id FROM k JOIN o ON k.source = o.page_id JOIN pages p ON p.page_id = k.page_id WHERE rn <= 3 AND p.page_id NOT IN (SELECT page_id FROM o)),
+ r2 AS (SELECT DISTINCT p.page_id FROM k JOIN r1 ON k.source = r1.page_id JOIN pages p ON p.page_id = k.page_id WHERE rn <= 5 AND p.page_id NOT IN (SELECT page_id FROM o UNION SELECT page_id FROM r1))
+ SELECT page_id, 0 AS round FROM o UNION ALL SELECT page_id, 1 FROM r1 UNION ALL SELECT page_id, 2 FROM r2""")
 def page_follow(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pages").select("page_id", "url", F.regexp_extract("url", r"^([a-z]+://[^/?#]+)", 1).alias("origin"))
-    home = p.groupBy("origin").agg(F.min("page_id").alias("home"))
-    index = p.join(home, "origin").select("home", F.col("url").alias("href")).distinct()
-    return X.follow(index, p.select("page_id", "url"), "home", "href", "url", 30).select("home", "page_id")
+    """O-121: from each site's first page two rounds of links, three and five a page in their order."""
+    p = table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^([a-z]+://[^/?#]+)", 1).alias("origin"))
+    start = p.groupBy("origin").agg(F.min("page_id").alias("page_id"))
+    size = p.agg(F.count("*").alias("n"))
+    to = (F.col("page_id") * 7 + 13 * F.col("place") + 5) % F.col("n")
+    edges = p.crossJoin(F.broadcast(size)).withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(5)))).select(F.col("page_id").alias("source"), to.alias("href"), "place").distinct()
+    return X.follow_rounds(start, edges, p, "page_id", "source", "href", "place", [3, 5])
 
 
 @query(r"""SELECT page_id FROM pages WHERE regexp_matches(html, '(?i)<\s*(?:script|iframe)\b|\son[a-z]+\s*=|(?:href|src)\s*=\s*["'']?\s*javascript:')""")
@@ -152,7 +174,8 @@ def ordered_title_pick(spark: SparkSession, d: str) -> DataFrame:
     return X.first_landed(plan, landed, "slot", "place", "title", "size", 1000).select("slot", F.col("title").alias("doc_id"))
 
 
-@query("SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY substr(text, 1, 20) ORDER BY CASE WHEN doc_id % 10 = length(text) % 10 THEN 0 ELSE 1 END, doc_id) = 1")
+@query("SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY CASE WHEN doc_id % 10 = length(text) % 10 THEN 0 ELSE 1 END, doc_id) = 1")
 def version_pick(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 20).alias("title"), (F.col("doc_id") % 10 == F.length("text") % 10).alias("own"))
-    return X.pick_version(docs, "title", F.col("own"), "doc_id").select("doc_id")
+    """O-07: of the records of one text the one whose number its length names, else the first."""
+    docs = table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 10 == F.length("text") % 10).alias("own"))
+    return X.pick_version(docs, "text", F.col("own"), "doc_id").select("doc_id")

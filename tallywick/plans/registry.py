@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywick.plans import event_queries, resolve_queries, search_queries, stats_queries, tournament_queries  # noqa: F401
+from tallywick.plans import document_queries, event_queries, name_queries, resolve_queries, search_queries, source_queries, stats_queries, tournament_queries  # noqa: F401
 from tallywick.plans.catalog import QUERIES, SQL, Query
 
 flagship = stats_queries.flagship

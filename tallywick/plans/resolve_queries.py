@@ -78,15 +78,20 @@ def second_chance_match(spark: SparkSession, d: str) -> DataFrame:
     return resolve.second_chance(rows, rows, seen, ["year"], "name", "name", "target").select("year", "entity", "target", "via")
 
 
-@query("""WITH cand AS (SELECT source, target, target % 13 = 0 AS redirect FROM (SELECT b.item_id AS item, substr(b.text, 1, 24) AS source, d.doc_id AS target FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40)),
- mas AS (SELECT doc_id AS target FROM documents WHERE doc_id % 3 > 0), kn AS (SELECT * FROM cand WHERE target IN (SELECT target FROM mas)),
- r AS (SELECT source, min(target) AS r FROM kn WHERE redirect GROUP BY 1), m AS (SELECT kn.source, list_sort(list(DISTINCT kn.target)) AS m FROM kn JOIN documents d ON d.doc_id = kn.target AND contains(d.text, kn.source) GROUP BY 1)
+@query("""WITH w AS (SELECT doc_id, unnest(list_distinct(string_split(coalesce(text, ''), ' '))) AS word FROM documents), k AS (SELECT DISTINCT string_split(text, ' ')[1] AS source FROM benchmark WHERE text <> ''),
+ cand AS (SELECT k.source, d.doc_id AS target, starts_with(d.text, k.source || ' ') AS redirect FROM k JOIN w ON word = k.source JOIN documents d USING (doc_id)),
+ mas AS (SELECT doc_id AS target FROM labels WHERE quality = 1), kn AS (SELECT * FROM cand WHERE target IN (SELECT target FROM mas)),
+ r AS (SELECT source, min(target) AS r FROM kn WHERE redirect GROUP BY 1), m AS (SELECT kn.source, list_sort(list(DISTINCT target)) AS m FROM kn JOIN documents d ON d.doc_id = kn.target AND contains(d.text, kn.source) GROUP BY 1)
  SELECT source, coalesce(r, CASE WHEN len(m) = 1 THEN m[1] END) AS target, CASE WHEN r IS NOT NULL THEN 'redirect' WHEN len(m) = 1 THEN 'mutual' ELSE 'pending' END AS how, coalesce(len(m), 0)::INT AS n_mutual FROM (SELECT DISTINCT source FROM cand) LEFT JOIN r USING (source) LEFT JOIN m USING (source)""")
 def mutual_reference(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("target"), "text")
-    items = table(spark, d, "benchmark").select((F.col("item_id") % 40).alias("slot"), F.substring("text", 1, 24).alias("source"))
-    pairs = docs.select("target", (F.col("target") % 40).alias("slot")).join(items, "slot").select("source", "target", (F.col("target") % 13 == 0).alias("redirect"))
-    return resolve.mutual_references(pairs, docs, docs.filter("target % 3 > 0").select("target"), "source", "target", "text", "redirect")
+    """O-46: first words of the items, candidates every document that has the word, by a join on words;
+    documents that begin with it redirect, those rated good are the master."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("target"), F.coalesce("text", F.lit("")).alias("text"))
+    words = docs.select("target", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("source"))
+    items = table(spark, d, "benchmark").filter("text <> ''").select(F.split("text", " ")[0].alias("source")).distinct()
+    pairs = words.join(items, "source").select("source", "target", F.expr("startswith(text, source || ' ')").alias("redirect"))
+    master = table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").cast("long").alias("target"))
+    return resolve.mutual_references(pairs, docs, master, "source", "target", "text", "redirect")
 
 
 @query("""WITH o AS (SELECT o_custkey + CASE WHEN o_orderkey % 10 = 0 THEN 1000000 ELSE 0 END AS k, o_orderstatus AS label FROM orders)

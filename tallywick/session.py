@@ -29,10 +29,13 @@ def get_session(master: str | None = None, **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir` of the session.
 
-    Only where the cluster names none (tests on one machine) a temporary folder is made and set.
+    Only on one machine (a local master, as in tests) a temporary folder is made and set where none is
+    named; a cluster must name one.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR") or "/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

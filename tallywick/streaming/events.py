@@ -40,28 +40,42 @@ def guard_votes(votes: DataFrame, polls: DataFrame, options: DataFrame, poll: st
     return community.guard_votes(votes, polls, options, poll, option, ts)
 
 
-def running_counts(events: DataFrame, key: str, delta: Column) -> DataFrame:
-    """Counter per key for update mode, where deletes only follow their inserts (T-02)."""
-    return events.groupBy(key).agg(F.sum(delta).alias("n"))
+def saturating_counts(events: DataFrame, key: str, delta: Column, order: list[str]) -> DataFrame:
+    """Counter per key that never falls below zero, for update mode (T-02).
+
+    A batch's changes are taken in their order and then end at the counter's new value; changes of a
+    later batch come after them. The state of a key is one number.
+    """
+    out = T.StructType([T.StructField(key, events.schema[key].dataType), T.StructField("n", T.LongType())])
+
+    def apply(k: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        n = state.get[0] if state.exists else 0
+        for d in pd.concat(list(frames)).sort_values(order)["__delta"]:
+            n = max(n + int(d), 0)
+        state.update((n,))
+        yield pd.DataFrame({key: [k[0]], "n": [n]})
+
+    rows = events.withColumn("__delta", delta.cast("long"))
+    return rows.groupBy(key).applyInPandasWithState(apply, out, T.StructType([T.StructField("n", T.LongType())]), "update", "NoTimeout")
 
 
-def rate_limit(events: DataFrame, visitor: str, ts: str, limit: int, seconds: int) -> DataFrame:
-    """Accepted and rejected events with state of at most `limit` times per visitor (T-06).
+def rate_limit(events: DataFrame, visitor: str, ts: str, key: str, limit: int, seconds: int) -> DataFrame:
+    """Accepted and rejected events by their key, with state of at most `limit` times per visitor (T-06).
 
-    Within a batch a visitor's events are taken in order of time; events of a later batch that are
-    older than the state's come after it. Needs a watermark on ts, which also expires idle state.
+    Within a batch a visitor's events are taken in order of time and key; events of a later batch that
+    are older than the state's come after it. Needs a watermark on ts, which also expires idle state.
     """
-    out = T.StructType([T.StructField(visitor, events.schema[visitor].dataType), T.StructField(ts, T.TimestampType()), T.StructField("accepted", T.BooleanType())])
+    out = T.StructType([events.schema[key], events.schema[visitor], T.StructField(ts, T.TimestampType()), T.StructField("accepted", T.BooleanType())])
     state_schema = T.StructType([T.StructField("times", T.ArrayType(T.LongType()))])
 
-    def apply(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+    def apply(k: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         recent = list(state.get[0]) if state.exists else []
-        times = sorted(t for f in frames for t in f[ts])
+        rows = pd.concat([f[[key, ts]] for f in frames]).sort_values([ts, key])
         verdicts = []
-        for t in times:
+        for t in rows[ts]:
             now = t.value // 1000
             recent = [x for x in recent if now - x < seconds * 1_000_000]
             verdicts.append(len(recent) < limit)
@@ -70,7 +84,7 @@ def rate_limit(events: DataFrame, visitor: str, ts: str, limit: int, seconds: in
         state.update((recent,))
         newest = max(recent, default=0) // 1000 + seconds * 1000
         state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({visitor: key[0], ts: times, "accepted": verdicts})
+        yield pd.DataFrame({key: rows[key], visitor: k[0], ts: rows[ts], "accepted": verdicts})
 
     return events.groupBy(visitor).applyInPandasWithState(apply, out, state_schema, "append", "EventTimeTimeout")
 

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tallywick.operators import audit, community, extract, joins, ranking, search, stats, tournament, upsert
+from tallywick.operators import audit, community, extract, joins, ranking, search, stats, tournament, upsert, wikitext
 from tallywick.operators.ladder import MISSING, UNKNOWN, ladder_ordinal
 
 LADDER, SEASONS = ["gold", "silver", "semi"], ["spring", "summer", "autumn"]
@@ -188,16 +188,68 @@ def test_wikitext(spark):
     pages = spark.createDataFrame([(1, text)], "k int, t string")
     lines = extract.wiki_section(pages, "k", "t", "Teams")
     assert [r.line for r in lines.orderBy("n").collect()] == ["* [[North High|North]]{{ref|{{in}}}}", "=== sub ===", "| [[South High]]"]
-    got = extract.participants(lines, "k", "n", "line", "High$").orderBy("n").collect()
-    assert [(r.article, r.short) for r in got] == [("North High", "North"), ("South High", "South High")]
     assert pages.select(extract.strip_templates(F.lit("a{{b|{{c}}}}<ref>x</ref>d")).alias("t")).first().t == "ad"
     assert pages.select(extract.infobox_year(F.lit("| year = 1998 |"), "year").alias("y")).first().y == 1998
 
 
-def test_placeholders_layouts_and_spans(spark):
+def test_placeholders(spark):
     rows = spark.createDataFrame([("A",), ("--",), (None,)], "t string")
     assert extract.reject_placeholders(rows, "t", ["^--$"]).count() == 2
-    found = spark.createDataFrame([("t", 2, 1, "late"), ("t", 1, 9, "first")], "k string, layout int, n int, v string")
-    assert [r.v for r in extract.prefer_layouts(found, ["k"], "layout", ["n"]).collect()] == ["first"]
-    years = spark.createDataFrame([(1, 1, 2001), (1, 2, None), (1, 3, 2002)], "k int, n int, y int")
-    assert [r.y for r in extract.row_span_years(years, "k", "n", "y").orderBy("n").collect()] == [2001, 2001, 2002]
+
+
+def test_participants(spark):
+    lines = ["* [[三重県]] [[海星中学校・高等学校 (三重県)|海星]] 2年ぶり3回目<ref>病気で棄権</ref>", "|-", "| [[和歌山県立海南高等学校|海南]]<ref>[[他校]]の出場辞退</ref> 初出場", "plain [[東高等学校]]", "* [[東高等学校]] [[西高等学校]]", "* [[和歌山県立海南高等学校|again]]", "* [[千葉大会]]", None]
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "k int, n int, line string")
+    got = [(r.article, r.short, r.prefs, r.withdrew, r.appearance) for r in wikitext.participants(df, "k", "n", "line").orderBy("n").collect()]
+    assert got == [("海星中学校・高等学校 (三重県)", "海星", ["三重"], True, "2年ぶり3回目"), ("和歌山県立海南高等学校", "海南", ["和歌山"], False, "初出場")]
+
+
+SECTION = """=== 準決勝 ===
+* 海星（長崎）2 - 0 海星（三重）
+* 8月18日 A 1－1 B
+|rowspan="3"|8月8日||第1試合||[[有田|有田工]]||5 – 4x||大垣||1時間
+=== 他 ===
+{{Round4
+|RD1='''準々決勝'''
+|8月1日|甲{{Efn|name="a|b"}}|3|'''乙'''|10x
+||広島||'''大阪'''（不戦勝）|
+}}
+* C 3 - 1 D
+{{Linescore
+|Road=E |RR=0
+|Home=F |HR=0
+}}
+{{Linescore
+|Road=[[E]] |RR=2
+|Home=F |HR=4
+}}"""
+
+
+def test_games_in_four_layouts(spark):
+    df = spark.createDataFrame([(1, SECTION), (2, SECTION + "\n=== 決勝 ===\n* G 1 - 0 H"), (3, None), (4, "")], "k int, t string")
+    found, walked = wikitext.games(df, "k", "t")
+    got = {k: {(r.layout, r.winner, r.loser, r["round"]) for r in found.collect() if r.k == k} for k in (1, 2, 3, 4)}
+    both = {("bullet", "海星（長崎）", "海星（三重）", "準決勝"), ("table", "有田工", "大垣", "準決勝"), ("bracket", "乙", "甲", "準々決勝"), ("bullet", "C", "D", None)}
+    assert got[1] == both | {("linescore", "F", "E", "決勝")} and got[2] == both | {("bullet", "G", "H", "決勝")} and not got[3] and not got[4]
+    assert sorted((r.k, r.loser) for r in walked.collect()) == [(1, "広島"), (2, "広島")]
+
+
+def test_berths(spark):
+    page = "{|\n!年!!地区\n|-\n|関東||[[早い高等学校]]||x\n|-\n| rowspan=2|2001年<br>第73回\n|東北<br />南||[[安積高等学校|'''安積''']]<br>（福島）||備考\n|-\n|九州||[[宜野座高等学校]] (沖縄)||{{x|y}}z\n|-\n|四国||なし||z"
+    df = spark.createDataFrame([(1, page), (2, None)], "k int, t string")
+    got = [(r.year, r.region, r.article, r.display, r.prefecture, r.problem) for r in wikitext.berths(df, "k", "t").orderBy("n").collect()]
+    assert got == [(None, None, None, None, None, "no year"), (2001, "東北南", "安積高等学校", "安積", "福島", None), (2001, "九州", "宜野座高等学校", "宜野座高等学校", "沖縄", None), (2001, None, None, None, None, "no link")]
+
+
+def test_rounds_of_links(spark):
+    pages = spark.createDataFrame([(u,) for u in "abcde"], "url string")
+    links = spark.createDataFrame([("a", "c", 0), ("a", "b", 1), ("a", "d", 2), ("c", "a", 0), ("c", "gone", 1), ("b", "e", 0), ("e", "d", 0)], "source string, href string, place int")
+    got = {r.url: r["round"] for r in extract.follow_rounds(pages.filter("url = 'a'"), links, pages, "url", "source", "href", "place", [2, 5, 5]).collect()}
+    assert got == {"a": 0, "c": 1, "b": 1, "e": 2, "d": 3}
+
+
+def test_links_of_a_page(spark):
+    html = "<a href=' sub.html '>One</a><a class=x HREF=\"/r?q\">Two</a><a href='../up'>Up</a><a href='http://other.org/'>no</a><a href='//h.org/p'>P</a><a href='#f'>F</a><a href='sub.html'>again</a>"
+    df = spark.createDataFrame([(1, "http://h.org/d/page?x=1#y", html), (2, "http://h.org", "<a href='a'>A</a>"), (3, None, html), (4, "http://h.org", None)], "k int, u string, h string")
+    got = {(r.k, r.href): (r.label, r.place) for r in extract.links(df, "k", "u", "h").collect()}
+    assert got == {(1, "http://h.org/d/sub.html"): ("One", 0), (1, "http://h.org/r?q"): ("Two", 1), (1, "http://h.org/up"): ("Up", 2), (1, "http://h.org/p"): ("P", 4), (1, "http://h.org/d/page?x=1#f"): ("F", 5), (2, "http://h.org/a"): ("A", 0)}

@@ -54,10 +54,19 @@ def test_names(spark):
     assert one(spark, names.pick_venue(lit("会場:県営球場 他"))) == "県営球場"
     assert "熊本工" in one(spark, names.label_candidates(lit("熊本県立熊本工業高等学校")))
     assert one(spark, names.district_candidates(lit("熊本北"), lit("熊本"))) == ["北"] and one(spark, names.district_candidates(lit("熊本"), lit("熊本"))) == []
-    assert one(spark, names.establishment(lit("東京都立日比谷高等学校"))) == "prefectural" and one(spark, names.establishment_label(lit("prefectural"), lit("大阪"))) == "府立"
+    assert one(spark, names.establishment(lit("東京都立日比谷高等学校"), lit("2"), lit("東京都"))) == "prefectural" and one(spark, names.establishment_label(lit("prefectural"), lit("大阪"))) == "府立"
+    assert one(spark, names.establishment(lit("宮城県仙台第一高等学校"), lit("2"), lit("宮城県"))) == "prefectural" and one(spark, names.establishment(lit("宮城県仙台市立仙台高等学校"), lit("2"), lit("宮城県"))) == "municipal"
+    assert one(spark, names.establishment(lit("私学"), lit("3"), lit("宮城県"))) is None and one(spark, names.establishment_label(lit("prefectural"), lit("西東京"))) == "都立"
     assert one(spark, names.municipality(lit("三重県四日市市富田"))) == "四日市市" and one(spark, names.municipality(lit("大阪府大阪市北区"))) == "大阪市"
-    assert one(spark, names.split_name(lit("長野県立上田高等学校"))).display == "上田"
-    assert one(spark, names.sub_district(lit("港区"), ["港区"], "east", "west")) == "east"
+    assert one(spark, names.split_name(lit("長野県立上田高等学校"), lit("長野県"))).display == "上田高校"
+    assert tuple(one(spark, names.split_name(lit("新潟県立新潟県央工業高等学校"), lit("新潟県")))) == ("新潟県央工業", "新潟県央工業高校")
+    assert tuple(one(spark, names.split_name(lit("熊本県立第一高等学校"), lit("熊本県")))) == ("熊本県立第一", "熊本県立第一高校")
+    assert one(spark, names.municipality(lit("群馬県佐波郡玉村町上新田"))) == "玉村町" and one(spark, names.municipality(lit("長野県北安曇郡大町町"))) == "大町町"
+    halves = {c: one(spark, names.capital_half(lit(c))) for c in ("港区", "練馬区", "三宅村", "町田市", "")}
+    assert halves == {"港区": "higashi-tokyo", "練馬区": "nishi-tokyo", "三宅村": "higashi-tokyo", "町田市": "nishi-tokyo", "": None}
+    cities = spark.createDataFrame([("札幌市",), ("旭川市",), ("他",)], "city string")
+    offices = spark.createDataFrame([("札幌市", "石狩"), ("旭川市", "上川")], "city string, office string")
+    assert {r.city: r.half for r in names.north_south(cities, "city", offices).collect()} == {"札幌市": "minami-hokkaido", "旭川市": "kita-hokkaido", "他": None}
     assert one(spark, names.yearless_date(lit("8月12日"), lit(2024))) == dt.date(2024, 8, 12) and one(spark, names.yearless_date(lit("2月30日"), lit(2024))) is None
     assert one(spark, names.japanese_date(lit(dt.date(2024, 8, 2)))) == "8月2日"
     assert one(spark, names.era_year(lit("令和元年"))) == 2019 and one(spark, names.era_year(lit("第100回"))) == 2018
@@ -99,17 +108,30 @@ def landed(spark, tmp_path):
 def test_streams_match_their_batch_twins(spark, tmp_path):
     e = landed(spark, tmp_path)
     s = streams.with_event_time(streams.read_events(spark, str(tmp_path / "events"), e.schema), "ts", "1 hour")
-    limited = run(streams.rate_limit(s, "user_id", "ts", 2, 86400), spark, "limited", tmp_path)
+    limited = run(streams.rate_limit(s, "user_id", "ts", "event_id", 2, 86400), spark, "limited", tmp_path)
     batch = community.rate_limit(e, "user_id", "ts", "event_id", 2, 86400)
-    assert {r.accepted: r["count"] for r in limited.groupBy("accepted").count().collect()} == {r.accepted: r["count"] for r in batch.groupBy("accepted").count().collect()}
+    assert {r.event_id: r.accepted for r in limited.collect()} == {r.event_id: r.accepted for r in batch.collect()}
     presses = run(streams.unique_presses(s, ["user_id", "event_type"]), spark, "presses", tmp_path)
     assert presses.count() == e.select("user_id", "event_type").distinct().count()
-    counts = run(streams.running_counts(s, "user_id", F.lit(1)), spark, "counts", tmp_path, "update")
+    counts = run(streams.saturating_counts(s, "user_id", F.lit(1), ["ts", "event_id"]), spark, "counts", tmp_path, "update")
     assert {r.user_id: r.n for r in counts.collect()} == {r.user_id: r["count"] for r in e.groupBy("user_id").count().collect()}
     ok = e.select("user_id").distinct().filter("user_id % 2 = 0")
     assert run(streams.guard_target(s, ok, "user_id"), spark, "guarded", tmp_path).count() == e.filter("user_id % 2 = 0").count()
 
 
+def test_stream_counter_saturates_across_batches(spark, tmp_path):
+    """Deletes first, then inserts, in batches of one file each."""
+    t = dt.datetime(2024, 1, 1)
+    for i, changes in enumerate(([-1, -1, 1], [1, -1, -1, -1], [1, 1])):
+        rows = [("a", t + dt.timedelta(minutes=10 * i + j), j, c) for j, c in enumerate(changes)]
+        spark.createDataFrame(rows, "k string, ts timestamp, id int, d int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        s = streams.read_events(spark, str(tmp_path / "in"), "k string, ts timestamp, id int, d int")
+        values = []
+        q = streams.saturating_counts(s, "k", F.col("d"), ["ts", "id"]).writeStream.outputMode("update").foreachBatch(lambda b, _: values.extend(r.n for r in b.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert values == [(1, 0, 2)[i]]
+
+
 def test_only_changed_partitions_are_rewritten(spark, tmp_path):
     e = landed(spark, tmp_path)
     path = str(tmp_path / "out")
