@@ -20,12 +20,13 @@ table gives no rows. A relative link whose target has no scheme and host stays a
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywick.functions.uris import let, resolve, uri_parts
+
 _BLOCKS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|th|thead|title|tr|ul"
 OUTPUTS = ("kind", "record_id", "refers_to", "target_uri", "source_digest", "n_links", "header", "block", "block_digest")
 #: What a text does not show: comments, scripts and styles with their content.
@@ -36,17 +37,9 @@ BLANKS = r"[ \t\r\f]{2,}|[\t\r\f]"
 LINKS = r"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
 REFERENCE = "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"
-#: Scheme with colon, authority with slashes, path, query with mark, fragment with mark (RFC 3986, appendix B).
-URI = r"^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?"
-DOTS = r"(?:^|/)\.{1,2}(?:/|$)"
 HEADER_LINE = r"^[!#$%&'*+.^_`|~0-9A-Za-z-]+:"
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value computed once however often it is named."""
-    return F.transform(F.array(value), use)[0]
-
-
 def character(code: Column) -> Column:
     """The character of a code point; U+FFFD where there is none."""
     known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
@@ -90,45 +83,6 @@ def link_value(raw: Column) -> Column:
     return F.trim(F.translate(unescape_entities(bare), "\t\r\n", ""))
 
 
-def without_dots(path: Column) -> Column:
-    """A path without its . and .. segments."""
-
-    def step(done: Column, s: Column) -> Column:
-        popped = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))
-        return F.when(s == ".", done).when(s == "..", popped).otherwise(F.concat(done, F.array(s)))
-
-    def made(parts: Column) -> Column:
-        kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts) - 1), F.slice(parts, 1, 1), step)
-        return F.concat(F.array_join(kept, "/"), F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
-
-    return let(path, lambda p: F.when(p.rlike(DOTS), let(F.split(p, "/"), made)).otherwise(p))
-
-
-def resolve(link: Column, base: Column) -> Column:
-    """A reference resolved against a base by RFC 3986. base: struct of scheme, host, path and query."""
-    parts = F.struct(*(F.regexp_extract(link, URI, i).alias(c) for i, c in enumerate(("scheme", "host", "path", "query", "fragment"), 1)))
-    whole = let(parts, lambda r: F.when((base["scheme"] == "") & (r["scheme"] == ""), link).otherwise(_absolute(r, base, link)))
-    # most links of a page are paths from its root
-    rooted = link.startswith("/") & ~link.startswith("//") & ~link.contains(".") & (base["scheme"] != "")
-    return F.when(rooted, F.concat(base["scheme"], base["host"], link)).otherwise(whole)
-
-
-def _absolute(ref: Column, base: Column, link: Column) -> Column:
-    scheme, host, path, query, fragment = (ref[c] for c in ("scheme", "host", "path", "query", "fragment"))
-    rooted = F.concat(base["scheme"], base["host"])
-    same = F.concat(rooted, base["path"], F.when(query == "", base["query"]).otherwise(query), fragment)
-    folder = F.regexp_extract(base["path"], "^(.*/)", 1)
-    folder = F.when(base["path"].contains("/"), folder).when(base["host"] != "", "/").otherwise("")
-    return (
-        F.when((scheme != "") & (host == ""), link)
-        .when(scheme != "", F.concat(scheme, host, without_dots(path), query, fragment))
-        .when(host != "", F.concat(base["scheme"], host, without_dots(path), query, fragment))
-        .when(path == "", same)
-        .when(path.startswith("/"), F.concat(rooted, without_dots(path), query, fragment))
-        .otherwise(F.concat(rooted, without_dots(F.concat(folder, path)), query, fragment))
-    )
-
-
 def record_urn(*parts: Column) -> Column:
     """A UUID URN that the given columns determine."""
     d = F.md5(F.concat_ws("\n", *parts))
@@ -180,7 +134,7 @@ def derive(responses: DataFrame, keep: list[str], record_id: str = "record_id",
         F.regexp_extract(text[http_headers], r"(?im)^content-type: *([^\r\n]*)", 1).alias("source_type"),
         F.filter(F.split(F.regexp_replace(text[http_headers], r"\r?\n[ \t]+", " "), r"\r?\n"), lambda x: x.rlike(HEADER_LINE)).alias("source_headers"),
         digest(text[payload]).alias("source_digest"),
-        F.struct(*(F.regexp_extract(text[target], URI, i).alias(c) for i, c in enumerate(("scheme", "host", "path", "query"), 1))).alias("base"),
+        uri_parts(text[target]).alias("base"),
         F.regexp_extract_all(text[payload], F.lit(LINKS), 1).alias("links"),
     )
     links = _each("outlink: ", F.transform("links", lambda x: let(link_value(x), lambda y: resolve(y, F.col("base")))))

@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tallywick.functions import uris
 from tallywick.llm import chat_format, chunk_dedup, decontaminate, license_scan, queries, range_coder, syncmers, token_binary, warc_derive
 
 LONG = " ".join(f"word{i}" for i in range(150_000))
@@ -161,11 +162,22 @@ def test_licenses(make):
     mit = license_scan.TEMPLATES["mit-permission"]
     rows = [(1, "prose\nReleased under the MIT License!"), (2, None), (3, ""), (4, mit.replace("charge", "cost") + "\nmore"), (5, "free of charge and under the sun"), (6, LONG + "\n\nAll rights  reserved."), (7, "Released under\nthe MIT License."), (1, "ALL RIGHTS RESERVED")]
     got = {(r.doc_id, r.template): r.n_segments for r in license_scan.license_matches(make(rows)).collect()}
-    assert got[(1, "mit-line")] == 2 and got[(1, "all-rights-reserved")] == 1 and got[(4, "mit-permission")] and got[(6, "all-rights-reserved")] and got[(7, "mit-line")]
+    assert got[(1, "mit-line")] == 3 and got[(1, "all-rights-reserved")] == 1 and got[(4, "mit-permission")] and got[(6, "all-rights-reserved")] and got[(7, "mit-line")]
     assert {k for k, _ in got} == {1, 4, 6, 7}
     assert license_scan.license_matches(make([])).count() == 0
 
 
+def test_whole_licences_cut_ones_and_sentences(make):
+    t = license_scan.TEMPLATES
+    wrapped = "\n".join(" ".join(t["mit"].split()[i : i + 9]) for i in range(0, len(t["mit"].split()), 9))
+    three = "\n\n".join(t[k] for k in ("mit-permission", "mit-notice", "mit-disclaimer"))
+    cut = " ".join(t["bsd-3-clause"].split()[:-25])
+    rows = [(1, "Copyright 2020 A. Person\n\n" + wrapped), (2, f"def f():\n\n{three}\n\n" + LONG), (3, cut), (4, "Copyright 2020 Foo. All rights reserved. More of it follows here."), (5, "all rights reserved " * 500)]
+    got = {(r.doc_id, r.template) for r in license_scan.license_matches(make(rows)).collect()}
+    assert {(1, "mit"), (2, "mit-permission"), (2, "mit-notice"), (2, "mit-disclaimer"), (3, "bsd-3-clause"), (4, "all-rights-reserved")} <= got
+    assert (5, "all-rights-reserved") in got
+
+
 def test_license_pruning_is_exact():
     grams = {n: license_scan.template_bigrams(t) for n, t in license_scan.TEMPLATES.items()}
     anchors = set(license_scan.anchor_words(grams, 0.8))
@@ -268,13 +280,13 @@ def test_links_resolve_as_the_standard_says(spark, base):
 
     refs = ["g", "./g", "g/", "/g", "//g", "//cdn.org/x", "?y", "g?y", "#s", "g#s", "g?y#s", ";x", "g;x", ".", "./", "..", "../", "../g", "../..", "../../g", "../../../g", "/./g", "/../g", "g.", ".g", "g..", "..g", "./../g", "./g/.", "g/./h", "g/../h", "g;x=1/./y", "http://o.org/a/../b", "mailto:a@b.c", "HTTP://X/", "x/y/../../z/."]
     rows = spark.createDataFrame([(x,) for x in refs], "x string")
-    parts = F.struct(*(F.regexp_extract(F.lit(base), warc_derive.URI, i).alias(c) for i, c in enumerate(("scheme", "host", "path", "query"), 1)))
-    got = {r.x: r.y for r in rows.select("x", warc_derive.resolve(F.col("x"), parts).alias("y")).collect()}
+    parts = uris.uri_parts(F.lit(base))
+    got = {r.x: r.y for r in rows.select("x", uris.resolve(F.col("x"), parts).alias("y")).collect()}
     for x in refs:
         want = urljoin(base, x)
         want = {"HTTP://X/": x, "http://o.org/a/../b": "http://o.org/b"}.get(x, want)  # the standard is stricter
         assert got[x].rstrip("/") == want.rstrip("/"), (base, x)
-    assert spark.range(1).select(warc_derive.resolve(F.lit("a/b"), F.struct(*(F.lit("").alias(c) for c in ("scheme", "host", "path", "query")))).alias("y")).first().y == "a/b"
+    assert spark.range(1).select(uris.resolve(F.lit("a/b"), uris.uri_parts(F.lit(""))).alias("y")).first().y == "a/b"
 
 
 def test_hrefs_in_all_quotes_and_entities(spark):
