@@ -24,14 +24,14 @@ from dataclasses import dataclass
 import numpy as np
 
 #: log2 of the slots of a block's order-1 and order-2 tables.
-SLOT_BITS = 10
+SLOT_BITS = 8
 #: Steps between rebuilt order-0 tables; a frame's own counts weigh as much as PRIOR ids.
 REBUILD, PRIOR = 256, 512
 #: Ranks below 2^DIRECT are classes of their own; from there on each doubling has 2^SPLIT classes.
 DIRECT, SPLIT, ID_BITS = 6, 2, 17
 CLASSES = (1 << DIRECT) + (ID_BITS - DIRECT << SPLIT)
 #: Sum of the order-0 frequencies; the mixture has 2^16, of which order-0 always keeps 2^12 or more.
-WHOLE_BITS, MIX_BITS, MOST = 12, 16, (1 << 16) - (1 << 12)
+WHOLE_BITS, MIX_BITS, MOST = 11, 16, (1 << 16) - (1 << 12)
 MAX_ID = (1 << ID_BITS) - 1
 #: Confirmations of a slot: 0 is an empty slot, and a filled one has 1 to TOP.
 CONFIDENCE_BITS, TOP = 3, 7

@@ -43,7 +43,7 @@ MAGIC, VERSION = b"TWID", 2
 #: this and of everything up to the payloads
 _HEAD, _SUM = struct.Struct("<4sHIIQII"), struct.Struct("<I")
 #: Ids of a block, and ids at which a frame is closed (a longer document has a frame of its own size).
-BLOCK, FRAME = 2048, 1 << 22
+BLOCK, FRAME = 1024, 1 << 22
 
 # The pieces into which byte-level BPE files of this kind part a text, letters first as
 # no other piece starts with them; for texts of Latin-1 characters with the letters spelt out, which is
