@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,7 +92,7 @@ def informative(rows: np.ndarray, ids: np.ndarray, grades: np.ndarray, width: in
     for k in range(1, int(grades.max()) + 1):
         above = grades >= k
         share = above.mean()
-        excess = np.abs(np.bincount(ids, weights=above[rows], minlength=width) - seen * share)
+        excess = np.abs(np.bincount(ids[above[rows]], minlength=width) - seen * share)
         best = np.maximum(best, excess / np.sqrt(seen * share * (1 - share) + 0.5))
     return best >= min_z
 
@@ -102,17 +103,18 @@ def train_ordinal(offsets: np.ndarray, ids: np.ndarray, grades: np.ndarray, bits
     offsets, ids: the documents' feature ids, one after another.
     """
     n, width, levels = len(grades), 1 << bits, levels or int(grades.max()) + 1
-    lengths = np.diff(offsets)
-    all_rows = np.repeat(np.arange(n), lengths)
+    all_rows = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
     used = np.flatnonzero(informative(all_rows, ids, grades, width, min_z))
     counts = np.bincount(grades, minlength=levels).astype(float)
     above = np.cumsum(counts[::-1])[::-1][1:] / n
     start = -np.log(np.clip(above, 1e-3, 1 - 1e-3) / np.clip(1 - above, 1e-3, 1))
     gaps = np.log(np.maximum(np.diff(start), 0.1))
-    place = np.full(width, -1, dtype=np.int64)
-    place[used] = np.arange(len(used))
-    keep = place[ids] >= 0
-    rows, cols = all_rows[keep], place[ids[keep]]
+    place = np.full(width, -1, dtype=np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    cols = place[ids]
+    keep = cols >= 0
+    rows, cols = all_rows[keep], cols[keep]
+    del all_rows, ids, keep, place
     w, free = np.zeros(len(used)), np.concatenate([start[:1], gaps])
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(free), np.zeros_like(free)]
     for step in range(1, rounds + 1):
@@ -137,6 +139,13 @@ def train_ordinal(offsets: np.ndarray, ids: np.ndarray, grades: np.ndarray, bits
     return OrdinalModel(weights, np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))]), bits)
 
 
+def _values(column: pa.BinaryArray) -> np.ndarray:
+    """The integers that the values of a binary column hold, one value after another."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[[column.offset, column.offset + len(column)]] // 4
+    return np.frombuffer(data or b"", np.int32)[ends[0] : ends[1]]
+
+
 def fit(docs: DataFrame, ratings: DataFrame, grade: Column, id_col: str = "doc_id", text_col: str = "text", levels: int = 3, bits: int = BITS, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> OrdinalModel:
     """Fit on at most max_train rated documents with at most max_features features, taken by a hash of
     their id. Of rows that repeat an id, the one with the least text is used.
@@ -163,11 +172,12 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: Column, id_col: str = "doc_i
     if len(np.unique(grades)) < 2:
         cuts = np.arange(1, levels)
         return OrdinalModel(np.zeros(1 << bits, np.float32), np.where(cuts <= (grades[0] if len(grades) else levels), -30.0, 30.0), bits)
-    parts = [np.frombuffer(x, dtype=np.int32) for x in rows.column("f").to_pylist()]
-    # in an order of their own: the fit does not depend on how the rows were dealt
-    order = sorted(range(len(parts)), key=lambda i: (grades[i], parts[i].tobytes()))
-    parts, grades = [parts[i] for i in order], grades[order]
-    return train_ordinal(np.concatenate([[0], np.cumsum([len(p) for p in parts])]), np.concatenate(parts), grades, bits, levels)
+    # one task ordered them by hash and content: the fit does not depend on how the rows were dealt
+    found = rows.column("f")
+    sizes = pc.binary_length(found).to_numpy() // 4
+    parts = [_values(c) for c in found.chunks if len(c)]
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    return train_ordinal(offsets, np.concatenate(parts), grades, bits, levels)
 
 
 def _scorer(docs: DataFrame, model: OrdinalModel, text_col: str):
