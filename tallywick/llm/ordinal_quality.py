@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywick.llm.textcore import slices, texts
+from tallywick.session import Scratch
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -139,45 +140,72 @@ def train_ordinal(offsets: np.ndarray, ids: np.ndarray, grades: np.ndarray, bits
     return OrdinalModel(weights, np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))]), bits)
 
 
-def _values(column: pa.BinaryArray) -> np.ndarray:
-    """The integers that the values of a binary column hold, one value after another."""
-    _, offsets, data = column.buffers()
-    ends = np.frombuffer(offsets, np.int32)[[column.offset, column.offset + len(column)]] // 4
-    return np.frombuffer(data or b"", np.int32)[ends[0] : ends[1]]
+def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
+    """Lists of these lengths, cut from the values one after another."""
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), pa.array(values, pa.int32()))
 
 
-def fit(docs: DataFrame, ratings: DataFrame, grade: Column, id_col: str = "doc_id", text_col: str = "text", levels: int = 3, bits: int = BITS, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> OrdinalModel:
+def _telling(sample: DataFrame, levels: int, min_z: float) -> np.ndarray:
+    """The features of the sample (rows of f, g) that `informative` keeps, counted by Spark: at most as
+    many as there are slots."""
+    steps = range(1, levels)
+    whole = sample.agg(*(F.avg((F.col("g") >= k).cast("double")).alias(f"share{k}") for k in steps))
+    seen = sample.select("g", F.explode("f").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), *(F.count_if(F.col("g") >= k).alias(f"n{k}") for k in steps))
+    z = []
+    for k in steps:
+        share = F.col(f"share{k}")
+        z.append(F.abs(F.col(f"n{k}") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 0.5))
+    # a hair lower than the fit's own test, which decides
+    telling = seen.crossJoin(F.broadcast(whole)).filter(F.greatest(F.lit(0.0), *z) >= min_z - 1e-6)
+    return telling.select("feature").toArrow().column("feature").to_numpy()
+
+
+def fit(docs: DataFrame, ratings: DataFrame, grade: Column, id_col: str = "doc_id", text_col: str = "text", levels: int = 3, bits: int = BITS, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES, min_z: float = 4.5) -> OrdinalModel:
     """Fit on at most max_train rated documents with at most max_features features, taken by a hash of
     their id. Of rows that repeat an id, the one with the least text is used.
 
-    Only the ids of the sample (bounded by max_train) are broadcast; the features of that sample
-    are gathered for the fit.
+    Only the ids of the sample (bounded by max_train) are broadcast. Its features are a table in the
+    shared folder, where Spark counts which of them tell grades apart; those alone are gathered for
+    the fit.
     """
+    spark = docs.sparkSession
     sample = ratings.select(F.col(id_col), grade.cast("int").alias("__grade")).dropna().groupBy(id_col).agg(F.min("__grade").alias("__grade"))
     sample = sample.orderBy(F.xxhash64(id_col), id_col).limit(max_train)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features(bits)
         for batch in slices(batches):
-            found = [make.of(t).tobytes() for t in texts(batch.column(0))]
-            yield pa.record_batch([pa.array(found, pa.binary()), *batch.columns[1:]], names=["f", "g", "h"])
+            found = [make.of(t) for t in texts(batch.column(0))]
+            lists = _lists(np.concatenate([np.zeros(0, np.int32), *found]), np.array([len(f) for f in found], np.int64))
+            yield pa.record_batch([lists, *batch.columns[1:]], names=["f", "g", "h"])
 
     rated = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("__text")).join(F.broadcast(sample), id_col)
     # one row of every id of the sample, so the gathered rows are bounded by it
     rated = rated.groupBy(id_col, "__grade").agg(F.min("__text").alias("__text"))
-    rows = rated.select("__text", "__grade", F.xxhash64(id_col)).mapInArrow(features, "f binary, g int, h long")
-    upto = F.sum(F.length("f") / 4).over(Window.orderBy("h", "g", "f").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("upto", upto).filter(F.col("upto") <= max_features).select("f", "g").toArrow()
+    rows = rated.select("__text", "__grade", F.xxhash64(id_col)).mapInArrow(features, "f array<int>, g int, h long")
+    upto = F.sum(F.size("f")).over(Window.orderBy("h", "g", "f").rowsBetween(Window.unboundedPreceding, 0))
+    rows = Scratch(spark, "quality").save(rows.withColumn("upto", upto).filter(F.col("upto") <= max_features), "sample")
+
+    wanted = np.zeros(1 << bits, bool)
+    wanted[_telling(rows, levels, min_z)] = True
+    shared = spark.sparkContext.broadcast(wanted)
+
+    def screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = shared.value
+        for batch in batches:
+            kept, found = mask[batch.column(0).flatten().to_numpy()], batch.column(0).flatten().to_numpy()
+            ends = np.cumsum(pc.list_value_length(batch.column(0)).to_numpy())
+            yield pa.record_batch([_lists(found[kept], np.diff(np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], ends])])), *batch.columns[1:]], names=["f", "g", "h", "upto"])
+
+    # one task orders the bounded sample by hash and content: the fit does not depend on how rows were dealt
+    rows = rows.mapInArrow(screened, rows.schema).coalesce(1).sortWithinPartitions("upto", "h", "g").select("f", "g").toArrow()
     grades = rows.column("g").to_numpy().astype(np.int64)
     if len(np.unique(grades)) < 2:
         cuts = np.arange(1, levels)
         return OrdinalModel(np.zeros(1 << bits, np.float32), np.where(cuts <= (grades[0] if len(grades) else levels), -30.0, 30.0), bits)
-    # one task ordered them by hash and content: the fit does not depend on how the rows were dealt
-    found = rows.column("f")
-    sizes = pc.binary_length(found).to_numpy() // 4
-    parts = [_values(c) for c in found.chunks if len(c)]
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    return train_ordinal(offsets, np.concatenate(parts), grades, bits, levels)
+    found = rows.column("f").combine_chunks()
+    offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(found).to_numpy())])
+    return train_ordinal(offsets, found.flatten().to_numpy(), grades, bits, levels, min_z=min_z)
 
 
 def _scorer(docs: DataFrame, model: OrdinalModel, text_col: str):
