@@ -8,7 +8,8 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywick.llm import chat_format, chunk_dedup, decontaminate, license_scan, mixture, ngram_join, ordinal_quality, syncmers, token_binary, warc_derive
+from tallywick.llm import chat_format, chunk_dedup, decontaminate, license_scan, mixture, ngram_join, ordinal_quality
+from tallywick.llm import simhash_trie, syncmers, token_binary, warc_derive
 from tallywick.session import Scratch, table
 
 #: Grade (2: good) and least probability of it at which a document is selected.
@@ -220,8 +221,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("coverage", F.round("coverage", 6))
 
 
+def op11_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash and component: three-word shingles, links at three or fewer bits."""
+    return simhash_trie.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_PLAIN = (op1_ngram_jaccard_join, op2_chat_format, op3_token_binary, op4_license_scan, op5_chunk_repeats, op6_warc_derive, op7_ordinal_quality, op8_source_mixture, op9_syncmer_fingerprints, op10_decontaminate)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_format, op3_token_binary, op4_license_scan, op5_chunk_repeats, op6_warc_derive, op7_ordinal_quality, op8_source_mixture, op9_syncmer_fingerprints, op10_decontaminate)}
+    return {f.__name__: f for f in (*_PLAIN, op11_simhash_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
