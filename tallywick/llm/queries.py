@@ -8,7 +8,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywick.llm import chat_format, chunk_dedup, decontaminate, license_scan, mixture, ngram_join
+from tallywick.llm import chat_format, chunk_dedup, decontaminate, impact_search, license_scan, mixture, ngram_join
 from tallywick.llm import ordinal_quality, simhash_trie, syncmers, token_binary, turn_repair, twins, warc_derive
 from tallywick.session import Scratch, table
 
@@ -231,12 +231,17 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair_conversations(turn_repair.damaged(table(spark, sf_dir, "conversations")))
 
 
+def op13_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item's ten highest-scoring documents."""
+    return impact_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _PLAIN = (op1_ngram_jaccard_join, op2_chat_format, op3_token_binary, op4_license_scan, op5_chunk_repeats, op6_warc_derive, op7_ordinal_quality, op8_source_mixture, op9_syncmer_fingerprints, op10_decontaminate)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (*_PLAIN, op11_simhash_trie, op12_turn_repair)}
+    return {f.__name__: f for f in (*_PLAIN, op11_simhash_trie, op12_turn_repair, op13_impact_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": _OP2_SQL, "op4_license_scan": _op4_sql(), "op6_warc_derive": _op6_sql(), "op8_source_mixture": _op8_sql(), "op12_turn_repair": twins.repair_sql()}
+    return {"op2_chat_format": _OP2_SQL, "op4_license_scan": _op4_sql(), "op6_warc_derive": _op6_sql(), "op8_source_mixture": _op8_sql(), "op12_turn_repair": twins.repair_sql(), "op13_impact_search": twins.search_sql()}

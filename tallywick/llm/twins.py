@@ -74,3 +74,23 @@ SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
   coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, e.e.c::BIGINT AS cost, e.e.a AS audit,
   coalesce(repaired_sha256, sha256('')) AS repaired_sha256
 FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
+def search_sql() -> str:
+    """Every document scored for every item, the best ten kept."""
+    term = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+    def terms(text: str) -> str:
+        return f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{term}')"
+
+    return f"""
+WITH asked AS MATERIALIZED (SELECT item_id, term, count(*) AS asked FROM (SELECT item_id, unnest({terms('text')}) AS term FROM benchmark) GROUP BY ALL),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {terms('text')} AS w FROM documents),
+sizes AS MATERIALIZED (SELECT count(*) FILTER (WHERE len(w) > 0) AS n_docs, sum(len(w)) AS n_terms FROM docs),
+tf AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+w AS MATERIALIZED (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, sizes GROUP BY term),
+m AS MATERIALIZED (SELECT r, doc_id, (100 - 75 + (75 * len(w) * n_docs) // n_terms)::BIGINT AS m FROM docs, sizes WHERE len(w) > 0),
+s AS (SELECT item_id, doc_id, r, sum(asked * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST)::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) <= 10"""
