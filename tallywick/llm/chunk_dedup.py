@@ -16,7 +16,7 @@ repeats of about 35 words, and repeats of over 50 words are missed in under 4 of
 under 1 of 100 from 60 words on.
 
 Defined results: null and empty texts have no chunks; rows with equal ids count as documents of their
-own; a passage that repeats in one document only is no span; texts of any length are chunked whole;
+own, told apart by a hash of their text, which also orders them behind the id; a passage that repeats in one document only is no span; texts of any length are chunked whole;
 rows with a null id are left out; other columns are ignored; an empty table gives no spans.
 """
 
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,9 +66,14 @@ def cut_points(data: np.ndarray, mean_bits: int = MEAN_BITS, most: int = MOST) -
     return ends
 
 
+def text_hash(text_col: str) -> Column:
+    """Tells rows of one id apart by their text."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, chunk number, character and word offsets of its ends, digest, and whether the row had it before."""
-    fields = [docs.schema[id_col], *(T.StructField(c, t) for c, t in (("k", T.IntegerType()), ("start", T.LongType()), ("end", T.LongType()), ("words", T.IntegerType()), ("high", T.LongType()), ("low", T.LongType()), ("again", T.BooleanType())))]
+    """id, text_hash, chunk number, character and word offsets of its ends, digest, and whether the row had it before."""
+    fields = [docs.schema[id_col], T.StructField("text_hash", T.LongType()), *(T.StructField(c, t) for c, t in (("k", T.IntegerType()), ("start", T.LongType()), ("end", T.LongType()), ("words", T.IntegerType()), ("high", T.LongType()), ("low", T.LongType()), ("again", T.BooleanType())))]
     schema = T.StructType(fields)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,46 +95,59 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 parts.append([np.full(len(ends), row), np.arange(len(ends), dtype=np.int32), chars[begins], chars[ends], (blanks[ends] - blanks[begins]).astype(np.int32), digests[:, 0], digests[:, 1], same])
             if parts:
                 row, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *(pa.array(np.ascontiguousarray(x)) for x in rest)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in (0, 2)), *(pa.array(np.ascontiguousarray(x)) for x in rest)], names=schema.names)
 
-    return docs.select(id_col, text_col).filter(F.col(id_col).isNotNull()).mapInArrow(apply, schema)
+    rows = docs.select(id_col, text_col, text_hash(text_col).alias("text_hash"))
+    return rows.filter(F.col(id_col).isNotNull()).mapInArrow(apply, schema)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 24) -> DataFrame:
-    """Spans that other documents repeat: id, start, end (code points), n_words, n_chunks, n_docs, first_doc.
+    """Spans that other documents repeat: id, text_hash, start, end (code points), n_words, n_chunks,
+    n_docs, first_doc, repeat.
 
     n_docs is the number of documents that share its longest chunk, first_doc the least id of them;
-    where first_doc is a lesser id than id, every chunk of the span has a holder of lesser id. Words
-    are counted over the spans of a run: where a run is split, n_words of a span can be below min_words.
+    repeat says whether that first holder is another row, one of lesser id or text hash: then every
+    chunk of the span has an earlier holder. Words are counted over the spans of a run: where a run is
+    split, n_words of a span can be below min_words.
     """
     scratch = Scratch(docs.sparkSession, "chunks")
     chunks = _chunks(docs, id_col, text_col)
-    shared = chunks.filter("not again").groupBy("high", "low").agg(F.count("*").alias("n_docs"), F.min(id_col).alias("first_doc")).filter("n_docs > 1")
+    row = [id_col, "text_hash"]
+    shared = chunks.filter("not again").groupBy("high", "low").agg(F.count("*").alias("n_docs"), F.min(F.struct(*row)).alias("first")).filter("n_docs > 1")
     shared = scratch.save(shared, "shared")
     places = scratch.save(chunks.drop("again").join(shared, ["high", "low"]).drop("high", "low"), "places")
-    # rows of one id with several texts keep apart by the end of the run: chunk numbers repeat there
-    run = Window.partitionBy(id_col).orderBy("k", "start", "end")
-    runs = places.dropDuplicates([id_col, "k", "start", "end"]).withColumn("run", F.col("k") - F.row_number().over(run))
-    order = ["k", "start", "end"]
-    runs = runs.withColumn("run_words", F.sum("words").over(Window.partitionBy(id_col, "run"))).withColumn("earlier", F.col("first_doc") < F.col(id_col))
-    runs = runs.withColumn("stretch", F.col("k") - F.row_number().over(Window.partitionBy(id_col, "run", "earlier").orderBy(*order)))
-    runs = runs.withColumn("cut", F.col("earlier") & (F.sum("words").over(Window.partitionBy(id_col, "run", "earlier", "stretch")) >= min_words))
-    runs = runs.withColumn("stretch", F.col("k") - F.row_number().over(Window.partitionBy(id_col, "run", "cut").orderBy(*order)))
+    # a row that is there twice holds its chunks twice
+    runs = places.dropDuplicates([*row, "k"])
+    runs = runs.withColumn("run", F.col("k") - F.row_number().over(Window.partitionBy(*row).orderBy("k")))
+    runs = runs.withColumn("run_words", F.sum("words").over(Window.partitionBy(*row, "run"))).withColumn("earlier", F.col("first") < F.struct(*row))
+    runs = runs.withColumn("stretch", F.col("k") - F.row_number().over(Window.partitionBy(*row, "run", "earlier").orderBy("k")))
+    runs = runs.withColumn("cut", F.col("earlier") & (F.sum("words").over(Window.partitionBy(*row, "run", "earlier", "stretch")) >= min_words))
+    runs = runs.withColumn("stretch", F.col("k") - F.row_number().over(Window.partitionBy(*row, "run", "cut").orderBy("k")))
     # the longest chunk speaks for its span, in a span that is kept the longest that has no earlier holder
     size = F.struct(F.col("cut") | ~F.col("earlier"), F.col("end") - F.col("start"), -F.col("k"))
-    spans = runs.filter(F.col("run_words") >= min_words).groupBy(id_col, "run", "cut", "stretch").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"), F.max_by("n_docs", size).alias("n_docs"), F.max_by("first_doc", size).alias("first_doc"), F.max(F.col("end") - F.col("start")).alias("longest"))
+    spans = runs.filter(F.col("run_words") >= min_words).groupBy(*row, "run", "cut", "stretch").agg(
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
+        F.sum("words").alias("n_words"),
+        F.count("*").alias("n_chunks"),
+        F.max_by("n_docs", size).alias("n_docs"),
+        F.max_by(F.col(f"first.{id_col}"), size).alias("first_doc"),
+        F.max_by("earlier", size).alias("repeat"),
+        F.max(F.col("end") - F.col("start")).alias("longest"),
+    )
     # what a cut leaves of a run is a span where it has the words, or a chunk too long for chance
-    return spans.filter(F.col("cut") | (F.col("n_words") >= min_words) | (F.col("longest") >= 1 << MEAN_BITS)).drop("run", "cut", "stretch", "longest")
+    kept = spans.filter(F.col("cut") | (F.col("n_words") >= min_words) | (F.col("longest") >= 1 << MEAN_BITS))
+    return kept.drop("run", "cut", "stretch", "longest")
 
 
 def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with those spans cut out of their texts that a document of lesser id holds first."""
-    cuts = spans.filter(F.col("first_doc") < F.col(id_col)).groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
+    """docs with those spans cut out of their texts that an earlier row holds first."""
+    cuts = spans.filter("repeat").groupBy(id_col, "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
     names = docs.columns
-    at, extra = names.index(text_col), "__cuts"
-    while extra in names:
-        extra += "_"
-    cuts = cuts.withColumnRenamed("__cuts", extra)
+    at = names.index(text_col)
+    extra, key = "__cuts", "__hash"
+    while extra in names or key in names:
+        extra, key = f"{extra}_", f"{key}_"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -144,4 +162,5 @@ def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", t
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.join(cuts, id_col, "left").select(*names, extra).mapInArrow(apply, docs.schema)
+    cuts = cuts.select(id_col, F.col("text_hash").alias(key), F.col("cuts").alias(extra))
+    return docs.withColumn(key, text_hash(text_col)).join(cuts, [id_col, key], "left").select(*names, extra).mapInArrow(apply, docs.schema)

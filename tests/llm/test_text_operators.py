@@ -243,6 +243,55 @@ def test_repeats_of_copies_that_share_a_passage(make):
         assert left[7].startswith(head) and left[7].endswith(tail) and len(left[7]) < len(texts[7]) - 4 * size // 2
 
 
+def plain_spans(rows, min_words=24):
+    """Chunk by chunk in plain Python: (id, text) -> spans of shared chunks with min_words, unsplit."""
+    holders, chunks = {}, {}
+    for row in set(rows):
+        raw = (row[1] or "").encode()
+        ends = chunk_dedup.cut_points(np.frombuffer(raw, np.uint8)).tolist()
+        chunks[row] = [(a, b, raw[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+    for row in rows:
+        for piece in {c for _, _, c in chunks[row]}:
+            holders.setdefault(piece, []).append(row)
+    out = set()
+    for row, pieces in chunks.items():
+        run = []
+        for a, b, c in [*pieces, (0, 0, b"")]:
+            if len(holders.get(c, ())) > 1:
+                run.append((a, b, c))
+                continue
+            if sum(x.count(b" ") + x.count(b"\n") for _, _, x in run) >= min_words:
+                out.add((row, run[0][0], run[-1][1]))
+            run = []
+    return out
+
+
+def test_spans_of_repeated_ids_equal_brute_force(make):
+    """Rows of one id with several texts are documents of their own, and so is a row that is there twice."""
+    rng = random.Random(12)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(n))
+    passage, other = text(200), text(80)
+    for ids in ((1, 2, 3), (1, 2, 2), (2, 2, 2)):
+        rows = [(k, f"{text(30)} {passage} {text(40)}") for k in ids] + [(5, text(50)), (7, f"{other} {text(9)}"), (7, f"{text(20)} {other}"), (8, text(90))]
+        rows.append(rows[-1])
+        docs = make(rows)
+        spans = chunk_dedup.repeated_spans(docs).collect()
+        texts = {(r.doc_id, r.h): r.text for r in docs.select("doc_id", "text", chunk_dedup.text_hash("text").alias("h")).collect()}
+        joined = {}
+        for s in sorted(spans, key=lambda s: (s.doc_id, s.text_hash, s.start)):
+            row = (s.doc_id, texts[s.doc_id, s.text_hash])
+            before = joined.setdefault(row, [])
+            if before and before[-1][1] == s.start:
+                before[-1] = (before[-1][0], s.end)
+            else:
+                before.append((s.start, s.end))
+        assert {(row, a, b) for row, found in joined.items() for a, b in found} == plain_spans(rows)
+        long = [s for s in spans if s.end - s.start > 800]
+        assert len([s for s in long if s.doc_id in ids]) == 3
+        left = [r.text for r in chunk_dedup.without_repeats(docs, chunk_dedup.repeated_spans(docs)).collect()]
+        assert sum(passage[100:400] in t for t in left) == sum(other[100:300] in t for t in left) == 1
+
+
 # WARC
 
 
