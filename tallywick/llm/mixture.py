@@ -3,8 +3,8 @@
 Token weights of the cells (one per combination of the categories) are raked until their marginals
 meet the targets of every dimension. Targets are shares by category, given per dimension; what they
 leave goes to the categories not named, by their own token shares to a power. Raking ends when no
-marginal is off by more than the tolerance, and `marginals` reports what is left. A cell's ratio of
-raked to natural share then calibrates the sampling probability of its documents, min(1, c * ratio),
+cell's share still changes relative to itself by more than the tolerance, and `marginals` reports what is
+left of the targets. A cell's ratio of raked to natural share then calibrates the sampling probability of its documents, min(1, c * ratio),
 with c solved so that the expected tokens are the wanted share of all tokens. Documents are drawn by a
 hash of their id, so the sample is reproducible and does not depend on partitioning.
 
@@ -20,6 +20,8 @@ gives an empty result.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,23 +79,31 @@ def marginals(raked: DataFrame, dims: list[str]) -> DataFrame:
     return out.withColumn("residual", F.abs(F.col("reached") - F.col("target")))
 
 
-def rake(cells: DataFrame, dims: list[str], tempering: float = 0.5, targets: dict[str, dict[str, float]] | None = None, tolerance: float = 1e-9, most: int = 64) -> DataFrame:
+def rake(cells: DataFrame, dims: list[str], tempering: float = 0.5, targets: dict[str, dict[str, float]] | None = None, tolerance: float = 1e-11, most: int = 256) -> DataFrame:
     """cells (dims, tokens) with raked share, targets and `weight`: raked share over natural share.
 
     targets: shares by category of a dimension; categories without one get what is left by their token
     share to the power `tempering`: 1 keeps the natural mix, 0 makes them equal. Each round scales every
-    dimension once; after every eight of them, at most `most` in all, the residual is measured.
+    dimension once; after every eight of them the largest relative change of a cell over the eight is
+    measured, and the rounds end when it is within the tolerance. Targets that no weights meet never
+    settle: after `most` rounds a warning tells the largest residual (see `marginals`).
     """
     scratch = Scratch(cells.sparkSession, "rake")
     out = scratch.save(_aimed(cells, dims, tempering, targets or {}), "aimed")
     for done in range(8, most + 8, 8):
+        out = out.withColumn("was", F.col("raked"))
         for _ in range(8):
             for d in dims:
                 of_category = F.sum("raked").over(Window.partitionBy(d))
                 out = out.withColumn("raked", F.coalesce(F.col("raked") * F.col(f"target_{d}") / F.nullif(of_category, F.lit(0.0)), F.lit(0.0)))
-        out = scratch.save(out, "raked")
-        if done >= most or (marginals(out, dims).agg(F.max("residual")).first()[0] or 0.0) <= tolerance:
+        raked = scratch.save(out, "raked")
+        out = raked.drop("was")
+        change = F.abs(F.col("raked") - F.col("was")) / F.nullif("was", F.lit(0.0))
+        if (raked.agg(F.max(change)).first()[0] or 0.0) <= tolerance:
             break
+        if done >= most:
+            residual = marginals(out, dims).agg(F.max("residual")).first()[0] or 0.0
+            warnings.warn(f"weights still change after {done} rounds; largest residual of a target {residual:.3g}", stacklevel=2)
     ratio = F.coalesce(F.col("raked") * F.col("all_tokens") / F.nullif(F.col("tokens").cast("double"), F.lit(0.0)), F.lit(1.0))
     return out.withColumn("weight", ratio)
 

@@ -175,7 +175,7 @@ def op8_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op8_sql() -> str:
     """The same raking, unrolled over more rounds than it needs, with c from the sorted cells in closed form."""
     dims, steps, last = ("source", "lang", "topic"), [], "r0"
-    for i in range(1, 24 * 3 + 1):
+    for i in range(1, 48 * 3 + 1):
         d = dims[(i - 1) % 3]
         steps.append(f"r{i} AS MATERIALIZED (SELECT source, lang, topic, tokens, t_source, t_lang, t_topic, coalesce(raked * t_{d} / nullif(sum(raked) OVER (PARTITION BY {d}), 0), 0) AS raked FROM {last})")
         last = f"r{i}"

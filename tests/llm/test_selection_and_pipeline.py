@@ -194,7 +194,7 @@ def test_queries_match_sql(spark, name):
     df = queries.queries()[name](spark, DATA).select(names)
 
     def norm(rows):
-        return sorted(repr(tuple(round(v, 5) if isinstance(v, float) else v for v in r)) for r in rows)
+        return sorted(repr(tuple(round(v, 6) if isinstance(v, float) else v for v in r)) for r in rows)
 
     assert norm(map(tuple, df.collect())) == norm(found.fetchall())
 
