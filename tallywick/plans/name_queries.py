@@ -27,6 +27,50 @@ SCHOOLS = (
 )
 
 
+#: Names as sources write them (X: a name of the row) and the key that each comes to.
+KEYS = (
+    ("松本蟻ケ崎", "松本蟻ヶ崎"), ("松本蟻ヶ崎", "松本蟻ヶ崎"), ("赤　穗X（長野 1位）", "赤穂X"), ("中野立志舘X", "中野立志館X"), ("神埼清明X ", "神崎清明X"),
+    ("神崎清明X", "神崎清明X"), ("宮﨑 濵田X(2)", "宮崎浜田X"), ("日本ｳｪﾙﾈｽX", "日本ウェルネスX"), ("齋澤邊X", "齋澤邊X"), ("飯 山X", "飯山X"),
+)
+#: Names of teams, and whether they join several.
+TEAMS = (("農林･塩山", "1"), ("大東・小西", "1"), ("北信連合", "1"), ("寒川 藤沢総合　深沢", "1"), ("横 浜", "0"), ("佐渡", "0"), (" 大東 ", "0"))
+#: School names, their spellings, their weak spelling, and those of district 熊本 alone.
+LABELS = (
+    ("X佐賀商業高校", "X佐賀商業高校,X佐賀商業,X佐賀商", None, ""), ("X農業高校", "X農業高校,X農業,X農", None, ""), ("X工業高校", "X工業高校,X工業,X工", None, ""),
+    ("X阿南工業高専", "X阿南工業高専,X阿南高専", None, ""), ("X高等専門学校", "X高等専門学校,X高専", None, ""), ("X中等教育学校", "X中等教育学校", "X", ""),
+    ("熊本県立第二高校", "熊本県立第二高校,熊本県立第二", None, "県立第二,第二"), ("熊本X高校", "熊本X高校,熊本X", None, "X"), ("熊本北高校", "熊本北高校,熊本北", None, ""), ("熊本高校", "熊本高校,熊本", None, ""),
+)
+#: Headings and the round that comes first in them.
+HEADINGS = (
+    ("準々決勝 決勝", "quarter"), ("１回戦 準決勝", "round 1"), ("決勝 1回戦", "final"), ("第三代表決定戦", "representative"), ("三位決定戦", "third place"), ("３位決定戦", "third place"),
+    ("二回戦", "round 2"), ("十三回戦", "round 3"), ("1二回戦", "round 12"), ("準決勝第1試合", "semi"), ("開会式", None), ("決勝戦", "final"), ("準準決勝", "semi"),
+)
+#: Lines and the venue in them (X: a name of the row).
+VENUES = (
+    ("■X球場", "X球場"), ("【三回戦】さがみどりの森球場", "さがみどりの森球場"), ("Xドーム　第1試合", "Xドーム"), ("第2試合 （X）Xパーク", "Xパーク"), ("ベルーナドーム", "ベルーナドーム"),
+    ("Xグラウンド", None), ("信州グリーンローズスタジアム", "信州グリーンローズスタジアム"), ("会場未定", None), ("X球場・Y球場", "X球場"),
+)
+#: Scores and words, folded (X: a number of the row).
+FOLDS = (
+    ("３ ー 2", "3-2"), ("X─2", "X-2"), ("　X ― ２ ", "X - 2"), ("ＡＢＣー", "ＡＢＣー"), ("ルーテルX", "ルーテルX"), ("1ー2ー3", "1-2ー3"), ("X　−‐‑‒–—－", "X -------"), ("（X）", "（X）"),
+)
+#: Files, and whether they may be photographs.
+FILES = (
+    ("X_Tamaplaza_High.jpg", "1"), ("X校舎.TIFF", "1"), ("X.png", "1"), ("X.SVG", "0"), ("X.svgz", "0"), ("Location map X.png", "0"), ("X位置図.png", "0"), ("X校章.jpg", "0"),
+    ("Crest of X.jpg", "0"), ("Map of X.webp", "0"), ("X.svg.png", "1"), ("X白地図.gif", "0"), ("X flag.jpg", "1"),
+)
+#: School names with the displayed name and the label of a cap.
+CAPS = (
+    ("X商業高校", None, None, "X商業", "X商"), ("X高等学校", None, None, "X高等学校", "X高等学校"), ("X農業高校", "own X", None, "own X", "own X"), ("X工業高校", None, "県X工", "X工業", "県X工"),
+    ("X工業高校", "X工業", None, "X工業", "X工"), ("X中等教育学校", None, None, "X中等教育学校", "X中等教育学校"), ("X高校Y分校", None, None, "X高校Y分校", "X高校Y分校"),
+)
+
+
+def case_of(df: DataFrame, rows: tuple, number: F.Column, own: F.Column) -> DataFrame:
+    """df with `case`, the first text of the row's case, and its X replaced by the row's own name."""
+    return df.withColumn("case", F.replace(pick(rows, 0, number % len(rows)), F.lit("X"), own))
+
+
 def sql_values(rows: tuple, *names: str) -> str:
     def one(v: object) -> str:
         return "NULL" if v is None else f"'{v}'"
@@ -73,39 +117,43 @@ def sub_districts(spark: SparkSession, d: str) -> DataFrame:
     return N.north_south(rows, "town", offices).select("c_custkey", "capital", "half")
 
 
-@query("""SELECT p_partkey, '高崎' || p_partkey || replace(p_name, ' ', '') AS key, p_partkey % 3 > 0 AS combined,
-  p_name || '工業高等学校,' || p_name || '工業高,' || p_name || '工業,' || p_name || '工' AS forms, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS local FROM part""")
+@query(f"""SELECT p_partkey, replace(k.key, 'X', replace(p_name, ' ', '')) AS key, t.joint = '1' AS combined, replace(l.forms, 'X', p_name) || ',' || p_brand AS forms, replace(l.weak, 'X', p_name) AS weak,
+  replace(l.local, 'X', p_name) AS local FROM part JOIN {sql_values(KEYS, 'name', 'key')} k ON k.i = p_partkey % {len(KEYS)} JOIN {sql_values(TEAMS, 'team', 'joint')} t ON t.i = p_partkey % {len(TEAMS)}
+  JOIN {sql_values(LABELS, 'name', 'forms', 'weak', 'local')} l ON l.i = p_partkey % {len(LABELS)}""")
 def name_keys(spark: SparkSession, d: str) -> DataFrame:
-    """S-02, S-03, S-06 and S-07: keys of names in variant characters, widths and brackets."""
-    k, c = F.col("p_partkey"), F.col
-    wide = F.translate(k.cast("string"), "0123456789", "０１２３４５６７８９")
-    key = N.name_key(text("髙﨑　", wide, c("p_name"), "（", c("p_brand"), "）"))
-    joint = F.when(k % 3 == 0, c("p_brand")).when(k % 3 == 1, text(c("p_brand"), "・", c("p_name"))).otherwise(text(c("p_brand"), " ", c("p_type")))
-    forms = F.filter(N.label_candidates(text("X県立", c("p_name"), "工業高等学校")), lambda x: ~x.contains("県立"))
-    local = F.get(N.district_candidates(text(F.when(k % 2 == 0, "熊本").otherwise(""), c("p_brand")), F.lit("熊本")), F.lit(0))
-    return table(spark, d, "part").select("p_partkey", key.alias("key"), N.is_combined(joint).alias("combined"), F.array_join(forms, ",").alias("forms"), local.alias("local"))
-
-
-@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_partkey || '-' || l_suppkey || ' ABCー' AS folded, CASE l_linenumber WHEN 1 THEN 'quarter' WHEN 2 THEN 'semi' WHEN 3 THEN 'final' WHEN 4 THEN 'round ' || l_partkey % 30 WHEN 5 THEN 'round ' || (l_partkey % 9 + 1) END AS round,
-  CASE WHEN l_linenumber < 6 THEN 'P' || l_partkey || '球場' END AS venue, CASE WHEN l_linenumber = 1 THEN 2019 WHEN l_linenumber < 4 THEN 2018 + l_suppkey % 10 WHEN l_linenumber < 7 THEN 1918 + l_partkey % 120 END::INT AS year FROM lineitem""")
+    """S-02, S-03, S-06 and S-07: keys, joined teams, spellings everywhere, weak ones, and in a district."""
+    k, own = F.col("p_partkey"), F.col("p_name")
+    rows = table(spark, d, "part").select("p_partkey", "p_name", "p_brand")
+    rows = case_of(rows, KEYS, k, own).withColumn("key", N.name_key(F.col("case")))
+    rows = case_of(rows, TEAMS, k, own).withColumn("combined", N.is_combined(F.col("case")))
+    rows = case_of(rows, LABELS, k, own)
+    forms = F.array_join(N.label_candidates(F.col("case"), F.array("p_brand", F.lit(""))), ",")
+    local = F.array_join(N.district_candidates(F.col("case"), F.lit("熊本")), ",")
+    return rows.select("p_partkey", "key", "combined", forms.alias("forms"), N.weak_candidate(F.col("case")).alias("weak"), local.alias("local"))
+
+
+@query(f"""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, replace(f.folded, 'X', l_partkey::VARCHAR) AS folded, r.round, replace(v.venue, 'X', 'P' || l_partkey) AS venue,
+  CASE WHEN l_linenumber = 1 THEN 2019 WHEN l_linenumber < 4 THEN 2018 + l_suppkey % 10 WHEN l_linenumber < 7 THEN 1918 + l_partkey % 120 END::INT AS year
+  FROM lineitem JOIN {sql_values(FOLDS, 'raw', 'folded')} f ON f.i = l_partkey % {len(FOLDS)} JOIN {sql_values(HEADINGS, 'heading', 'round')} r ON r.i = l_partkey % {len(HEADINGS)}
+  JOIN {sql_values(VENUES, 'line', 'venue')} v ON v.i = l_partkey % {len(VENUES)}""")
 def document_steps(spark: SparkSession, d: str) -> DataFrame:
     """S-01, S-04, S-05 and S-19: widths and dashes, rounds, venues, eras and editions."""
-    n, c = F.col("l_linenumber"), F.col
-    wide = F.translate(c("l_partkey").cast("string"), "0123456789", "０１２３４５６７８９")
-    dash = F.element_at(F.array(*map(F.lit, "ー－–—")), (n % 4 + 1).cast("int"))
-    kanji = F.element_at(F.array(*map(F.lit, N.KANJI_DIGITS)), (c("l_partkey") % 9 + 1).cast("int"))
-    title = F.when(n == 1, "準々決勝 決勝").when(n == 2, "準決勝").when(n == 3, "決勝 1回戦").when(n == 4, text(c("l_partkey") % 30, "回戦")).when(n == 5, text(kanji, "回戦")).otherwise("開会式")
-    place = F.when(n < 6, text("会場：P", c("l_partkey"), "球場 第1試合")).otherwise("会場未定")
-    year = F.when(n == 1, "令和元年").when(n < 4, text("令和", c("l_suppkey") % 10, "年 第9回")).when(n < 7, text("第", c("l_partkey") % 120, "回")).otherwise("秋季")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", N.fold_width(text(wide, dash, c("l_suppkey"), "　ＡＢＣー")).alias("folded"), N.pick_round(title).alias("round"), N.pick_venue(place).alias("venue"), N.era_year(year).alias("year"))
+    n, k = F.col("l_linenumber"), F.col("l_partkey")
+    year = F.when(n == 1, "令和元年").when(n < 4, text("令和", F.col("l_suppkey") % 10, "年 第9回")).when(n < 7, text("第", k % 120, "回")).otherwise("秋季")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", N.era_year(year).alias("year"))
+    rows = case_of(rows, FOLDS, k, k.cast("string")).withColumn("folded", N.fold_width(F.col("case")))
+    rows = case_of(rows, HEADINGS, k, F.lit("")).withColumn("round", N.pick_round(F.col("case")))
+    rows = case_of(rows, VENUES, k, text("P", k)).withColumn("venue", N.pick_venue(F.col("case")))
+    return rows.drop("case")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 'own' ELSE 'S' || o_orderkey END AS name, o_orderkey % 5 + o_orderkey % 3 AS total,
+@query(f"""SELECT o_orderkey, replace(c.shown, 'X', o_orderkey::VARCHAR) AS name, replace(c.cap, 'X', o_orderkey::VARCHAR) AS cap, o_orderkey % 5 + o_orderkey % 3 AS total,
   strftime(o_orderdate, '%Y.%m.%d') AS dotted, year(o_orderdate) || '年' || month(o_orderdate) || '月' || day(o_orderdate) || '日' AS long, month(o_orderdate) || '月' || day(o_orderdate) || '日' AS short,
   CASE WHEN o_orderkey % 4 = 0 THEN 'unknown' ELSE year(o_orderdate) || '年' || month(o_orderdate) || '月' || day(o_orderdate) || '日' END AS shown, o_orderdate::DATE::VARCHAR AS back,
-  CASE WHEN o_orderkey % 3 = 1 THEN 'a' WHEN o_orderkey % 3 = 2 THEN 'b' WHEN o_orderkey % 2 = 0 THEN 'b' ELSE 'a' END AS own FROM orders""")
+  CASE WHEN o_orderkey % 3 = 1 THEN 'a' WHEN o_orderkey % 3 = 2 THEN 'b' WHEN o_orderkey % 2 = 0 THEN 'b' ELSE 'a' END AS own
+  FROM orders JOIN {sql_values(CAPS, 'name', 'own', 'own_cap', 'shown', 'cap')} c ON c.i = o_orderkey % {len(CAPS)}""")
 def display_steps(spark: SparkSession, d: str) -> DataFrame:
-    """S-08, S-17, S-18 and S-26: short names, totals, dates there and back, own side first."""
+    """S-08, S-17, S-18 and S-26: short names and cap labels, totals, dates there and back, own side first."""
     k, date = F.col("o_orderkey"), F.to_date("o_orderdate")
     iso = F.when(k % 4 == 0, "unknown").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
     third = k % 3
@@ -113,9 +161,9 @@ def display_steps(spark: SparkSession, d: str) -> DataFrame:
     sides = F.array(*(F.struct(F.lit(n).alias("n"), p.alias("public"), w.alias("won")) for n, p, w in (("a", third != 2, k % 2 == 1), ("b", third != 1, k % 2 == 0))))
     rows = table(spark, d, "orders").withColumns({"spring": k % 5, "summer": third})
     rows = N.with_total(rows, "total", "spring", "summer")
-    short = N.short_name(text("S", k, "高等学校"), F.when(k % 9 == 0, "own"))
+    name, own, own_cap = (F.replace(pick(CAPS, i, k % len(CAPS)), F.lit("X"), k.cast("string")) for i in range(3))
     back = N.yearless_date(N.japanese_date(date), F.year(date)).cast("string")
-    return rows.select("o_orderkey", short.alias("name"), "total", N.dotted_date(date).alias("dotted"), N.long_date(date).alias("long"), N.japanese_date(date).alias("short"), N.iso_shown(iso, year=True).alias("shown"), back.alias("back"), N.orient(sides)[0]["n"].alias("own"))
+    return rows.select("o_orderkey", N.short_name(name, own).alias("name"), N.cap_label(name, own, own_cap).alias("cap"), "total", N.dotted_date(date).alias("dotted"), N.long_date(date).alias("long"), N.japanese_date(date).alias("short"), N.iso_shown(iso, year=True).alias("shown"), back.alias("back"), N.orient(sides)[0]["n"].alias("own"))
 
 
 @query("""SELECT event_id, length(v) BETWEEN 16 AND 64 AND event_id % 5 > 0 AS ok FROM (SELECT event_id, repeat('aZ-_' || event_id % 10, (event_id % 16)::INT) AS v FROM events)""")
@@ -139,9 +187,8 @@ def inning_scores(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderkey", "s.innings", *runs, F.array_join("s.hits", "-").alias("hits"))
 
 
-@query("SELECT p_partkey, p_partkey % 5 < 3 AND p_partkey % 4 > 0 AS photo FROM part")
+@query(f"SELECT p_partkey, photo = '1' AS photo FROM part JOIN {sql_values(FILES, 'file', 'photo')} ON i = p_partkey % {len(FILES)}")
 def photo_files(spark: SparkSession, d: str) -> DataFrame:
-    """S-24: picture files that are no maps, marks or drawings."""
-    k = F.col("p_partkey")
-    end = F.element_at(F.array(*map(F.lit, [".JPG", ".jpeg", ".png", ".svg", ".pdf"])), (k % 5 + 1).cast("int"))
-    return table(spark, d, "part").select("p_partkey", N.likely_photo(text(F.col("p_name"), F.when(k % 4 == 0, " Logo").otherwise(" 校舎"), end)).alias("photo"))
+    """S-24: files that are no maps, marks or drawings."""
+    rows = case_of(table(spark, d, "part").select("p_partkey", "p_name"), FILES, F.col("p_partkey"), F.col("p_name"))
+    return rows.select("p_partkey", N.likely_photo(F.col("case")).alias("photo"))
