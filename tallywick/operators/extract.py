@@ -7,7 +7,6 @@ rows paired by lead and checked by pattern.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -121,25 +120,36 @@ def score_cell(text: Column) -> Column:
     return F.when(part[0] != "", F.struct(part[1].cast("int").alias("a"), part[3].cast("int").alias("b"), ((part[2] != "") | (part[4] != "")).alias("walk_off"), F.when(part[5] != "", part[5]).alias("note")))
 
 
-def unpivot_blocks(df: DataFrame, key: list[str], header: str, cells: str, starts: str) -> DataFrame:
-    """Side-by-side blocks of a row (O-117): cells between header cells that match `starts`, with the
-    sum of their numeric cells. header and cells are arrays of equal length."""
+def unpivot_blocks(df: DataFrame, key: list[str], header: str, cells: str, starts: str, total: str = "^計$") -> DataFrame:
+    """Side-by-side blocks of a row (O-117): cells from a header cell that matches `starts` to the next.
+
+    A block's total is its cell under the header that matches `total` where that holds a number, else
+    the sum of the numeric cells after its first. header and cells are arrays.
+    """
     at = F.filter(F.transform(F.col(header), lambda h, i: F.when(h.rlike(starts), i)), lambda i: i.isNotNull())
     rows = df.withColumn("__at", at)
     begin = rows.select("*", F.posexplode("__at").alias("block", "__b"))
-    stop = F.coalesce(F.try_element_at("__at", F.col("block") + 2), F.size(cells))
-    part = F.slice(cells, F.col("__b") + 1, stop - F.col("__b"))
-    total = F.aggregate(part, F.lit(0), lambda s, c: s + F.coalesce(F.when(c.rlike(r"^\d+$"), c.cast("int")), F.lit(0)))
-    return begin.select(*key, "block", part.alias("cells"), total.alias("total"))
+    stop = F.coalesce(F.try_element_at("__at", F.col("block") + 2), F.greatest(F.size(header), F.size(cells)))
+    heads, part = (F.slice(c, F.col("__b") + 1, stop - F.col("__b")) for c in (header, cells))
+    place = F.array_position(F.transform(heads, lambda h: F.coalesce(h.rlike(total), F.lit(False))), True).cast("int")
+    stated = F.when(place > 0, F.get(part, place - 1))
+    runs = F.slice(part, 2, F.greatest(F.size(part) - 1, F.lit(0)))
+    summed = F.aggregate(runs, F.lit(0), lambda s, c: s + F.coalesce(F.when(c.rlike(r"^\d+$"), c.try_cast("int")), F.lit(0)))
+    shown = F.coalesce(F.when(stated.rlike(r"^\d+$"), stated.try_cast("int")), summed)
+    return begin.select(*key, "block", part.alias("cells"), shown.alias("total"))
 
 
 def join_wrapped(df: DataFrame, partition: list[str], order: list[str], name: str, score: str, stop: Column) -> DataFrame:
-    """A row with a name but no score prefixes the next scored row, unless a stop row lies between (O-118)."""
-    w = Window.partitionBy(*partition).orderBy(*order)
+    """The last name without a score prefixes the next scored row, over empty rows too, unless a stop row
+    lies between (O-118)."""
+    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = df.withColumn("__stop", F.coalesce(stop, F.lit(False)))
-    loose = F.col(score).isNull() & ~F.col("__stop")
-    before = F.lag(F.when(loose, F.col(name))).over(w)
-    return rows.withColumn(name, F.concat(F.coalesce(before, F.lit("")), F.col(name))).filter(F.col(score).isNotNull() & ~F.col("__stop")).drop("__stop")
+    ends = (F.col("__stop") | F.col(score).isNotNull()).cast("int")
+    rows = rows.withColumn("__seg", F.coalesce(F.sum(ends).over(w), F.lit(0)))
+    before = Window.partitionBy(*partition, "__seg").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    half = F.last(F.when(~F.col("__stop") & F.col(score).isNull(), F.nullif(F.col(name), F.lit(""))), True).over(before)
+    joined = rows.withColumn(name, F.concat(F.coalesce(half, F.lit("")), F.col(name)))
+    return joined.filter(F.col(score).isNotNull() & ~F.col("__stop")).drop("__stop", "__seg")
 
 
 def anchored_rows(fragments: DataFrame, group: list[str], y: str, order: list[str], tolerance: float) -> DataFrame:
@@ -184,10 +194,40 @@ def wiki_section(pages: DataFrame, key: str, text: str, heading: str) -> DataFra
     return rows.filter("__start is not null and __end is null and n > __start").select(key, "n", "line")
 
 
-def strip_templates(text: Column, depth: int = 6, name: str = "") -> Column:
-    """Refs and templates (all, or those whose name begins with `name`) removed, innermost first (O-123)."""
-    text = F.regexp_replace(F.regexp_replace(text, r"(?is)<ref\b[^>]*/>", ""), r"(?is)<ref\b[^>]*>.*?</ref>", "")
-    return reduce(lambda t, _: F.regexp_replace(t, rf"(?is)\{{\{{\s*{name}[^{{}}]*\}}\}}", ""), range(depth), text)
+def strip_references(text: Column) -> Column:
+    """Wikitext without its reference tags and what they hold."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?is)<ref\b[^>]*/>", ""), r"(?is)<ref\b[^>]*>.*?</ref>", "")
+
+
+def strip_templates(pages: DataFrame, key: str, text: str, names: tuple[str, ...] = ()) -> DataFrame:
+    """pages with references and templates removed from a text (O-123): all templates, or those of these
+    names, each with what it nests at any depth. An end without a beginning is text; a beginning without
+    an end removes the rest. key is unique.
+
+    The text is cut into braces and what lies between. Depth is the running sum of beginnings and ends,
+    raised where ends without beginnings have lowered it. On one level beginnings and ends alternate, so
+    an end's beginning is the token before it there; a second running sum over the removed templates'
+    edges tells what they cover.
+    """
+    token = F.regexp_extract_all(strip_references(F.col(text)), F.lit(r"(\{\{\s*[^|{}\s]*|\}\}|[^{}]+|[{}])"), 1)
+    rows = pages.select(key, F.posexplode(token).alias("__n", "__t"))
+    opens, closes = F.col("__t").startswith("{{"), F.col("__t") == "}}"
+    so_far = Window.partitionBy(key).orderBy("__n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__s", F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(so_far))
+    rows = rows.withColumn("__low", F.least(F.lit(0), F.min("__s").over(so_far)))
+    stray = closes & (F.col("__s") < F.coalesce(F.lag("__low").over(Window.partitionBy(key).orderBy("__n")), F.lit(0)))
+    depth = F.col("__s") - F.col("__low")
+    rows = rows.withColumn("__level", F.when(opens, depth).when(closes & ~stray, depth + 1))
+    named = opens if not names else opens & F.lower(F.regexp_extract("__t", r"^\{\{\s*(.*)$", 1)).isin(*names)
+    rows = rows.withColumn("__in", F.coalesce(named, F.lit(False)))
+    before = F.lag("__in").over(Window.partitionBy(key, "__level").orderBy("__n"))
+    rows = rows.withColumn("__out", F.col("__level").isNotNull() & closes & F.coalesce(before, F.lit(False)))
+    covered = F.sum(F.col("__in").cast("int") - F.col("__out").cast("int")).over(so_far) > 0
+    kept = rows.withColumn("__gone", covered).filter("not __gone and not __out")
+    texts = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__n", "__t"))).alias("__kept"))
+    texts = texts.select(F.col(key).alias("__key"), F.array_join("__kept.__t", "").alias("__text"))
+    joined = pages.join(texts, F.col(key).eqNullSafe(F.col("__key")), "left")
+    return joined.withColumn(text, F.when(F.col(text).isNotNull(), F.coalesce("__text", F.lit("")))).select(pages.columns)
 
 
 def wiki_links(text: Column) -> Column:
@@ -202,11 +242,13 @@ def infobox_year(text: Column, field: str) -> Column:
 
 
 def rule_scan(df: DataFrame, key: str, text: str, rules: dict[str, str], before: int = 30, after: int = 40) -> DataFrame:
-    """Hits of named patterns with a snippet around the first match, each snippet once (O-129)."""
-    hits = F.array(*(F.struct(F.lit(name).alias("rule"), F.regexp_instr(text, F.lit(p)).alias("at")) for name, p in rules.items()))
+    """Hits of named patterns with a snippet from `before` characters ahead of the first match to `after`
+    behind its end, each snippet once (O-129)."""
+    hits = F.array(*(F.struct(F.lit(name).alias("rule"), F.regexp_instr(text, F.lit(p)).alias("at"), F.regexp_extract(text, p, 0).alias("hit")) for name, p in rules.items()))
     rows = df.select(key, text, F.explode(hits).alias("h")).filter("h.at > 0")
     start = F.greatest(F.col("h.at") - before, F.lit(1))
-    return rows.select(key, "h.rule", F.substring(text, start, F.col("h.at") - start + after).alias("snippet")).dropDuplicates([key, "rule", "snippet"])
+    length = F.col("h.at") + F.length("h.hit") + after - start
+    return rows.select(key, "h.rule", F.substring(text, start, length).alias("snippet")).dropDuplicates([key, "rule", "snippet"])
 
 
 def rule_report(hits: DataFrame, group: str, rules: list[str]) -> DataFrame:

@@ -70,24 +70,32 @@ def score_cells(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "s.*")
 
 
-@query("""SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT - 1 AS block, 'T' || o_orderkey || ',' || o_orderkey % 7 || ',x,' || o_orderkey % 5 AS cells,
-  (o_orderkey % 7 + o_orderkey % 5)::INT AS total FROM orders""")
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderkey % 7 AS x, o_orderkey % 5 AS y, CASE o_orderkey % 3 WHEN 0 THEN (o_orderkey % 90)::VARCHAR WHEN 1 THEN '' ELSE 'x' END AS stated FROM orders)
+ SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT - 1 AS block, (o_orderkey % 30)::VARCHAR || ',' || x || ',x,' || y || CASE WHEN o_orderkey % 4 > 0 THEN ',' || stated ELSE '' END AS cells,
+  CASE WHEN o_orderkey % 4 > 0 AND o_orderkey % 3 = 0 THEN o_orderkey % 90 ELSE x + y END::INT AS total FROM o""")
 def side_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """O-117: a row of a customer's orders side by side, each under a team column."""
+    """O-117: a row of a customer's orders side by side, each under a team column; the names are numbers,
+    three of four blocks have a total column, and a third of those a number in it."""
     o, k = table(spark, d, "orders"), F.col("o_orderkey")
-    cells = F.array(text("T", k), text(k % 7), F.lit("x"), text(k % 5))
-    every = F.sort_array(F.collect_list(F.struct("o_orderkey", cells.alias("c"))))
-    rows = o.groupBy("o_custkey").agg(F.flatten(F.transform(every, lambda r: r["c"])).alias("cells"))
-    rows = rows.withColumn("header", F.transform("cells", lambda c, i: F.when(i % 4 == 0, "team").otherwise((i % 4).cast("string"))))
+    stated = F.when(k % 3 == 0, text(k % 90)).when(k % 3 == 1, "").otherwise("x")
+    head, cell = F.array(*map(F.lit, ["team", "1", "2", "3"])), F.array(text(k % 30), text(k % 7), F.lit("x"), text(k % 5))
+    head, cell = (F.when(k % 4 > 0, F.concat(a, F.array(b))).otherwise(a) for a, b in ((head, F.lit("計")), (cell, stated)))
+    every = F.sort_array(F.collect_list(F.struct("o_orderkey", head.alias("h"), cell.alias("c"))))
+    rows = o.groupBy("o_custkey").agg(every.alias("e"))
+    rows = rows.select("o_custkey", F.flatten("e.h").alias("header"), F.flatten("e.c").alias("cells"))
     return X.unpivot_blocks(rows, ["o_custkey"], "header", "cells", "^team$").select("o_custkey", "block", F.array_join("cells", ",").alias("cells"), "total")
 
 
-@query("""WITH o AS (SELECT o_custkey, o_orderkey, 'N' || o_orderkey AS name, o_orderpriority = '3-MEDIUM' AS bare, o_orderstatus = 'P' AS stop FROM orders),
- w AS (SELECT *, lag(CASE WHEN bare AND NOT stop THEN name END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM o)
- SELECT o_custkey, o_orderkey, coalesce(before, '') || name AS name FROM w WHERE NOT bare AND NOT stop""")
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE 'N' || o_orderkey END AS name, o_orderpriority IN ('3-MEDIUM', '5-LOW') AS bare, o_orderstatus = 'P' AS stop FROM orders),
+ s AS (SELECT *, coalesce(sum(CASE WHEN stop OR NOT bare THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM o),
+ h AS (SELECT o_custkey, seg, arg_max(name, o_orderkey) AS half FROM s WHERE bare AND NOT stop AND name <> '' GROUP BY ALL)
+ SELECT o_custkey, o_orderkey, coalesce(half, '') || name AS name FROM s LEFT JOIN h USING (o_custkey, seg) WHERE NOT bare AND NOT stop""")
 def wrapped_names(spark: SparkSession, d: str) -> DataFrame:
-    """O-118: names of rows without a score prefix the next row; rows of status P stop that."""
-    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", text("N", F.col("o_orderkey")).alias("name"), F.when(F.col("o_orderpriority") != "3-MEDIUM", F.col("o_totalprice")).alias("score"), "o_orderstatus")
+    """O-118: the last name without a score prefixes the next scored row, over rows that are empty; rows of
+    status P stop that."""
+    name = F.when(F.col("o_orderpriority") == "5-LOW", "").otherwise(text("N", F.col("o_orderkey")))
+    score = F.when(~F.col("o_orderpriority").isin("3-MEDIUM", "5-LOW"), F.col("o_totalprice"))
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", name.alias("name"), score.alias("score"), "o_orderstatus")
     return X.join_wrapped(o, ["o_custkey"], ["o_orderkey"], "name", "score", F.col("o_orderstatus") == "P").select("o_custkey", "o_orderkey", "name")
 
 
@@ -107,12 +115,20 @@ def wiki_sections(spark: SparkSession, d: str) -> DataFrame:
     return X.wiki_section(table(spark, d, "supplier").select("s_suppkey", page.alias("page")), "s_suppkey", "page", "Teams")
 
 
-@query("SELECT p_partkey, p_name || '-' || p_brand AS plain, p_name || '-{{Round8|' || p_size || '}}' || p_brand AS kept FROM part")
+@query("""SELECT p_partkey, p_name || '-' || p_brand || '}}' AS plain, p_name || '-{{Round8|' || p_size || '|' || repeat('{{x', (p_partkey % 30)::INT) || repeat('}}', (p_partkey % 30)::INT) || '}}' || p_brand || '}}'
+  || CASE WHEN p_partkey % 5 = 0 THEN '{{rest of ' || p_size ELSE '' END AS kept FROM part""")
 def wiki_cleanup(spark: SparkSession, d: str) -> DataFrame:
-    """O-123: all templates gone, and note templates alone, with references and what both nest."""
+    """O-123: all templates gone, and note templates alone, with references and what both nest, up to
+    30 deep; an end without a beginning stays, a beginning without an end takes the rest."""
     p, c = table(spark, d, "part"), F.col
-    note = text(c("p_name"), "{{Efn|see {{Cite|", c("p_type"), "}}<ref>x|y</ref> and\n{{r|z}}}}<ref name=\"a\"/>-{{Round8|", c("p_size"), "}}", c("p_brand"), "<ref name=b>{{", c("p_type"), "}}</ref>")
-    return p.select("p_partkey", X.strip_templates(note).alias("plain"), W.strip_notes(note).alias("kept"))
+    deep = (c("p_partkey") % 30).cast("int")
+    nest = text(F.repeat(F.lit("{{efn|{{x|"), deep), c("p_type"), F.repeat(F.lit("}}}}"), deep))
+    note = text(c("p_name"), "{{Efn|see {{Cite|", c("p_type"), "}}<ref>x|y</ref> and\n{{r|z}}", nest, "}}<ref name=\"a\"/>-")
+    kept = text("{{Round8|", c("p_size"), "|", F.repeat(F.lit("{{x"), deep), F.repeat(F.lit("}}"), deep), "}}")
+    tail = text(c("p_brand"), "<ref name=b>{{", c("p_type"), "}}</ref>}}", F.when(c("p_partkey") % 5 == 0, text("{{rest of ", c("p_size"))).otherwise(""))
+    pages = p.select("p_partkey", text(note, kept, tail).alias("plain")).withColumn("kept", c("plain"))
+    plain = X.strip_templates(pages, "p_partkey", "plain").drop("kept")
+    return plain.join(X.strip_templates(pages, "p_partkey", "kept", W.NOTES).drop("plain"), "p_partkey")
 
 
 @query("""SELECT p_partkey, 0 AS place, p_name || '高等学校 (' || p_brand || ')' AS target, p_type AS label, true AS school FROM part

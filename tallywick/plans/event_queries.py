@@ -135,10 +135,10 @@ def unsafe_markup(spark: SparkSession, d: str) -> DataFrame:
 
 
 # The scan's rules.
-RULES = {"licence": "(?i)licen[cs]ed? under", "mail": "[a-z0-9._]+@[a-z0-9.]+", "symbols": r"[%$#&*]{3}", "reserved": "All rights reserved"}
+RULES = {"licence": "(?i)licen[cs]ed? under", "mail": "[a-z0-9._]+@[a-z0-9.]+", "symbols": r"[%$#&*]{3}", "reserved": "All rights reserved", "phrase": "(?:[a-z]+ ){14}[a-z]+"}
 
 
-@query("WITH h AS (" + " UNION ALL ".join(f"SELECT doc_id, source, '{k}' AS rule, text, instr(text, regexp_extract(text, '{v}')) AS pos FROM documents WHERE regexp_matches(text, '{v}')" for k, v in RULES.items()) + ") SELECT doc_id, rule, substr(text, greatest(pos - 30, 1), pos - greatest(pos - 30, 1) + 40) AS snippet FROM h")
+@query("WITH h AS (" + " UNION ALL ".join(f"SELECT doc_id, source, '{k}' AS rule, text, regexp_extract(text, '{v}') AS hit, instr(text, regexp_extract(text, '{v}')) AS pos FROM documents WHERE regexp_matches(text, '{v}')" for k, v in RULES.items()) + ") SELECT doc_id, rule, substr(text, greatest(pos - 30, 1), pos + length(hit) + 40 - greatest(pos - 30, 1)) AS snippet FROM h")
 def rule_scan(spark: SparkSession, d: str) -> DataFrame:
     return X.rule_scan(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", RULES)
 

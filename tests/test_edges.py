@@ -188,7 +188,9 @@ def test_wikitext(spark):
     pages = spark.createDataFrame([(1, text)], "k int, t string")
     lines = extract.wiki_section(pages, "k", "t", "Teams")
     assert [r.line for r in lines.orderBy("n").collect()] == ["* [[North High|North]]{{ref|{{in}}}}", "=== sub ===", "| [[South High]]"]
-    assert pages.select(extract.strip_templates(F.lit("a{{b|{{c}}}}<ref>x</ref>d")).alias("t")).first().t == "ad"
+    cut = pages.sparkSession.createDataFrame([(1, "a{{b|{{c}}}}<ref>x</ref>d"), (2, None), (3, ""), (4, "}}a}}{{b}}{{c"), (5, "{{efn|" * 40 + "x" + "}}" * 40 + "y{{z}}")], "k int, t string")
+    assert {r.k: r.t for r in extract.strip_templates(cut, "k", "t").collect()} == {1: "ad", 2: None, 3: "", 4: "}}a}}", 5: "y"}
+    assert {r.k: r.t for r in extract.strip_templates(cut, "k", "t", ("efn",)).collect()} == {1: "a{{b|{{c}}}}d", 2: None, 3: "", 4: "}}a}}{{b}}{{c", 5: "y{{z}}"}
     assert pages.select(extract.infobox_year(F.lit("| year = 1998 |"), "year").alias("y")).first().y == 1998
 
 
