@@ -131,12 +131,16 @@ def unpivot_blocks(df: DataFrame, key: list[str], header: str, cells: str, start
     begin = rows.select("*", F.posexplode("__at").alias("block", "__b"))
     stop = F.coalesce(F.try_element_at("__at", F.col("block") + 2), F.greatest(F.size(header), F.size(cells)))
     heads, part = (F.slice(c, F.col("__b") + 1, stop - F.col("__b")) for c in (header, cells))
+    return begin.select(*key, "block", part.alias("cells"), block_total(heads, part, total).alias("total"))
+
+
+def block_total(heads: Column, cells: Column, total: str = "^計$") -> Column:
+    """The number under the header that matches `total`, else the sum of the numeric cells after the first."""
     place = F.array_position(F.transform(heads, lambda h: F.coalesce(h.rlike(total), F.lit(False))), True).cast("int")
-    stated = F.when(place > 0, F.get(part, place - 1))
-    runs = F.slice(part, 2, F.greatest(F.size(part) - 1, F.lit(0)))
+    stated = F.when(place > 0, F.get(cells, place - 1))
+    runs = F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0)))
     summed = F.aggregate(runs, F.lit(0), lambda s, c: s + F.coalesce(F.when(c.rlike(r"^\d+$"), c.try_cast("int")), F.lit(0)))
-    shown = F.coalesce(F.when(stated.rlike(r"^\d+$"), stated.try_cast("int")), summed)
-    return begin.select(*key, "block", part.alias("cells"), shown.alias("total"))
+    return F.when(stated.rlike(r"^\d+$"), stated.try_cast("int")).otherwise(summed)
 
 
 def join_wrapped(df: DataFrame, partition: list[str], order: list[str], name: str, score: str, stop: Column) -> DataFrame:

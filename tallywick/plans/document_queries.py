@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywick.operators import extract as X
+from tallywick.operators import layouts as L
 from tallywick.operators import tournament
 from tallywick.operators import wikitext as W
 from tallywick.plans.catalog import query
@@ -225,3 +226,46 @@ def infobox_years(spark: SparkSession, d: str) -> DataFrame:
     year = F.when(F.col("o_orderkey") % 6 > 0, F.date_format("o_orderdate", "yyyy")).otherwise("")
     page = text("{{Infobox\n| name = 1999\n| year = ", year, "\n| yearly = 1234\n}}")
     return table(spark, d, "orders").select("o_orderkey", X.infobox_year(page, "year").alias("year"))
+
+
+#: Layouts of the game pages below: a table whose first cell is the context, a list of line scores, and
+#: sheets of games side by side.
+LAYOUTS = {
+    "daily table": L.Layout(rows=r"(?is)<tr\b[^>]*>(.*?)</tr>", cells=r"(?is)<td\b[^>]*>(.*?)</td>", games="inline", in_cell=True),
+    "line scores": L.Layout(rows=r"(?is)<(?:h3|tr)\b[^>]*>(.*?)</(?:h3|tr)>", cells=r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>", games="pair", context="月|球場|回戦|決勝", header="^チーム"),
+    "sheet": L.Layout(rows=r"([^\n]+)", cells=r"([^\t]*)(?:\t|$)", games="blocks", context="令和|球場|決勝", header="^校名$", placeholder="^(?:--|組合せ.*)$"),
+}
+
+
+def layout_pages(spark: SparkSession, d: str) -> DataFrame:
+    """A page per customer in one of four layouts, of which the last is unknown; its orders are games."""
+    k, c = F.col("o_orderkey"), F.col
+    o = table(spark, d, "orders").withColumn("day", F.add_months(F.to_date("o_orderdate"), 360))
+    a, b = text("A", k), F.when(c("o_orderstatus") == "P", "--").otherwise(text("B", k))
+    x, y = k % 10, F.floor(k / 10).cast("long") % 10
+    dated, staged = c("o_orderpriority") != "5-LOW", c("o_orderpriority") != "4-NOT SPECIFIED"
+    wide = F.translate(x.cast("string"), "0123456789", "０１２３４５６７８９")
+    full = F.when(dated, text(F.year("day"), "年", F.month("day"), "月", F.dayofmonth("day"), "日")).otherwise("")
+    short = text(F.month("day"), "月", F.dayofmonth("day"), "日")
+    era = text("令和", F.year("day") - 2018, "年", short)
+    stage = F.when(staged, text("P", k % 50, "球場 ", k % 4 + 1, "回戦")).otherwise("")
+    daily = text("<tr><td>", full, " ", stage, "</td><td>", a, "  ", wide, " － ", y, "x ", b, "<br>C", k, " ", y, "-", x, " D", k, "</td></tr>\n")
+    line = text(F.when(dated, text("<h3>", short, "</h3>")).otherwise(""), F.when(staged, text("<h3>■", stage, "</h3>")).otherwise(""), "<tr><th>チーム<th>1</th><th>計</th></tr><tr><td>", a, "</td><td>1</td><td>", wide, "</td><td></td></tr><tr><td>", b, "</td><td>0</td><td>", y, "</td><td>x</td></tr>\n")
+    sheet = text(F.when(dated, text(era, "\n")).otherwise(""), F.when(staged, text(stage, "\n")).otherwise(""), "校名\t1\t2\t計\t校名\t1\n", a, "\t4\t4\t", x, "\tC", k, "\t", y, "\n", b, "\t4\t4\t", y, "\tD", k, "\t", x, "\n")
+    kinds = [joined(o.filter(c("o_custkey") % 4 == i), "o_custkey", ["o_orderkey"], part, "html").withColumn("layout", F.lit(name)) for i, (part, name) in enumerate(((daily, "daily table"), (line, "line scores"), (sheet, "sheet"), (daily, "unknown")))]
+    pages = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).unionByName(kinds[3])
+    return pages.withColumn("year", F.lit(2028))
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey AS k, o_custkey % 4 AS kind, (o_orderdate::DATE + INTERVAL 30 YEAR)::DATE AS day, o_orderkey % 10 AS x, o_orderkey // 10 % 10 AS y, o_orderstatus = 'P' AS held, o_orderpriority <> '5-LOW' AS dated, o_orderpriority <> '4-NOT SPECIFIED' AS staged FROM orders WHERE o_custkey % 4 < 3),
+ r AS (SELECT *, CASE WHEN dated THEN CASE kind WHEN 1 THEN make_date(2028, month(day), day(day)) ELSE day END END AS own FROM o),
+ c AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY k ROWS UNBOUNDED PRECEDING) AS date FROM r),
+ g AS (SELECT *, unnest(CASE kind WHEN 1 THEN [0] ELSE [0, 1] END)::INT AS block FROM c),
+ t AS (SELECT *, CASE WHEN block = 0 THEN 'A' ELSE 'C' END || k AS a, CASE WHEN block = 1 THEN 'D' || k WHEN held THEN '--' ELSE 'B' || k END AS b, CASE WHEN block = 0 THEN x ELSE y END::INT AS sx, CASE WHEN block = 0 THEN y ELSE x END::INT AS sy FROM g),
+ p AS (SELECT *, CASE WHEN b = '--' THEN 'placeholder' WHEN date IS NULL THEN 'no date' END AS problem FROM t)
+ SELECT o_custkey, CASE kind WHEN 0 THEN 'daily table' WHEN 1 THEN 'line scores' ELSE 'sheet' END AS layout, block, date, CASE WHEN staged THEN 'round ' || (k % 4 + 1) END AS round, CASE WHEN staged THEN 'P' || k % 50 || '球場' END AS venue,
+  a, sx AS x, b, sy AS y, CASE WHEN problem IS NULL AND sx > sy THEN a WHEN problem IS NULL AND sx < sy THEN b END AS winner, problem FROM p""")
+def layout_games(spark: SparkSession, d: str) -> DataFrame:
+    """§2.8 as one job: three layouts in one scan, from pages to checked games; dates carry forward, and
+    round and venue begin anew with them."""
+    return L.extract_games(layout_pages(spark, d), LAYOUTS, "o_custkey", "layout", "html", "year").drop("n")
