@@ -8,30 +8,36 @@ from pyspark.sql import functions as F
 from tallywick.session import Scratch
 
 
-def allocate_keys(rows: DataFrame, row_id: str, priority: str, candidates: Column, rounds: int = 1000) -> DataFrame:
+def allocate_keys(rows: DataFrame, row_id: str, priority: str, candidates: Column) -> DataFrame:
     """Unique keys in order of priority: every row takes its first candidate that is still free (O-131).
 
     The greedy order is the stable outcome of deferred acceptance, as all keys rank their proposers
-    by one priority: each round the rows without a key propose their next candidate, each key keeps
-    the proposer of best priority, and those it turns down go on. Rounds are bounded by the length of
-    the longest chain of displacements; each is a table in the shared folder. Rows that run out of
-    candidates end with a null key. priority must be unique.
+    by one priority. Only what is in motion moves: a round takes the rows that lost their place and the
+    holders of the keys that they ask for next, and writes the new holders and those turned down. A
+    key's holder is the proposer of best priority of all rounds. Rows that run out of candidates end
+    with a null key; null candidates are none. row_id and priority must be unique.
     """
-    scratch = Scratch(rows.sparkSession, "keys")
-    start = rows.select(row_id, priority, candidates.alias("__c"))
-    at = scratch.save(start.select(row_id, priority, F.lit(0).alias("place"), F.size("__c").alias("many")), "start")
-    offers = scratch.save(start.select(row_id, F.posexplode("__c").alias("place", "key")), "offers")
-    for _ in range(rounds):
-        asking = at.filter("place < many").join(offers, [row_id, "place"])
-        winners = asking.groupBy("key").agg(F.min_by(row_id, priority).alias(row_id))
-        held = asking.join(winners.withColumn("won", F.lit(True)), ["key", row_id], "left")
-        lost = held.filter("won is null").select(row_id, F.lit(1).alias("step"))
-        moved = at.join(lost, row_id, "left").select(row_id, priority, (F.col("place") + F.coalesce("step", F.lit(0))).alias("place"), "many", F.col("step").isNotNull().alias("moved"))
-        moved = scratch.save(moved, "round")
-        at = moved.drop("moved")
-        if moved.filter("moved").isEmpty():
-            return rows.join(at.join(offers, [row_id, "place"], "left").select(row_id, "key"), row_id)
-    raise RuntimeError(f"allocation did not settle in {rounds} rounds")
+    spark = rows.sparkSession
+    root = Scratch(spark, "keys").root
+    asking = rows.select(F.col(row_id).alias("row"), F.col(priority).alias("rank"), F.array_compact(candidates).alias("forms"), F.lit(0).alias("place"))
+    schema, turn = None, 0
+    while True:
+        asked = asking.withColumn("key", F.get("forms", "place")).filter("key is not null").withColumn("new", F.lit(True))
+        if turn:
+            held = spark.read.schema(schema).parquet(f"{root}/*").filter("won").join(asked.select("key").distinct(), "key", "left_semi")
+            held = held.groupBy("key").agg(F.min_by(F.struct("row", "rank", "forms", "place"), "rank").alias("h"))
+            asked = asked.unionByName(held.select("h.*", "key", F.lit(False).alias("new")))
+        # the best per key is pre-aggregated, so a key that many ask for is no task of its own
+        best = asked.groupBy("key").agg(F.min("rank").alias("best"))
+        met = asked.join(best, "key").withColumn("won", F.col("rank") == F.col("best")).filter("new or not won").drop("new", "best")
+        met.write.parquet(f"{root}/{turn:06d}")
+        schema = met.schema
+        lost = spark.read.schema(schema).parquet(f"{root}/{turn:06d}").filter("not won and place + 1 < size(forms)")
+        if lost.isEmpty():
+            break
+        asking, turn = lost.select("row", "rank", "forms", (F.col("place") + 1).alias("place")), turn + 1
+    holders = spark.read.schema(schema).parquet(f"{root}/*").filter("won").groupBy("key").agg(F.min_by("row", "rank").alias("__row"))
+    return rows.join(holders, F.col(row_id) == F.col("__row"), "left").drop("__row")
 
 
 def key_forms(stem: Column, kind: Column, district: Column, numbered: int = 3) -> Column:

@@ -255,3 +255,28 @@ def test_links_of_a_page(spark):
     df = spark.createDataFrame([(1, "http://h.org/d/page?x=1#y", html), (2, "http://h.org", "<a href='a'>A</a>"), (3, None, html), (4, "http://h.org", None)], "k int, u string, h string")
     got = {(r.k, r.href): (r.label, r.place) for r in extract.links(df, "k", "u", "h").collect()}
     assert got == {(1, "http://h.org/d/sub.html"): ("One", 0), (1, "http://h.org/r?q"): ("Two", 1), (1, "http://h.org/up"): ("Up", 2), (1, "http://h.org/p"): ("P", 4), (1, "http://h.org/d/page?x=1#f"): ("F", 5), (2, "http://h.org/a"): ("A", 0)}
+
+
+def test_key_rounds_write_only_what_moves(spark, tmp_path):
+    """Against the greedy order in plain Python, with chains of displacements; rows written stay few."""
+    import glob
+    import random
+
+    from tallywick.operators import keys
+    from tallywick.session import shared_dir
+
+    rng = random.Random(3)
+    rows = [(i, p, [rng.choice("abcdefghij") + str(rng.randrange(12)) if rng.random() > 0.1 else None for _ in range(rng.randint(0, 5))] if i else None) for i, p in enumerate(rng.sample(range(1000), 300))]
+    taken, want = set(), {}
+    for i, _, c in sorted(rows, key=lambda r: r[1]):
+        want[i] = next((x for x in c or [] if x is not None and x not in taken), None)
+        taken.add(want[i])
+    df = spark.createDataFrame(rows, "id int, prio int, c array<string>")
+    before = set(glob.glob(shared_dir(spark).removeprefix("file://") + "/keys-*"))
+    got = {r.id: r.key for r in keys.allocate_keys(df, "id", "prio", F.col("c")).collect()}
+    assert got == want and None in want.values()
+    root = (set(glob.glob(shared_dir(spark).removeprefix("file://") + "/keys-*")) - before).pop()
+    sizes = [spark.read.parquet(p).count() for p in sorted(glob.glob(f"{root}/0*"))]
+    assert len(sizes) > 3 and sizes[-1] < sizes[0] / 4 and sum(sizes) < 3 * len(rows)
+    empty = keys.allocate_keys(df.limit(0), "id", "prio", F.col("c"))
+    assert empty.collect() == [] and empty.columns == ["id", "prio", "c", "key"]
