@@ -62,28 +62,54 @@ def message_intake(rows: DataFrame, body: str, name: str, longest: int = 200, lo
     return rows.withColumns({"status": F.lit("draft"), "published_at": F.lit(None).cast("timestamp"), "rejected": why, body: text, name: F.when(who != "", who)})
 
 
+def gap_segments(events: DataFrame, visitor: str, ts: str, seconds: int, segment: str = "segment") -> DataFrame:
+    """events with the number of their segment: a visitor's history is cut wherever `seconds` or more lie
+    between two events in succession.
+
+    Events of one time bucket of that length are never cut, so only the buckets' first and last times
+    meet in a window; a visitor's events stay dealt as they are.
+    """
+    bucket = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(seconds * 1_000_000))
+    rows = events.withColumn("__bucket", bucket)
+    edges = rows.groupBy(visitor, "__bucket").agg(F.min(ts).alias("__first"), F.max(ts).alias("__last"))
+    w = Window.partitionBy(visitor).orderBy("__bucket")
+    micros = [F.unix_micros(x.cast("timestamp")) for x in (F.col("__first"), F.lag("__last").over(w))]
+    cut = F.coalesce(micros[0] - micros[1] >= seconds * 1_000_000, F.lit(False)).cast("long")
+    edges = edges.withColumn("__cut", cut)
+    numbered = edges.withColumn(segment, F.sum("__cut").over(w)).select(visitor, "__bucket", segment)
+    return rows.join(numbered, [visitor, "__bucket"]).select(*events.columns, segment)
+
+
 def rate_limit(events: DataFrame, visitor: str, ts: str, key: str, limit: int, seconds: int) -> DataFrame:
     """events with `accepted`: false where the visitor already has `limit` accepted ones newer than
-    ts - seconds (T-06). Acceptance feeds back, so rows are taken in order of (ts, key) per visitor;
-    a task streams its sorted rows and holds `limit` times of one visitor, however long its history.
+    ts - seconds (T-06). Rows without visitor or time are left out.
+
+    Acceptance feeds back, but not over a gap of `seconds`: each segment between such gaps is on its own,
+    so a visitor's history spreads over tasks. A task streams its sorted rows in order of (ts, key) and
+    holds `limit` times of one segment, however long it is.
     """
     schema = T.StructType([*events.schema.fields, T.StructField("accepted", T.BooleanType())])
+    names = events.columns
+    window = seconds * 1_000_000
 
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, recent = object(), deque()
+        current, recent = None, deque()
         for frame in frames:
+            times = frame[ts].to_numpy("datetime64[us]").astype("int64").tolist()
             verdicts = []
-            for who, at in zip(frame[visitor], frame[ts], strict=True):
-                if who != current:
-                    current, recent = who, deque()
-                while recent and (at - recent[0]).total_seconds() >= seconds:
+            for who, part, at in zip(frame[visitor].tolist(), frame["__segment"].tolist(), times, strict=True):
+                if (who, part) != current:
+                    current, recent = (who, part), deque()
+                while recent and at - recent[0] >= window:
                     recent.popleft()
                 verdicts.append(len(recent) < limit)
                 if verdicts[-1]:
                     recent.append(at)
-            yield frame.assign(accepted=verdicts)
+            yield frame[names].assign(accepted=verdicts)
 
-    return events.filter(F.col(visitor).isNotNull() & F.col(ts).isNotNull()).repartition(visitor).sortWithinPartitions(visitor, ts, key).mapInPandas(apply, schema)
+    known = events.filter(F.col(visitor).isNotNull() & F.col(ts).isNotNull())
+    parts = gap_segments(known, visitor, ts, seconds, "__segment")
+    return parts.repartition(visitor, "__segment").sortWithinPartitions(visitor, "__segment", ts, key).mapInPandas(apply, schema)
 
 
 def first_published(changes: DataFrame, key: str, status: str, ts: str, order: list[str]) -> DataFrame:
