@@ -84,33 +84,59 @@ def manual_aliases(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.lit("label").alias("kind"), "*").unionByName(unknown.select(F.lit("unknown").alias("kind"), "scope", "label", "target"))
 
 
-@query("SELECT event_type, count(*) AS n, max(event_id) AS newest FROM events GROUP BY 1 UNION ALL SELECT 'untouched', 5, 4")
+@query("""WITH e AS (SELECT event_type, event_id, event_id % 3 AS part, event_id < 7 AND event_id % 3 = 2 AS stale FROM events)
+ SELECT event_type, count(*) AS n, max(event_id) AS newest, count(DISTINCT part) FILTER (WHERE part < 2 OR stale) AS rewrites FROM e GROUP BY 1
+ UNION ALL SELECT 'untouched', 5, 4, 0""")
 def changed_partitions(spark: SparkSession, d: str) -> DataFrame:
-    """T-08: landed events rewrite the partitions that they have rows for; another partition stays."""
+    """T-08: three batches land in the same partitions, the third with rows that are there already but
+    for two; each merges by key, so none loses the others' rows, a partition whose content stays is not
+    rewritten, and another partition is not touched."""
     root = Scratch(spark, "changed").root
     e = table(spark, d, "events")
-    e.write.parquet(f"{root}/landed")
     old = e.filter("event_id < 5").withColumn("event_type", F.lit("untouched"))
     stale = e.filter("event_id < 7").withColumn("value", F.lit(-1.0))
-    old.unionByName(stale).write.partitionBy("event_type").parquet(f"{root}/out")
-    landed = streams.read_events(spark, f"{root}/landed", e.schema)
-    streams.write_changed_partitions(landed, f"{root}/out", f"{root}/checkpoint", "event_type").awaitTermination()
+    last = e.filter("event_id % 3 = 2 and event_id >= 7")
+    old.unionByName(stale).unionByName(last).write.partitionBy("event_type").parquet(f"{root}/out")
+    for part in range(3):
+        e.filter(F.col("event_id") % 3 == part).write.mode("append").parquet(f"{root}/landed")
+        landed = streams.read_events(spark, f"{root}/landed", e.schema)
+        streams.write_changed_partitions(landed, f"{root}/out", f"{root}/checkpoint", "event_type", ["event_id"], log=f"{root}/log").awaitTermination()
     out = spark.read.schema(e.schema).parquet(f"{root}/out")
-    return out.groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("newest"))
+    log = spark.read.schema("event_type string, digest string, batch int").parquet(f"{root}/log/*").groupBy("event_type").agg(F.count("*").alias("rewrites"))
+    return out.groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("newest")).join(log, "event_type", "left").na.fill(0, ["rewrites"])
 
 
-def _stream(spark: SparkSession, d: str, name: str, make, mode: str, ready=lambda e: e) -> DataFrame:
-    """The rows that a stream over the landed events emits, in its batches' order."""
-    root = Scratch(spark, name).root
-    e = ready(B.events(spark, d).filter("target is not null and visitor is not null"))
-    e.write.parquet(f"{root}/landed")
-    rows = make(streams.with_event_time(streams.read_events(spark, f"{root}/landed", e.schema), "ts", "1 hour"))
+#: Batches of a stream, each landed before a run of its own from the checkpoint of the run before.
+RUNS = 3
+
 
-    def save(batch: DataFrame, i: int) -> None:
-        batch.withColumn("batch", F.lit(i)).write.parquet(f"{root}/out/{i:06d}")
+def _stream(spark: SparkSession, d: str, name: str, make, mode: str) -> DataFrame:
+    """What a stream over the landed events emits, with the batch's number.
 
-    q = rows.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
+    The events land in RUNS parts by time, and the query runs to its end and starts again after each. A
+    last event of a visitor and target of its own, long after all others, moves the watermark past them;
+    it passes the filter, which Spark may take before the watermark.
+    """
+    root = Scratch(spark, name).root
+    e = B.events(spark, d).filter("ts is not null")
+    span = e.agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    micros = F.unix_micros("ts") - F.unix_micros("first")
+    width = F.unix_micros("last") - F.unix_micros("first") + 1
+    parted = e.crossJoin(F.broadcast(span)).withColumn("part", F.floor(micros * RUNS / width).cast("int"))
+    tick = span.select(F.lit(-1).cast("long").alias("event_id"), (F.col("last") + F.expr("INTERVAL 30 DAYS")).alias("ts"))
+    own = {"event_id": F.col("event_id"), "ts": F.col("ts"), "visitor": F.lit(-1), "target": F.lit(-1)}
+    tick = tick.select(*(own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in e.schema))
+    rows = None
+    for part in range(RUNS + 1):
+        landing = parted.filter(F.col("part") == part).select(e.columns) if part < RUNS else tick
+        landing.write.mode("append").parquet(f"{root}/landed")
+        rows = make(streams.with_event_time(streams.read_events(spark, f"{root}/landed", e.schema), "ts", "1 hour").filter("target is not null and visitor is not null"))
+
+        def save(batch: DataFrame, i: int) -> None:
+            batch.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{root}/out/{i:06d}")
+
+        q = rows.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
     schema = T.StructType([*rows.schema.fields, T.StructField("batch", T.IntegerType())])
     return spark.read.schema(schema).parquet(f"{root}/out/*")
 
@@ -118,11 +144,11 @@ def _stream(spark: SparkSession, d: str, name: str, make, mode: str, ready=lambd
 _EVT = B.cte("evt")
 
 
-@query(_EVT + ", s AS (SELECT target, ts, event_id, sum(CASE action WHEN 'signup' THEN 1 WHEN 'error' THEN -1 ELSE 0 END) OVER (PARTITION BY target ORDER BY ts, event_id) AS s FROM evt WHERE visitor IS NOT NULL) SELECT target, (arg_max(s, (ts, event_id)) - least(0, min(s)))::BIGINT AS n FROM s WHERE target IS NOT NULL GROUP BY 1")
+@query(_EVT + ", s AS (SELECT target, ts, event_id, sum(CASE action WHEN 'signup' THEN 1 WHEN 'error' THEN -1 ELSE 0 END) OVER (PARTITION BY target ORDER BY ts, event_id) AS s FROM evt WHERE visitor IS NOT NULL AND target IS NOT NULL AND ts IS NOT NULL) SELECT target, (arg_max(s, (ts, event_id)) - least(0, min(s)))::BIGINT AS n FROM s GROUP BY 1")
 def streamed_counter(spark: SparkSession, d: str) -> DataFrame:
-    """T-02 on a stream: the last value of each counter, deletes before inserts among its changes."""
+    """T-02 on a stream of several batches and runs: the last value of each counter."""
     delta = F.when(F.col("action") == "signup", 1).when(F.col("action") == "error", -1).otherwise(0)
-    out = _stream(spark, d, "counter", lambda s: streams.saturating_counts(s, "target", delta, ["ts", "event_id"]), "update")
+    out = _stream(spark, d, "counter", lambda s: streams.saturating_counts(s, "target", delta, "ts", "event_id"), "update")
     return out.groupBy("target").agg(F.max_by("n", "batch").alias("n"))
 
 
@@ -132,6 +158,19 @@ def streamed_counter(spark: SparkSession, d: str) -> DataFrame:
    len(list_filter(r.acc, lambda x: x > o.ts - INTERVAL 24 HOUR)) < 2 FROM r JOIN o ON o.visitor = r.visitor AND o.rn = r.rn + 1)
  SELECT event_id, accepted FROM r""")
 def streamed_rate_limit(spark: SparkSession, d: str) -> DataFrame:
-    """T-06 on a stream: the verdict on every event, by its key."""
-    out = _stream(spark, d, "limit", lambda s: streams.rate_limit(s, "visitor", "ts", "event_id", 2, 24 * 3600), "append", lambda e: e.select("event_id", "visitor", "ts", "target"))
+    """T-06 on a stream of several batches and runs: the verdict on every event, by its key."""
+    out = _stream(spark, d, "limit", lambda s: streams.rate_limit(s, "visitor", "ts", "event_id", 2, 24 * 3600), "append")
     return out.select("event_id", "accepted")
+
+
+_STATUS = "CASE action WHEN 'purchase' THEN 'published' WHEN 'view' THEN 'draft' ELSE 'hidden' END"
+
+
+@query(_EVT + f""", c AS (SELECT target, ts, event_id, {_STATUS} AS status FROM evt WHERE visitor IS NOT NULL AND target IS NOT NULL AND ts IS NOT NULL),
+ w AS (SELECT *, lag(status) OVER (PARTITION BY target ORDER BY ts, event_id) AS was FROM c)
+ SELECT target, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS published_at, 1 AS stamps FROM w WHERE status = 'published' AND was <> 'published' GROUP BY 1""")
+def streamed_publication(spark: SparkSession, d: str) -> DataFrame:
+    """T-07 on a stream of several batches and runs: each target's first change to published, stamped once."""
+    status = F.expr(_STATUS)
+    out = _stream(spark, d, "publication", lambda s: streams.first_published(s.withColumn("status", status), "target", "status", "ts", "event_id"), "append")
+    return out.groupBy("target").agg(F.date_format(F.min("published_at"), "yyyy-MM-dd HH:mm:ss").alias("published_at"), F.count("*").cast("int").alias("stamps"))

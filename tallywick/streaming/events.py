@@ -6,12 +6,14 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from tallywick.operators import community
+from tallywick.session import Scratch
 
 
 def read_events(spark: SparkSession, path: str, schema: T.StructType, **options: str) -> DataFrame:
@@ -40,60 +42,213 @@ def guard_votes(votes: DataFrame, polls: DataFrame, options: DataFrame, poll: st
     return community.guard_votes(votes, polls, options, poll, option, ts)
 
 
-def saturating_counts(events: DataFrame, key: str, delta: Column, order: list[str]) -> DataFrame:
-    """Counter per key that never falls below zero, for update mode (T-02).
+def keyed_state(spark: SparkSession) -> None:
+    """The store that keyed list state and timers need, for queries that start from now on."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    A batch's changes are taken in their order and then end at the counter's new value; changes of a
-    later batch come after them. The state of a key is one number.
-    """
-    out = T.StructType([T.StructField(key, events.schema[key].dataType), T.StructField("n", T.LongType())])
 
-    def apply(k: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
-        for d in pd.concat(list(frames)).sort_values(order)["__delta"]:
-            n = max(n + int(d), 0)
-        state.update((n,))
-        yield pd.DataFrame({key: [k[0]], "n": [n]})
+class InOrder(StatefulProcessor):
+    """Takes a key's rows in order of (time, rank) over all batches.
+
+    Rows stream frame by frame into list state; a timer wakes the key when the watermark has passed its
+    first one, and what the watermark has passed is taken in order. So memory holds the rows of one
+    watermark delay, and a batch's cut through the events does not show in the results. Rows that come
+    later than the delay are dropped, as by any event-time operator.
+    """
 
-    rows = events.withColumn("__delta", delta.cast("long"))
-    return rows.groupBy(key).applyInPandasWithState(apply, out, T.StructType([T.StructField("n", T.LongType())]), "update", "NoTimeout")
+    def __init__(self, ts: str, rank: str, value: str):
+        self.ts, self.rank, self.value = ts, rank, value
+
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        """Open the state that `step` keeps."""
+
+    def step(self, key: tuple[Any, ...], rows: list[tuple], now: int) -> Iterator[pd.DataFrame]:
+        """Results of rows (time in microseconds, rank, value) that are due, in order."""
+        raise NotImplementedError
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", "at long, rank long, value string")
+        self.start(handle)
+
+    def wake(self, micros: int, now: int) -> None:
+        self.handle.registerTimer(max(-(-micros // 1000), now + 1))
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for frame in rows:
+            at = frame[self.ts].to_numpy("datetime64[us]").astype("int64").tolist()
+            values = [None if pd.isna(v) else str(v) for v in frame[self.value]]
+            self.pending.appendList(list(zip(at, frame[self.rank].tolist(), values, strict=True)))
+            first = min(at if first is None else [first, *at])
+        if first is not None:
+            self.wake(first, timerValues.getCurrentWatermarkInMs())
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple[Any, ...], timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        due, later = [], []
+        for row in self.pending.get() if self.pending.exists() else ():
+            (due if row[0] <= now * 1000 else later).append(tuple(row))
+        if later:
+            self.pending.put(later)
+            self.wake(min(later)[0], now)
+        elif due:
+            self.pending.clear()
+        yield from self.step(key, sorted(due, key=lambda r: r[:2]), now)
+
+    def close(self) -> None:
+        pass
+
+
+class Counter(InOrder):
+    """Sums that never fall below zero."""
+
+    def __init__(self, key: str, ts: str, rank: str, value: str):
+        super().__init__(ts, rank, value)
+        self.key = key
+
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        self.count = handle.getValueState("count", "n long")
+
+    def step(self, key: tuple[Any, ...], rows: list[tuple], now: int) -> Iterator[pd.DataFrame]:
+        if rows:
+            n = self.count.get()[0] if self.count.exists() else 0
+            for _, _, delta in rows:
+                n = max(n + int(delta), 0)
+            self.count.update((n,))
+            yield pd.DataFrame({self.key: [key[0]], "n": [n]})
+
+
+class RateLimit(InOrder):
+    """Verdicts by the times that were accepted within the window."""
+
+    def __init__(self, visitor: str, ts: str, rank: str, limit: int, seconds: int):
+        super().__init__(ts, rank, ts)
+        self.visitor, self.limit, self.window = visitor, limit, seconds * 1_000_000
+
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        self.accepted = handle.getListState("accepted", "at long")
+
+    def step(self, key: tuple[Any, ...], rows: list[tuple], now: int) -> Iterator[pd.DataFrame]:
+        recent = [r[0] for r in self.accepted.get()] if self.accepted.exists() else []
+        verdicts = []
+        for at, _, _ in rows:
+            recent = [x for x in recent if at - x < self.window]
+            verdicts.append(len(recent) < self.limit)
+            if verdicts[-1]:
+                recent.append(at)
+        recent = [x for x in recent if now * 1000 - x < self.window]
+        if recent:  # state of a visitor who stays away ends with the window
+            self.accepted.put([(x,) for x in recent])
+            self.wake(max(recent) + self.window, now)
+        elif self.accepted.exists():
+            self.accepted.clear()
+        if rows:
+            times = pd.to_datetime([r[0] for r in rows], unit="us")
+            yield pd.DataFrame({self.rank: [r[1] for r in rows], self.visitor: key[0], self.ts: times, "accepted": verdicts})
+
+
+class FirstPublished(InOrder):
+    """The time of a key's first change to published, once."""
+
+    def __init__(self, key: str, ts: str, rank: str, value: str):
+        super().__init__(ts, rank, value)
+        self.key = key
+
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "status string, stamped boolean")
+
+    def step(self, key: tuple[Any, ...], rows: list[tuple], now: int) -> Iterator[pd.DataFrame]:
+        if not rows:
+            return
+        was, stamped = self.last.get() if self.last.exists() else (None, False)
+        for at, _, status in rows:
+            if status == "published" and was not in (None, "published") and not stamped:
+                stamped = True
+                yield pd.DataFrame({self.key: [key[0]], "published_at": pd.to_datetime([at], unit="us")})
+            was = status
+        self.last.update((was, stamped))
+
+
+def saturating_counts(events: DataFrame, key: str, delta: Column, ts: str, rank: str) -> DataFrame:
+    """Counter per key that never falls below zero, for update mode (T-02): its value whenever the
+    watermark has passed changes of it, which are taken in order of ts and rank. Needs a watermark on ts."""
+    keyed_state(events.sparkSession)
+    rows = events.select(key, ts, F.col(rank).cast("long").alias(rank), delta.cast("long").alias("delta"))
+    out = T.StructType([T.StructField(key, events.schema[key].dataType), T.StructField("n", T.LongType())])
+    return rows.groupBy(key).transformWithStateInPandas(Counter(key, ts, rank, "delta"), out, "Update", "EventTime")
 
 
 def rate_limit(events: DataFrame, visitor: str, ts: str, key: str, limit: int, seconds: int) -> DataFrame:
-    """Accepted and rejected events by their key, with state of at most `limit` times per visitor (T-06).
+    """Accepted and rejected events by their key (T-06), in order of ts and key over all batches; state of
+    at most `limit` times per visitor besides the rows that the watermark has not passed."""
+    keyed_state(events.sparkSession)
+    rows = events.select(visitor, ts, F.col(key).cast("long").alias(key))
+    out = T.StructType([T.StructField(key, T.LongType()), events.schema[visitor], T.StructField(ts, T.TimestampType()), T.StructField("accepted", T.BooleanType())])
+    return rows.groupBy(visitor).transformWithStateInPandas(RateLimit(visitor, ts, key, limit, seconds), out, "Append", "EventTime")
 
-    Within a batch a visitor's events are taken in order of time and key; events of a later batch that
-    are older than the state's come after it. Needs a watermark on ts, which also expires idle state.
-    """
-    out = T.StructType([events.schema[key], events.schema[visitor], T.StructField(ts, T.TimestampType()), T.StructField("accepted", T.BooleanType())])
-    state_schema = T.StructType([T.StructField("times", T.ArrayType(T.LongType()))])
 
-    def apply(k: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent = list(state.get[0]) if state.exists else []
-        rows = pd.concat([f[[key, ts]] for f in frames]).sort_values([ts, key])
-        verdicts = []
-        for t in rows[ts]:
-            now = t.value // 1000
-            recent = [x for x in recent if now - x < seconds * 1_000_000]
-            verdicts.append(len(recent) < limit)
-            if verdicts[-1]:
-                recent.append(now)
-        state.update((recent,))
-        newest = max(recent, default=0) // 1000 + seconds * 1000
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: rows[key], visitor: k[0], ts: rows[ts], "accepted": verdicts})
+def first_published(changes: DataFrame, key: str, status: str, ts: str, rank: str) -> DataFrame:
+    """key and published_at, emitted once at the first change to published after another status (T-07)."""
+    keyed_state(changes.sparkSession)
+    rows = changes.select(key, ts, F.col(rank).cast("long").alias(rank), F.col(status).cast("string").alias(status))
+    out = T.StructType([T.StructField(key, changes.schema[key].dataType), T.StructField("published_at", T.TimestampType())])
+    return rows.groupBy(key).transformWithStateInPandas(FirstPublished(key, ts, rank, status), out, "Append", "EventTime")
+
 
-    return events.groupBy(visitor).applyInPandasWithState(apply, out, state_schema, "append", "EventTimeTimeout")
+def content_digest(rows: DataFrame, partition: str) -> DataFrame:
+    """(partition, digest): a digest of a partition's rows that does not depend on their order."""
+    every = F.xxhash64(*(F.coalesce(F.to_json(F.struct(c)), F.lit("")) for c in sorted(rows.columns)))
+    hashed = rows.groupBy(partition).agg(F.count("*").alias("n"), F.sum(every.cast("decimal(38,0)")).alias("s"), F.bit_xor(every).alias("x"))
+    return hashed.select(partition, F.concat_ws(":", "n", "s", "x").alias("digest"))
 
 
-def write_changed_partitions(stream: DataFrame, path: str, checkpoint: str, partition: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Each batch rewrites the partitions it has rows for, and no other (T-08)."""
+def merge_partitions(batch: DataFrame, path: str, partition: str, keys: list[str], scratch: Scratch) -> DataFrame:
+    """Merge rows by key into a partitioned table and say which partitions changed (T-08).
 
-    def save(batch: DataFrame, _: int) -> None:
-        rows = prepare(batch) if prepare else batch
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    Rows of the batch replace those of their key in the same partition, other rows stay. A partition
+    whose content comes out the same, by its digest, is not rewritten. A batch that is taken again after
+    a failure changes nothing. Returns (partition, digest) of the partitions written.
+    """
+    spark = batch.sparkSession
+    batch = scratch.save(batch.withColumn("__new", F.lit(1)), "batch")
+    own = batch.drop("__new")
+    touched = own.select(partition).distinct()
+    rows = batch
+    before = content_digest(own.limit(0), partition)
+    if _exists(spark, path):
+        there = spark.read.schema(own.schema).parquet(path).join(touched, partition, "left_semi").select(own.columns)
+        rows = rows.unionByName(there.withColumn("__new", F.lit(0)))
+        before = content_digest(there, partition)
+    # of a key's rows that of the batch; equal rows count once, of different ones the least by its values
+    order = [F.col("__new").desc(), F.to_json(F.struct(*(c for c in own.columns)))]
+    first = F.row_number().over(Window.partitionBy(partition, *keys).orderBy(*order))
+    merged = scratch.save(rows.withColumn("__rn", first).filter("__rn = 1").select(own.columns), "merged")
+    after = content_digest(merged, partition)
+    changed = after.join(before.withColumnRenamed("digest", "was"), partition, "left").filter(~F.col("digest").eqNullSafe(F.col("was")))
+    changed = scratch.save(changed.select(partition, "digest"), "changed")
+    written = merged.join(changed.select(partition), partition, "left_semi")
+    written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    return changed
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def write_changed_partitions(
+    stream: DataFrame, path: str, checkpoint: str, partition: str, keys: list[str], prepare: Callable[[DataFrame], DataFrame] | None = None, log: str | None = None
+) -> StreamingQuery:
+    """Each batch is merged by key into the partitions it has rows for; only those whose content changes
+    are rewritten, and no other (T-08). `log`: a folder that gets (partition, digest, batch) per rewrite."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        scratch = Scratch(batch.sparkSession, "merge")
+        changed = merge_partitions(prepare(batch) if prepare else batch, path, partition, keys, scratch)
+        if log:
+            changed.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{log}/{number:06d}")
+        scratch.clear()
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
