@@ -16,7 +16,7 @@ repeats of about 35 words, and repeats of over 50 words are missed in under 4 of
 under 1 of 100 from 60 words on.
 
 Defined results: null and empty texts have no chunks; rows with equal ids count as documents of their
-own, told apart by a hash of their text, which also orders them behind the id; a passage that repeats in one document only is no span; texts of any length are chunked whole;
+own, where their texts differ told apart by the text's hash, which orders them behind the id; a passage that repeats in one document only is no span; texts of any length are chunked whole;
 rows with a null id are left out; other columns are ignored; an empty table gives no spans.
 """
 
@@ -97,8 +97,16 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 row, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in (0, 2)), *(pa.array(np.ascontiguousarray(x)) for x in rest)], names=schema.names)
 
-    rows = docs.select(id_col, text_col, text_hash(text_col).alias("text_hash"))
-    return rows.filter(F.col(id_col).isNotNull()).mapInArrow(apply, schema)
+    return docs.mapInArrow(apply, schema)
+
+
+def _told_apart(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """id, text and text_hash, which is 0 where all rows of the id have one text."""
+    rows = docs.select(id_col, text_col, text_hash(text_col).alias("text_hash")).filter(F.col(id_col).isNotNull())
+    several = rows.groupBy(id_col).agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).filter("a <> b")
+    several = scratch.save(several.select(id_col, F.lit(True).alias("b")), "several")
+    part = F.when(F.col("b"), F.col("text_hash")).otherwise(F.lit(0).cast("long"))
+    return rows.join(several, id_col, "left").select(id_col, text_col, part.alias("text_hash"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 24) -> DataFrame:
@@ -111,15 +119,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     split, n_words of a span can be below min_words.
     """
     scratch = Scratch(docs.sparkSession, "chunks")
-    chunks = _chunks(docs, id_col, text_col)
-    row = [id_col, "text_hash"]
-    shared = chunks.filter("not again").groupBy("high", "low").agg(F.count("*").alias("n_docs"), F.min(F.struct(*row)).alias("first")).filter("n_docs > 1")
+    told = _told_apart(docs, id_col, text_col, scratch)
+    chunks = _chunks(told, id_col, text_col)
+    row, chunk = [id_col, "text_hash"], ["high", "low"]
+    shared = chunks.filter("not again").groupBy(*chunk).agg(F.count("*").alias("n_docs"), F.min(id_col).alias("first_doc")).filter("n_docs > 1")
+    # the least text hash matters only among rows that share the first holder's id
+    parts = _chunks(told.filter("text_hash <> 0"), id_col, text_col).groupBy(*chunk, id_col).agg(F.min("text_hash").alias("first_part"))
+    parts = scratch.save(parts.withColumnRenamed(id_col, "first_doc"), "parts")
+    shared = shared.join(parts, [*chunk, "first_doc"], "left").na.fill(0, ["first_part"])
     shared = scratch.save(shared, "shared")
     places = scratch.save(chunks.drop("again").join(shared, ["high", "low"]).drop("high", "low"), "places")
     # a row that is there twice holds its chunks twice
     runs = places.dropDuplicates([*row, "k"])
     runs = runs.withColumn("run", F.col("k") - F.row_number().over(Window.partitionBy(*row).orderBy("k")))
-    runs = runs.withColumn("run_words", F.sum("words").over(Window.partitionBy(*row, "run"))).withColumn("earlier", F.col("first") < F.struct(*row))
+    runs = runs.withColumn("run_words", F.sum("words").over(Window.partitionBy(*row, "run"))).withColumn("earlier", (F.col("first_doc") < F.col(id_col)) | ((F.col("first_doc") == F.col(id_col)) & (F.col("first_part") < F.col("text_hash"))))
     runs = runs.withColumn("stretch", F.col("k") - F.row_number().over(Window.partitionBy(*row, "run", "earlier").orderBy("k")))
     runs = runs.withColumn("cut", F.col("earlier") & (F.sum("words").over(Window.partitionBy(*row, "run", "earlier", "stretch")) >= min_words))
     runs = runs.withColumn("stretch", F.col("k") - F.row_number().over(Window.partitionBy(*row, "run", "cut").orderBy("k")))
@@ -131,7 +144,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.sum("words").alias("n_words"),
         F.count("*").alias("n_chunks"),
         F.max_by("n_docs", size).alias("n_docs"),
-        F.max_by(F.col(f"first.{id_col}"), size).alias("first_doc"),
+        F.max_by("first_doc", size).alias("first_doc"),
         F.max_by("earlier", size).alias("repeat"),
         F.max(F.col("end") - F.col("start")).alias("longest"),
     )
@@ -146,7 +159,7 @@ def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", t
     names = docs.columns
     at = names.index(text_col)
     extra, key = "__cuts", "__hash"
-    while extra in names or key in names:
+    while {extra, key, f"{key}id"} & set(names):
         extra, key = f"{extra}_", f"{key}_"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,5 +175,6 @@ def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", t
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    cuts = cuts.select(id_col, F.col("text_hash").alias(key), F.col("cuts").alias(extra))
-    return docs.withColumn(key, text_hash(text_col)).join(cuts, [id_col, key], "left").select(*names, extra).mapInArrow(apply, docs.schema)
+    cuts = cuts.select(F.col(id_col).alias(f"{key}id"), F.col("text_hash").alias(key), F.col("cuts").alias(extra))
+    mine = (F.col(id_col) == F.col(f"{key}id")) & ((F.col(key) == 0) | (F.col(key) == text_hash(text_col)))
+    return docs.join(cuts, mine, "left").select(*names, extra).mapInArrow(apply, docs.schema)

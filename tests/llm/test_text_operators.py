@@ -276,7 +276,7 @@ def test_spans_of_repeated_ids_equal_brute_force(make):
         rows.append(rows[-1])
         docs = make(rows)
         spans = chunk_dedup.repeated_spans(docs).collect()
-        texts = {(r.doc_id, r.h): r.text for r in docs.select("doc_id", "text", chunk_dedup.text_hash("text").alias("h")).collect()}
+        texts = {(r.doc_id, h): r.text for r in docs.select("doc_id", "text", chunk_dedup.text_hash("text").alias("h")).collect() for h in (r.h, 0)}
         joined = {}
         for s in sorted(spans, key=lambda s: (s.doc_id, s.text_hash, s.start)):
             row = (s.doc_id, texts[s.doc_id, s.text_hash])
