@@ -6,15 +6,12 @@ rows paired by lead and checked by pattern.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallywick.functions.uris import resolve, uri_parts
 from tallywick.operators.ranking import first_per_group
+from tallywick.session import Scratch
 
 # Entities that plain text resolves, the ampersand last.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
@@ -156,27 +153,49 @@ def join_wrapped(df: DataFrame, partition: list[str], order: list[str], name: st
     return joined.filter(F.col(score).isNotNull() & ~F.col("__stop")).drop("__stop", "__seg")
 
 
-def anchored_rows(fragments: DataFrame, group: list[str], y: str, order: list[str], tolerance: float) -> DataFrame:
+def anchored_rows(fragments: DataFrame, group: list[str], y: str, tolerance: float) -> DataFrame:
     """Rows of fragments (O-119): in descending y, a fragment joins the row while it lies within the
-    tolerance of the row's first fragment. Adds `line`, from 0 in each group.
+    tolerance of the row's first fragment. Adds `line`, from 0 in each group; null where y is null.
 
-    The anchor is sequential, so tasks stream their sorted fragments and hold one anchor at a time.
+    Where more than the tolerance lies between two heights a new row begins, whatever came before. Those
+    gaps cut a group into segments that are on their own, and most segments are one row. Inside the
+    others each height points to the first one below its tolerance; the rows begin at what the pointers
+    reach from the top, found by doubling them.
     """
-    schema = T.StructType([*fragments.schema.fields, T.StructField("line", T.IntegerType())])
-
-    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, anchor, line = None, 0.0, -1
-        for frame in frames:
-            lines = []
-            for key, at in zip(frame[group].itertuples(index=False, name=None), frame[y], strict=True):
-                if key != current:
-                    current, anchor, line = key, at, 0
-                elif anchor - at > tolerance:
-                    anchor, line = at, line + 1
-                lines.append(line)
-            yield frame.assign(line=lines)
-
-    return fragments.repartition(*group).sortWithinPartitions(*group, F.col(y).desc(), *order).mapInPandas(apply, schema)
+    scratch = Scratch(fragments.sparkSession, "anchors")
+    heights = fragments.filter(F.col(y).isNotNull()).select(*group, F.col(y).cast("double").alias("__y")).distinct()
+    heights = heights.withColumn("__bucket", F.floor(-F.col("__y") / F.lit(tolerance)))
+    # heights of one bucket are never cut, so only the buckets' edges meet in a window
+    edges = heights.groupBy(*group, "__bucket").agg(F.max("__y").alias("__top"), F.min("__y").alias("__low"))
+    down = Window.partitionBy(*group).orderBy("__bucket")
+    edges = edges.withColumn("__cut", F.coalesce(F.lag("__low").over(down) - F.col("__top") > tolerance, F.lit(True)).cast("int"))
+    edges = edges.withColumn("__seg", F.sum("__cut").over(down))
+    heights = scratch.save(heights.join(edges.select(*group, "__bucket", "__seg"), [*group, "__bucket"]).select(*group, "__seg", "__y"), "heights")
+    segment = [*group, "__seg"]
+    # each height and the place where its tolerance ends, in one order: the next height after that place
+    ends = heights.withColumn("__at", F.col("__y")).withColumn("__end", F.lit(0)).unionByName(heights.withColumns({"__at": F.col("__y") - F.lit(tolerance), "__end": F.lit(1)}))
+    below = Window.partitionBy(*segment).orderBy(F.col("__at").desc(), "__end").rowsBetween(1, Window.unboundedFollowing)
+    to = F.first(F.when(F.col("__end") == 0, F.col("__y")), True).over(below)
+    points = ends.withColumn("to", to).filter("__end = 1").select(*segment, F.col("__y").alias("from"), "to").filter("to is not null")
+    points = scratch.save(points, "points")
+    tops = heights.groupBy(*segment).agg(F.max("__y").alias("from"))
+    reached = scratch.save(tops, "reached")
+    while not points.isEmpty():
+        step = reached.join(points, [*segment, "from"]).select(*segment, F.col("to").alias("from"))
+        reached = scratch.save(reached.unionByName(step).distinct(), "reached")
+        further = points.select(*segment, F.col("from").alias("to"), F.col("to").alias("more"))
+        points = scratch.save(points.join(further, [*segment, "to"]).select(*segment, "from", F.col("more").alias("to")), "points")
+    # lines count within a segment and go on from those of the segments above
+    counted = reached.groupBy(*segment).agg(F.count("*").alias("n"))
+    above = counted.withColumn("__before", F.sum("n").over(Window.partitionBy(*group).orderBy("__seg")) - F.col("n"))
+    marked = heights.join(reached.select(*segment, F.col("from").alias("__y"), F.lit(1).alias("__first")), [*segment, "__y"], "left")
+    inside = F.count("__first").over(Window.partitionBy(*segment).orderBy(F.col("__y").desc()))
+    lines = marked.withColumn("__in", inside).join(above, segment)
+    lines = lines.select(*(F.col(c).alias(f"__{c}") for c in group), "__y", (F.col("__before") + F.col("__in") - 1).cast("int").alias("line"))
+    same = F.col(y).cast("double") == F.col("__y")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return fragments.join(lines, same, "left").select(*fragments.columns, "line")
 
 
 def reject_placeholders(df: DataFrame, column: str, patterns: list[str]) -> DataFrame:

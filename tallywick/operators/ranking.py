@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tallywick.session import Scratch
 
 
+#: Value ranges in which prefix sums are taken.
+VALUE_RANGES = 64
+
+
 def tied_rank(df: DataFrame, value: str, name: str = "rank", wide: bool = False, cuts: int = 64) -> DataFrame:
     """Competition rank (1, 2, 2, 4) by value, descending (O-69).
 
@@ -112,12 +116,24 @@ def quantile_bands(df: DataFrame, value: str, steps: int) -> DataFrame:
     With at most `steps` distinct positive values each is a band; otherwise bands begin at the
     distinct values found at sorted place floor(n * i / steps), i = 0, 1, ...
     """
-    counts = df.filter(F.col(value) > 0).groupBy(F.col(value).alias("low")).agg(F.count("*").alias("rows"))
-    upto = F.sum("rows").over(Window.orderBy("low"))
-    ranked = counts.select("low", (upto - F.col("rows")).alias("first"), upto.alias("end"))
-    size = counts.agg(F.sum("rows").alias("all"), F.count("*").alias("kinds"))
-    wanted = size.select("all", "kinds", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("i")).select("kinds", F.floor(F.col("all") * F.col("i") / F.lit(steps)).alias("at"))
-    cut = ranked.join(F.broadcast(wanted), (F.col("at") >= F.col("first")) & (F.col("at") < F.col("end")) | (F.col("kinds") <= steps)).select("low").distinct()
+    scratch = Scratch(df.sparkSession, "bands")
+    counts = scratch.save(df.filter(F.col(value) > 0).groupBy(F.col(value).alias("low")).agg(F.count("*").alias("rows")), "counts")
+    if counts.limit(steps + 1).count() <= steps:
+        cut = counts.select("low")
+    else:
+        # prefix sums by value range: only the ranges that hold a wanted place are sorted, each on its own
+        edges = sorted(set(counts.approxQuantile("low", [i / VALUE_RANGES for i in range(1, VALUE_RANGES)], 0.25 / VALUE_RANGES)))
+        above = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("low")))
+        banded = counts.withColumn("range", above)
+        totals = banded.groupBy("range").agg(F.sum("rows").alias("held"))
+        upto = F.sum("held").over(Window.orderBy("range"))
+        totals = totals.select("range", (upto - F.col("held")).alias("from"), upto.alias("to"), F.sum("held").over(Window.partitionBy()).alias("all"))
+        places = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.floor(F.col("all") * i / F.lit(steps)))
+        here = F.filter(places, lambda at: (at >= F.col("from")) & (at < F.col("to")))
+        wanted = totals.withColumn("here", here).filter(F.size("here") > 0).select("range", "from", "here")
+        end = F.col("from") + F.sum("rows").over(Window.partitionBy("range").orderBy("low"))
+        found = banded.join(wanted, "range").withColumn("end", end)
+        cut = found.filter(F.exists("here", lambda at: (at >= F.col("end") - F.col("rows")) & (at < F.col("end")))).select("low")
     # at most `steps` cuts: one small array beside every row
     cuts = cut.agg(F.sort_array(F.collect_list("low")).alias("cuts"))
     band = F.when(F.col(value) > 0, F.size(F.filter("cuts", lambda c: c <= F.col(value)))).otherwise(0)

@@ -162,7 +162,7 @@ def carry_forward(spark: SparkSession, d: str) -> DataFrame:
  SELECT event_id, line FROM r""")
 def fragment_rows(spark: SparkSession, d: str) -> DataFrame:
     e = B.events(spark, d).filter("value is not null").select("event_id", "target", "value")
-    return X.anchored_rows(e, ["target"], "value", ["event_id"], 3.0).select("event_id", "line")
+    return X.anchored_rows(e, ["target"], "value", 3.0).select("event_id", "line")
 
 
 @query("SELECT slot, arg_min(doc_id, p) AS doc_id FROM (SELECT doc_id % 120 AS slot, doc_id, CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 2 END * 1000000 + doc_id AS p FROM documents WHERE n_chars > 1000) GROUP BY 1 UNION ALL SELECT s, NULL FROM (SELECT DISTINCT doc_id % 120 AS s FROM documents) WHERE s NOT IN (SELECT doc_id % 120 FROM documents WHERE n_chars > 1000)")

@@ -38,15 +38,24 @@ def dictionary_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return files.read_dictionary(spark, path)[1]
 
 
-@query("SELECT page_id, strlen(html)::BIGINT + 1 AS bytes, md5(html || chr(10)) AS text_md5 FROM pages")
+@query("""SELECT page_id, strlen(html)::BIGINT AS bytes, md5(html) AS text_md5, 200 + (page_id % 3)::INT AS status, sha256(html) AS digest, true AS intact, true AS packed FROM pages""")
 def raw_landing(spark: SparkSession, d: str) -> DataFrame:
-    """O-06: bodies landed as files of their own, read as bytes and decoded."""
+    """O-06: bodies landed in containers, every third a second time, read back by their newest and decoded;
+    no more files than tasks wrote them."""
     path = f"{Scratch(spark, 'landing').root}/bodies"
-    table(spark, d, "pages").select("page_id", "html").write.partitionBy("page_id").text(path)
-    landed = files.read_pages(spark, path).withColumn("header", F.lit(None).cast("string"))
-    page = F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long")
-    decoded = files.decode_pages(landed.select(page.alias("page_id"), "content", "header"), "content", "header")
-    return decoded.select("page_id", F.octet_length("content").cast("long").alias("bytes"), F.md5("text").alias("text_md5"))
+    k = F.col("page_id")
+    pages = table(spark, d, "pages").select("page_id", "html", text("p", k).alias("url"), (200 + k % 3).cast("int").alias("status"))
+    at = F.timestamp_seconds(F.lit(86400))
+    old = pages.filter(k % 3 == 0).withColumns({"content": F.encode(text("old ", k), "UTF-8"), "fetched_at": at})
+    new = pages.withColumns({"content": F.encode("html", "UTF-8"), "fetched_at": at + F.expr("INTERVAL 1 DAY")})
+    tasks = 0
+    for part in (old, new):
+        files.land_pages(part, path)
+        tasks += part.rdd.getNumPartitions()
+    packed = len(spark.read.parquet(path).inputFiles()) <= tasks
+    decoded = files.decode_pages(files.read_landed(spark, path).withColumn("header", F.lit(None).cast("string")), "content", "header")
+    page = F.substring("url", 2, 20).cast("long")
+    return decoded.select(page.alias("page_id"), "bytes", F.md5("text").alias("text_md5"), "status", "digest", "intact", F.lit(packed).alias("packed"))
 
 
 @query("SELECT DISTINCT c_nationkey AS district, true AS same FROM customer")

@@ -39,8 +39,39 @@ def read_dictionary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return rows, rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
 
 
+#: Columns of a container of landed bodies.
+LANDED = "url string, status int, content_type string, fetched_at timestamp, bytes long, digest string, content binary"
+
+
+def land_pages(pages: DataFrame, path: str, mode: str = "append") -> None:
+    """Fetched bodies packed into container files, as many as there are tasks (O-06): url, status,
+    content_type, fetched_at and content, with the length and digest of each body.
+
+    A container is Parquet with one row per body, so a reader takes the columns it needs, splits large
+    files, and skips bodies by their url or status without opening them.
+    """
+    content = F.col("content").cast("binary")
+    given = [F.col(c) if c in pages.columns else F.lit(None).cast(t).alias(c) for c, t in (("status", "int"), ("content_type", "string"), ("fetched_at", "timestamp"))]
+    rows = pages.select("url", *given, F.octet_length(content).cast("long").alias("bytes"), F.sha2(content, 256).alias("digest"), content.alias("content"))
+    rows.write.mode(mode).parquet(path)
+
+
+def read_landed(spark: SparkSession, path: str) -> DataFrame:
+    """Landed bodies, the newest of each url, with `intact`: whether length and digest still hold (O-06).
+
+    Equal times take the greater digest; rows without a time come behind those with one.
+    """
+    rows = spark.read.schema(LANDED).parquet(path)
+    newest = F.struct(F.coalesce(F.col("fetched_at"), F.lit(0).cast("timestamp")).alias("t"), F.col("digest").alias("d"))
+    keys = rows.groupBy("url").agg(F.max(newest).alias("newest")).select(F.col("url").alias("__url"), "newest.*")
+    own = F.col("url").eqNullSafe(F.col("__url")) & (F.coalesce(F.col("fetched_at"), F.lit(0).cast("timestamp")) == F.col("t")) & F.col("digest").eqNullSafe(F.col("d"))
+    found = rows.join(keys, own).dropDuplicates(["url"]).select(rows.columns)
+    intact = (F.octet_length("content") == F.col("bytes")) & (F.sha2("content", 256) == F.col("digest"))
+    return found.withColumn("intact", F.coalesce(intact, F.lit(False)))
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Landed bodies with their paths (O-06)."""
+    """Bodies that stand in files of their own, with their paths (O-06)."""
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 

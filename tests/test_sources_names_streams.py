@@ -1,11 +1,12 @@
 """Files, name steps and streams on fixtures."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
 from tallywick.functions import names
-from tallywick.operators import community, resolve
+from tallywick.operators import community, extract, ranking, resolve
 from tallywick.sources import files
 from tallywick.streaming import events as streams
 
@@ -108,35 +109,130 @@ def landed(spark, tmp_path):
 def test_streams_match_their_batch_twins(spark, tmp_path):
     e = landed(spark, tmp_path)
     s = streams.with_event_time(streams.read_events(spark, str(tmp_path / "events"), e.schema), "ts", "1 hour")
-    limited = run(streams.rate_limit(s, "user_id", "ts", "event_id", 2, 86400), spark, "limited", tmp_path)
-    batch = community.rate_limit(e, "user_id", "ts", "event_id", 2, 86400)
-    assert {r.event_id: r.accepted for r in limited.collect()} == {r.event_id: r.accepted for r in batch.collect()}
     presses = run(streams.unique_presses(s, ["user_id", "event_type"]), spark, "presses", tmp_path)
     assert presses.count() == e.select("user_id", "event_type").distinct().count()
-    counts = run(streams.saturating_counts(s, "user_id", F.lit(1), ["ts", "event_id"]), spark, "counts", tmp_path, "update")
-    assert {r.user_id: r.n for r in counts.collect()} == {r.user_id: r["count"] for r in e.groupBy("user_id").count().collect()}
     ok = e.select("user_id").distinct().filter("user_id % 2 = 0")
     assert run(streams.guard_target(s, ok, "user_id"), spark, "guarded", tmp_path).count() == e.filter("user_id % 2 = 0").count()
 
 
-def test_stream_counter_saturates_across_batches(spark, tmp_path):
-    """Deletes first, then inserts, in batches of one file each."""
-    t = dt.datetime(2024, 1, 1)
-    for i, changes in enumerate(([-1, -1, 1], [1, -1, -1, -1], [1, 1])):
-        rows = [("a", t + dt.timedelta(minutes=10 * i + j), j, c) for j, c in enumerate(changes)]
-        spark.createDataFrame(rows, "k string, ts timestamp, id int, d int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        s = streams.read_events(spark, str(tmp_path / "in"), "k string, ts timestamp, id int, d int")
-        values = []
-        q = streams.saturating_counts(s, "k", F.col("d"), ["ts", "id"]).writeStream.outputMode("update").foreachBatch(lambda b, _: values.extend(r.n for r in b.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-        q.awaitTermination(120)
-        assert values == [(1, 0, 2)[i]]
+T0 = dt.datetime(2024, 1, 1)
 
 
-def test_only_changed_partitions_are_rewritten(spark, tmp_path):
-    e = landed(spark, tmp_path)
-    path = str(tmp_path / "out")
-    e.withColumn("k", F.lit("old")).limit(3).write.partitionBy("k").parquet(path)
-    s = streams.read_events(spark, str(tmp_path / "events"), e.schema).withColumn("k", F.lit("new"))
-    streams.write_changed_partitions(s, path, str(tmp_path / "cp"), "k").awaitTermination(120)
-    got = {r.k: r["count"] for r in spark.read.parquet(path).groupBy("k").count().collect()}
-    assert got == {"old": 3, "new": e.count()}
+def runs(spark, tmp_path, make, batches, mode):
+    """Rows that a stream emits over batches of (key, minute, id, value), one run each from the same checkpoint."""
+    schema, got = "k string, ts timestamp, id int, v string", []
+    for rows in batches:
+        rows = [(k, T0 + dt.timedelta(minutes=m), i, v) for k, m, i, v in rows]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        s = make(streams.with_event_time(streams.read_events(spark, str(tmp_path / "in"), schema), "ts", "10 minutes"))
+        q = s.writeStream.outputMode(mode).foreachBatch(lambda b, _: got.extend(map(tuple, b.collect()))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    return got
+
+
+def test_stream_counter_takes_batches_in_order_of_time(spark, tmp_path):
+    """Changes that arrive out of order, in another batch than their neighbours, and too late."""
+    batches = [
+        [("a", 3, 3, "-1"), ("a", 1, 1, "-1"), ("a", 2, 2, "1"), ("b", 0, 0, "1")],
+        [("a", 40, 7, "-1"), ("a", 30, 5, "1"), ("a", 38, 6, "1"), ("a", 30, 4, "-1")],
+        [("a", 35, 8, "1"), ("a", 1, 9, "1"), ("tick", 999, 10, "1")],
+    ]
+    got = runs(spark, tmp_path, lambda s: streams.saturating_counts(s, "k", F.col("v").cast("int"), "ts", "id"), batches, "update")
+    # minute 35 comes within the delay and counts before 38; minute 1 of the last batch is too late
+    assert [n for k, n in got if k == "a"][-1] == 2 and [n for k, n in got if k == "b"] == [1]
+
+
+def test_stream_publication_is_stamped_once(spark, tmp_path):
+    batches = [
+        [("a", 1, 1, "draft"), ("b", 1, 1, "published"), ("c", 2, 1, None)],
+        [("a", 21, 3, "published"), ("b", 22, 2, "draft"), ("c", 23, 2, "published")],
+        [("a", 41, 4, "draft"), ("b", 42, 3, "published"), ("a", 43, 5, "published"), ("b", 44, 4, "published")],
+        [("tick", 999, 9, "draft")],
+    ]
+    got = runs(spark, tmp_path, lambda s: streams.first_published(s, "k", "v", "ts", "id"), batches, "append")
+    assert sorted(got) == [("a", T0 + dt.timedelta(minutes=21)), ("b", T0 + dt.timedelta(minutes=42))]
+
+
+def test_stream_rate_limit_equals_batch(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), m + rng.randint(0, 5), m, "x") for m in range(120)]
+    batches = [rows[i : i + 40] for i in range(0, 120, 40)] + [[("tick", 9999, 999, "x")]]
+    got = runs(spark, tmp_path, lambda s: streams.rate_limit(s, "k", "ts", "id", 2, 600), batches, "append")
+    frame = spark.createDataFrame([(k, T0 + dt.timedelta(minutes=m), i) for k, m, i, _ in rows], "k string, ts timestamp, id int")
+    want = {r.id: r.accepted for r in community.rate_limit(frame, "k", "ts", "id", 2, 600).collect()}
+    assert {r[0]: r[3] for r in got} == want and len(got) == 120
+
+
+def test_rate_limit_spreads_one_visitor(spark):
+    """Segments between gaps are dealt on their own, and the verdicts are those of one pass."""
+    rng = random.Random(4)
+    minute, rows = 0, []
+    for i in range(400):
+        minute += rng.choice([0, 1, 2, 3, 10, 11, 60])
+        rows.append(("v", T0 + dt.timedelta(minutes=minute), i))
+    df = spark.createDataFrame(rows, "k string, ts timestamp, id int")
+    parts = community.gap_segments(df, "k", "ts", 600).groupBy("segment").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).orderBy("a").collect()
+    assert len(parts) > 50 and all((y.a - x.b).total_seconds() >= 600 for x, y in zip(parts, parts[1:], strict=False))
+    accepted, want = [], {}
+    for _, t, i in rows:
+        accepted = [x for x in accepted if (t - x).total_seconds() < 600]
+        want[i] = len(accepted) < 2
+        accepted += [t] if want[i] else []
+    limited = community.rate_limit(df, "k", "ts", "id", 2, 600)
+    assert {r.id: r.accepted for r in limited.collect()} == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert limited.groupBy(F.spark_partition_id().alias("p")).count().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_batches_merge_into_partitions(spark, tmp_path):
+    """Two batches into one partition keep both; a batch taken again or without news rewrites nothing."""
+    path, log, schema = str(tmp_path / "out"), str(tmp_path / "log"), "id int, v string, k string"
+    spark.createDataFrame([(1, "old", "x"), (2, "stays", "y")], schema).write.partitionBy("k").parquet(path)
+    batches = [[(1, "new", "x"), (3, "a", "z")], [(4, "b", "x"), (3, "a", "z"), (5, None, "z"), (5, None, "z")], [(1, "new", "x"), (4, "b", "x")]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        s = streams.read_events(spark, str(tmp_path / "in"), schema)
+        streams.write_changed_partitions(s, path, str(tmp_path / "cp"), "k", ["id"], log=log).awaitTermination(120)
+    got = sorted(map(tuple, spark.read.schema(schema).parquet(path).collect()))
+    assert got == [(1, "new", "x"), (2, "stays", "y"), (3, "a", "z"), (4, "b", "x"), (5, None, "z")]
+    written = spark.read.schema("k string, digest string, batch int").parquet(f"{log}/*").groupBy("k").count().collect()
+    assert {r.k: r["count"] for r in written} == {"x": 2, "z": 2}
+
+
+def test_landed_pages(spark, tmp_path):
+    path = str(tmp_path / "bodies")
+    rows = [("u1", b"a"), ("u2", b""), (None, b"n"), ("u3", None)]
+    files.land_pages(spark.createDataFrame(rows, "url string, content binary").repartition(2), path)
+    files.land_pages(spark.createDataFrame([("u1", b"newer", 404, T0)], "url string, content binary, status int, fetched_at timestamp"), path)
+    got = {r.url: (bytes(r.content) if r.content is not None else None, r.status, r.intact) for r in files.read_landed(spark, path).collect()}
+    assert got == {"u1": (b"newer", 404, True), "u2": (b"", None, True), None: (b"n", None, True), "u3": (None, None, False)}
+    broken = spark.read.parquet(path).withColumn("content", F.lit(b"x"))
+    broken.write.parquet(str(tmp_path / "broken"))
+    assert not any(r.intact for r in files.read_landed(spark, str(tmp_path / "broken")).collect())
+
+
+def test_fragments_of_one_page_in_many_segments(spark):
+    rng = random.Random(5)
+    ys = [round(rng.uniform(0, 60), 1) for _ in range(80)] + [round(100.0 + 20 * i + rng.choice([0, 0.5, 3.0, 3.1, 6.2]), 1) for i in range(150)]
+    rows = [("p", y, i) for i, y in enumerate(ys)] + [("p", None, 900), (None, 1.0, 901), (None, 5.0, 902), ("q", 7.0, 903)]
+    want, anchor, line = {900: None, 901: 1, 902: 0, 903: 0}, None, -1
+    for y, i in sorted(((y, i) for i, y in enumerate(ys)), key=lambda x: -x[0]):
+        if anchor is None or anchor - y > 3.0:
+            anchor, line = y, line + 1
+        want[i] = line
+    df = spark.createDataFrame(rows, "page string, y double, id int")
+    assert {r.id: r.line for r in extract.anchored_rows(df, ["page"], "y", 3.0).collect()} == want
+
+
+def test_quantile_bands_equal_the_sorted_places(spark):
+    rng = random.Random(6)
+    for values in ([rng.choice([-1, 0, 5, 5, 9]) for _ in range(50)], [rng.randint(-20, 3000) for _ in range(2000)], [7] * 500 + list(range(1, 40)), []):
+        positive = sorted(v for v in values if v > 0)
+        kinds = sorted(set(positive))
+        cuts = kinds if len(kinds) <= 5 else sorted({positive[len(positive) * i // 5] for i in range(5)})
+        df = spark.createDataFrame(list(enumerate(values)), "id int, n int")
+        got = {r.id: r.band for r in ranking.quantile_bands(df, "n", 5).collect()}
+        assert got == {i: sum(c <= v for c in cuts) if v > 0 else 0 for i, v in enumerate(values)}
