@@ -163,15 +163,16 @@ def anchored_rows(fragments: DataFrame, group: list[str], y: str, tolerance: flo
     reach from the top, found by doubling them.
     """
     scratch = Scratch(fragments.sparkSession, "anchors")
-    heights = fragments.filter(F.col(y).isNotNull()).select(*group, F.col(y).cast("double").alias("__y")).distinct()
+    keyed = fragments.withColumn("__g", F.to_json(F.struct(*group)))  # never null
+    heights = keyed.filter(F.col(y).isNotNull()).select("__g", F.col(y).cast("double").alias("__y")).distinct()
     heights = heights.withColumn("__bucket", F.floor(-F.col("__y") / F.lit(tolerance)))
     # heights of one bucket are never cut, so only the buckets' edges meet in a window
-    edges = heights.groupBy(*group, "__bucket").agg(F.max("__y").alias("__top"), F.min("__y").alias("__low"))
-    down = Window.partitionBy(*group).orderBy("__bucket")
+    edges = heights.groupBy("__g", "__bucket").agg(F.max("__y").alias("__top"), F.min("__y").alias("__low"))
+    down = Window.partitionBy("__g").orderBy("__bucket")
     edges = edges.withColumn("__cut", F.coalesce(F.lag("__low").over(down) - F.col("__top") > tolerance, F.lit(True)).cast("int"))
     edges = edges.withColumn("__seg", F.sum("__cut").over(down))
-    heights = scratch.save(heights.join(edges.select(*group, "__bucket", "__seg"), [*group, "__bucket"]).select(*group, "__seg", "__y"), "heights")
-    segment = [*group, "__seg"]
+    heights = scratch.save(heights.join(edges.select("__g", "__bucket", "__seg"), ["__g", "__bucket"]).select("__g", "__seg", "__y"), "heights")
+    segment = ["__g", "__seg"]
     # each height and the place where its tolerance ends, in one order: the next height after that place
     ends = heights.withColumn("__at", F.col("__y")).withColumn("__end", F.lit(0)).unionByName(heights.withColumns({"__at": F.col("__y") - F.lit(tolerance), "__end": F.lit(1)}))
     below = Window.partitionBy(*segment).orderBy(F.col("__at").desc(), "__end").rowsBetween(1, Window.unboundedFollowing)
@@ -187,15 +188,12 @@ def anchored_rows(fragments: DataFrame, group: list[str], y: str, tolerance: flo
         points = scratch.save(points.join(further, [*segment, "to"]).select(*segment, "from", F.col("more").alias("to")), "points")
     # lines count within a segment and go on from those of the segments above
     counted = reached.groupBy(*segment).agg(F.count("*").alias("n"))
-    above = counted.withColumn("__before", F.sum("n").over(Window.partitionBy(*group).orderBy("__seg")) - F.col("n"))
+    above = counted.withColumn("__before", F.sum("n").over(Window.partitionBy("__g").orderBy("__seg")) - F.col("n"))
     marked = heights.join(reached.select(*segment, F.col("from").alias("__y"), F.lit(1).alias("__first")), [*segment, "__y"], "left")
     inside = F.count("__first").over(Window.partitionBy(*segment).orderBy(F.col("__y").desc()))
     lines = marked.withColumn("__in", inside).join(above, segment)
-    lines = lines.select(*(F.col(c).alias(f"__{c}") for c in group), "__y", (F.col("__before") + F.col("__in") - 1).cast("int").alias("line"))
-    same = F.col(y).cast("double") == F.col("__y")
-    for c in group:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    return fragments.join(lines, same, "left").select(*fragments.columns, "line")
+    lines = lines.select("__g", "__y", (F.col("__before") + F.col("__in") - 1).cast("int").alias("line"))
+    return keyed.withColumn("__y", F.col(y).cast("double")).join(lines, ["__g", "__y"], "left").select(*fragments.columns, "line")
 
 
 def reject_placeholders(df: DataFrame, column: str, patterns: list[str]) -> DataFrame:
