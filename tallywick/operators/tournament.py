@@ -1,7 +1,7 @@
 """Tournament inference from game results: records, champions, depth to the final, stages, brackets.
 
-Games are rows (tournament, ord, winner, loser, round label or null). Iterative steps double pointers
-with joins; each round is a table in the shared folder, so lineage stays short and survives losses.
+Games are rows (tournament, ord, winner, loser, round label or null). Pointers are followed by
+contraction; each round is a table in the shared folder, so lineage stays short and survives losses.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywick.operators.pointers import REMAINDER, ends_of
 from tallywick.session import Scratch
 
 
@@ -33,12 +34,12 @@ def champions(games: DataFrame, label: str = "label", final: str = "final") -> D
     return every.join(named, "tournament", "left").join(unbeaten, "tournament", "left").select("tournament", F.coalesce("named", F.when(F.col("n") == 1, F.col("only"))).alias("champion"))
 
 
-def depth_to_final(games: DataFrame, terminals: dict[str, int], label: str = "label", rounds: int = 40) -> DataFrame:
+def depth_to_final(games: DataFrame, terminals: dict[str, int], label: str = "label", most: int = REMAINDER) -> DataFrame:
     """games with k, the number of rounds before the final (O-92).
 
     A labelled round has its own k. Otherwise k is one more than that of the winner's next game by
     ord; without a next game it is 0 for the champion and unknown for others. ord ascends along the
-    pointers, so they have no cycles; they double until all have reached their end.
+    pointers, so they have no cycles; games are spliced out until at most `most` remain (see pointers).
     """
     scratch = Scratch(games.sparkSession, "depth")
     # the games are read by every step below: computed once
@@ -50,19 +51,10 @@ def depth_to_final(games: DataFrame, terminals: dict[str, int], label: str = "la
         own = F.when(F.col(label) == name, k).otherwise(own)
     start = games.join(following.select("tournament", "ord", F.col("team").alias("winner"), "next"), ["tournament", "ord", "winner"]).join(champions(games, label), "tournament", "left")
     fixed = F.coalesce(own, F.when(F.col("next").isNull() & (F.col("winner") == F.col("champion")), 0))
-    # a pointer ends at itself: base is the k there, steps the games walked so far
-    ends = fixed.isNotNull() | F.col("next").isNull()
-    at = scratch.save(start.select("tournament", "ord", F.when(ends, F.col("ord")).otherwise(F.col("next")).alias("to"), F.when(ends, 0).otherwise(1).alias("steps"), fixed.alias("base"), ends.alias("done")), "start")
-    end_base = at.filter("done").select("tournament", F.col("ord").alias("to"), F.col("base").alias("end_base"))
-    for _ in range(rounds):
-        hop = at.select("tournament", F.col("ord").alias("to"), F.col("to").alias("further"), F.col("steps").alias("more"))
-        new = at.join(hop, ["tournament", "to"]).select("tournament", "ord", F.col("further").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("more") > 0).alias("moved"))
-        new = scratch.save(new, "jump")
-        at = new.drop("moved")
-        if new.filter("moved").isEmpty():
-            walked = at.join(end_base, ["tournament", "to"], "left").select("tournament", "ord", (F.col("steps") + F.col("end_base")).alias("k"))
-            return games.join(walked, ["tournament", "ord"])
-    raise RuntimeError(f"pointers did not settle in {rounds} rounds")
+    at = scratch.save(start.select(F.col("tournament").alias("tree"), F.col("ord").alias("node"), F.when(fixed.isNull(), F.col("next")).alias("to"), fixed.alias("base")), "start")
+    base = at.filter("to is null").select("tree", F.col("node").alias("end"), "base")
+    walked = ends_of(at, scratch, most).join(base, ["tree", "end"])
+    return games.join(walked.select(F.col("tree").alias("tournament"), F.col("node").alias("ord"), (F.col("steps") + F.col("base")).cast("int").alias("k")), ["tournament", "ord"])
 
 
 def stage_labels(entries: DataFrame, games_k: DataFrame, champs: DataFrame, names: list[str]) -> DataFrame:
@@ -154,7 +146,7 @@ def public_games(games: DataFrame, public: DataFrame) -> DataFrame:
     return games.join(sides.select("tournament", "ord").distinct(), ["tournament", "ord"], "left_semi")
 
 
-def bracket_tree(items: DataFrame, rounds: int = 40) -> DataFrame:
+def bracket_tree(items: DataFrame, most: int = REMAINDER) -> DataFrame:
     """Parents and depths of an infix bracket (O-104).
 
     items: tree, pos, col (games: their column; teams: null). The parent of an item is the lower of
@@ -172,14 +164,9 @@ def bracket_tree(items: DataFrame, rounds: int = 40) -> DataFrame:
     near = near.filter(F.col("level") == F.coalesce("c", F.lit(-1)))
     parent = F.when(F.col("r").isNotNull() & (F.col("l").isNull() | (F.col("r.c") <= F.col("l.c"))), F.col("r.p")).otherwise(F.col("l.p"))
     out = items.join(near.select("tree", "pos", parent.alias("parent")), ["tree", "pos"], "left")
-    at = scratch.save(out.select("tree", "pos", F.coalesce("parent", "pos").alias("to"), F.col("parent").isNotNull().cast("int").alias("depth")), "start")
-    for _ in range(rounds):
-        hop = at.select("tree", F.col("pos").alias("to"), F.col("to").alias("further"), F.col("depth").alias("more"))
-        new = scratch.save(at.join(hop, ["tree", "to"]).select("tree", "pos", F.col("further").alias("to"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")), "jump")
-        at = new.drop("moved")
-        if new.filter("moved").isEmpty():
-            return out.join(at.select("tree", "pos", "depth"), ["tree", "pos"])
-    raise RuntimeError(f"depths did not settle in {rounds} rounds")
+    out = scratch.save(out, "parents")
+    ends = ends_of(out.select("tree", F.col("pos").alias("node"), F.col("parent").alias("to")), scratch, most)
+    return out.join(ends.select("tree", F.col("node").alias("pos"), F.col("steps").cast("int").alias("depth")), ["tree", "pos"])
 
 
 def next_opponent(slots: DataFrame, games: DataFrame, alive: DataFrame) -> DataFrame:
