@@ -1,7 +1,7 @@
 """Licence scan: segments of a text against licence templates by Dice over word bigrams.
 
-Segments are the lines, the sentences (also those that run over lines), the paragraphs (between blank
-lines) and the whole text. Both sides are
+Segments are the lines, the sentences (also those that run over lines), the paragraphs (between lines
+that are blank or bare comment marks) and the whole text. Both sides are
 normalised to lower-cased words of letters and digits. Dice = 2 |A and B| / (|A| + |B|) over sets of
 word bigrams; at a threshold t a template of n bigrams can only match segments of between
 n t / (2 - t) and n (2 - t) / t bigrams, and a match must hold one of the template's anchor words, a
@@ -54,6 +54,7 @@ TEMPLATES = {
     "isc-whole": f"{_ISC} {_ISC_WARRANTY}",
     "mit": f"{_MIT} {_MIT_NOTICE} {_MIT_WARRANTY}",
     "mit-disclaimer": _MIT_WARRANTY,
+    "mit-licensed-line": "Licensed under the MIT License.",
     "mit-line": "Released under the MIT License.",
     "mit-notice": _MIT_NOTICE,
     "mit-permission": _MIT,
@@ -65,6 +66,9 @@ TEMPLATES = {
 #: Words that ordinary texts hold; anchors are taken from the others as far as those reach.
 COMMON = frozenset("a an and any be by can free following for from in is may not of on or provided source subject that the this to under use with work you".split())
 
+#: What parts paragraphs: a line without text, be it empty or a bare comment mark.
+PARTED = r"\n[ \t\r]*(?:#+|\*+/?|/\*+|//+|;+|%+|--+|<!--+|--+>|\(\*|\*\)|rem|REM)?[ \t\r]*\n"
+
 WORDS = r"[^\p{L}\p{N}]+"
 
 
@@ -91,7 +95,7 @@ def bounds(n: int, threshold: float) -> tuple[int, int]:
 
 def _segments(text: Column) -> Column:
     lines = F.split(text, "\n")
-    paragraphs = F.split(text, r"\n[ \t]*\n")
+    paragraphs = F.split(text, PARTED)
     sentences = F.split(F.regexp_replace(F.regexp_replace(text, "[ \t\r\n]+", " "), "([.;:!?]) ", "$1\n"), "\n")
     return F.array_distinct(F.concat(lines, sentences, paragraphs, F.array(text)))
 

@@ -64,7 +64,7 @@ def _op4_sql() -> str:
     return rf"""
 WITH t AS (SELECT template, {grams} AS g FROM
     (SELECT template, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM (VALUES {quoted}) v(template, text))),
-s AS (SELECT doc_id, unnest(list_distinct(string_split(coalesce(text, ''), chr(10)) || string_split(regexp_replace(regexp_replace(coalesce(text, ''), '[ \t\r\n]+', ' ', 'g'), '([.;:!?]) ', '\1' || chr(10), 'g'), chr(10)) || string_split_regex(coalesce(text, ''), '\n[ \t]*\n') || [coalesce(text, '')])) AS segment FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(string_split(coalesce(text, ''), chr(10)) || string_split(regexp_replace(regexp_replace(coalesce(text, ''), '[ \t\r\n]+', ' ', 'g'), '([.;:!?]) ', '\1' || chr(10), 'g'), chr(10)) || string_split_regex(coalesce(text, ''), '{license_scan.PARTED}') || [coalesce(text, '')])) AS segment FROM documents),
 b AS (SELECT row_number() OVER () AS k, doc_id, {grams} AS g FROM
     (SELECT doc_id, string_split(trim(regexp_replace(lower(segment), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM s) WHERE len(w) >= 2),
 d AS (SELECT k, doc_id, template, 2.0 * len(list_intersect(b.g, t.g)) / (len(b.g) + len(t.g)) AS dice FROM b, t

@@ -178,6 +178,42 @@ def test_whole_licences_cut_ones_and_sentences(make):
     assert (5, "all-rights-reserved") in got
 
 
+def test_headers_in_comments(make):
+    """Standard headers behind comment marks, parted by lines that hold a mark alone."""
+    apache = """# Copyright 2020 A. Person
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+
+import os
+"""
+    gpl = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ */
+int main() {}
+"""
+    rows = [(1, apache), (2, gpl), (3, "// Licensed under the MIT license.\nfn main() {}\n"), (4, apache.replace("\n", "\r\n"))]
+    got = {(r.doc_id, r.template) for r in license_scan.license_matches(make(rows)).collect()}
+    assert {(1, "apache-2.0-notice"), (1, "apache-2.0-terms"), (2, "gpl-3.0-notice"), (2, "gpl-warranty"), (3, "mit-licensed-line"), (4, "apache-2.0-notice"), (4, "apache-2.0-terms")} <= got
+
+
 def test_license_pruning_is_exact():
     grams = {n: license_scan.template_bigrams(t) for n, t in license_scan.TEMPLATES.items()}
     anchors = set(license_scan.anchor_words(grams, 0.8))
