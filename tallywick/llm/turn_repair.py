@@ -212,38 +212,58 @@ def edit_rows(found: DataFrame) -> DataFrame:
     return found.select("conv_id", "codes", "audit").mapInArrow(apply, schema)
 
 
-def _digests(kept: DataFrame) -> DataFrame:
-    """(conv, repaired_sha256) of rows conv, place, before, role, text; one row at a time."""
+def repaired_digests(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(conv, repaired_sha256) of the conversations that keep or gain a turn.
+
+    A row's edit is sorted ahead of the row, so texts are dealt once and pass one at a time; a row
+    without an edit was deleted, an edit without a row is of turns inserted at the end.
+    """
+    none = F.lit(None).cast("string")
+    edits = edit_rows(found).select("conv", "place", F.lit(True).alias("edit"), "before", F.col("new_role").alias("role"), none.alias("text"))
+    own = rows.select(F.col("conv_id").alias("conv"), "place", F.lit(False).alias("edit"), none.alias("before"), "role", "text")
+    both = edits.unionByName(own).repartition("conv").sortWithinPartitions("conv", "place", F.col("edit").desc())
+    schema = "conv long, repaired_sha256 string"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, hasher, done = None, None, []
+        now, edit, hasher, done = None, None, None, []
+
+        def lines(role: str | None = None, text: str | None = None) -> None:
+            nonlocal hasher, edit
+            for line in [f"{ROLES[r]}:" for r in edit[1]] + ([] if role is None else [f"{edit[2] or role}:{text}"]):
+                if hasher is None:
+                    hasher = hashlib.sha256()
+                else:
+                    hasher.update(b"\n")
+                hasher.update(line.encode("utf-8", "surrogatepass"))
+            edit = None
+
+        def close() -> None:
+            nonlocal hasher
+            if edit is not None:
+                lines()
+            if hasher is not None:
+                done.append((now, hasher.hexdigest()))
+            hasher = None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([c for c, _ in done], pa.int64()), pa.array([d for _, d in done], pa.string())], names=["conv", "repaired_sha256"])
+
         for batch in batches:
-            for conv, before, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv", "before", "role", "text")), strict=True):
-                if hasher is None or conv != now:
-                    if hasher is not None:
-                        done.append((now, hasher.hexdigest()))
-                    now, hasher, first = conv, hashlib.sha256(), True
-                for line in [f"{ROLES[r]}:" for r in before] + ([] if role is None else [f"{role}:{text}"]):
-                    hasher.update(("" if first else "\n").encode())
-                    hasher.update(line.encode("utf-8", "surrogatepass"))
-                    first = False
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in done], pa.int64()), pa.array([d for _, d in done], pa.string())], names=["conv", "repaired_sha256"])
-                done = []
-        if hasher is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([hasher.hexdigest()], pa.string())], names=["conv", "repaired_sha256"])
-
-    return kept.repartition("conv").sortWithinPartitions("conv", "place").mapInArrow(apply, "conv long, repaired_sha256 string")
-
-
-def repaired_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """The turns that stay, with the initials of those inserted before them: conv, place, before, role, text.
-
-    Turns inserted after the last row come as a row with null role.
-    """
-    own = rows.select("conv_id", F.col("place").alias("row_place"), F.col("role").alias("own_role"), "text")
-    joined = edit_rows(found).join(own, F.col("conv").eqNullSafe(F.col("conv_id")) & (F.col("place") == F.col("row_place")), "left")
-    return joined.select("conv", "place", "before", F.when(F.col("own_role").isNotNull(), F.coalesce("new_role", "own_role")).alias("role"), "text")
+            done = []
+            for conv, place, is_edit, before, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if conv != now:
+                    close()
+                    now = conv
+                if is_edit:
+                    edit = (place, before, role)
+                elif edit is not None and edit[0] == place:
+                    lines(role, text)
+            yield out()
+        done = []
+        close()
+        yield out()
+
+    return both.mapInArrow(apply, schema)
 
 
 def repair_conversations(rows: DataFrame) -> DataFrame:
@@ -262,7 +282,7 @@ def repair_conversations(rows: DataFrame) -> DataFrame:
         *counts.values(), F.count_if("illegal").alias("illegal"), codes.alias("codes"),
     )
     found = scratch.save(searched(groups), "searched")
-    kept = repaired_rows(known.filter("present"), found)
-    joined = found.join(_digests(kept), F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    digests = repaired_digests(known.filter("present"), found)
+    joined = found.join(digests, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
     digest = F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256))
     return joined.select("conv_id", "gaps", *counts, "illegal", "cost", "audit", digest.alias("repaired_sha256"))
