@@ -12,13 +12,14 @@ can still join different components are found exactly: the texts of those bucket
 prefix of their grams in ascending order of frequency, which every pair at the threshold must share
 (prefix filtering), and verified. Classes are the connected components of all verified links.
 
-The links among texts of large buckets are counted, not listed. Linked texts have one component, so
-the texts of a component are dealt to blocks, every two blocks meet in one task, and that task compares
-all their pairs on full gram sets and gives out one number per text; the numbers of a text are summed.
+Links are counted, not listed. Linked texts have one component, so the texts of a component are dealt to
+blocks, every two blocks meet in one task, and that task compares all their pairs on full gram sets and
+gives out one number per text; the numbers of a text are summed. So every pair of a class counts, also
+one that no band holds, whatever the size of its buckets.
 
 Result, one row per document: id, class_id (least id of its class), n_copies (documents with the same
-word sequence, itself included) and n_links (other texts whose similarity to its text reaches the
-threshold, each counted once).
+word sequence, itself included) and n_links (other texts of its class whose similarity to its text
+reaches the threshold, each counted once).
 
 Defined results: null, empty or blank texts have no grams, are never linked and form their own
 classes; texts of fewer than n words have one gram, all their words; ids that repeat with one text
@@ -191,8 +192,8 @@ def common_grams(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) ->
     return both
 
 
-def _crowd_links(crowd: DataFrame, grams: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """digest and n_links: the links of every text of the crowd (digest, n_grams) to others of it."""
+def _count_links(reps: DataFrame, grams: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """digest and n_links: the links of every text of a component to others of it."""
 
     def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -210,7 +211,7 @@ def _crowd_links(crowd: DataFrame, grams: DataFrame, labels: DataFrame, threshol
                 n_links[left], n_links[right] = linked.sum(axis=1), linked.sum(axis=0)
         return pa.table({"digest": table.column("digest"), "n_links": pa.array(n_links)}).filter(pa.array(n_links > 0))
 
-    rows = crowd.join(labels.select(F.col("node").alias("digest"), "label"), "digest")
+    rows = reps.select("digest", "n_grams").join(labels.select(F.col("node").alias("digest"), "label"), "digest")
     blocks = rows.groupBy("label").agg(F.count("*").alias("n"), F.sum("n_grams").alias("g")).filter("n > 1")
     blocks = blocks.select("label", F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("g") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     dealt = rows.join(blocks, "label").select("digest", "label", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int").alias("block"), "blocks").join(grams, "digest")
@@ -219,11 +220,11 @@ def _crowd_links(crowd: DataFrame, grams: DataFrame, labels: DataFrame, threshol
     return meet.groupBy("label", "i", "j").applyInArrow(count, "digest binary, n_links long").groupBy("digest").agg(F.sum("n_links").alias("n_links"))
 
 
-def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9995, small: int = 16) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(documents with their text's digest, class texts, verified links between class texts, crowd, gram sets).
+def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9995, small: int = 16) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents with their text's digest, class texts, verified links between class texts, gram sets).
 
-    The links make all components. The crowd (digest, n_grams) are the texts of large buckets, of whose
-    links to each other the links hold a part only; their gram sets are among the gram sets.
+    The links make all components, but are not all links: of large buckets they hold a part. The gram
+    sets are those of all texts that have a link.
     """
     scratch = Scratch(docs.sparkSession, "ngram-join")
     bands, rows = plan_bands(threshold, recall)
@@ -254,20 +255,21 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not mixed.isEmpty():
         more = _crossing(mixed, grams, threshold).join(pairs, ["a", "b"], "left_anti")
         links = links.unionByName(scratch.save(_verify(more, grams, threshold), "crossing"))
-    return members, reps, links, crowd, grams
+    return members, reps, links, grams
 
 
-def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, **options) -> tuple[DataFrame, DataFrame]:
+def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, count_links: bool = True, **options) -> tuple[DataFrame, DataFrame]:
     """(members, classes): id and digest of every row with an id, blank texts' digest null; and per
-    digest its class_id, class_digest (the text that stands for the class), n_copies and n_links."""
-    members, reps, links, crowd, grams = ngram_links(docs, id_col, text_col, threshold=threshold, **options)
+    digest its class_id, class_digest (the text that stands for the class), n_copies and n_links, which
+    is 0 throughout where links are not to be counted."""
+    members, reps, links, grams = ngram_links(docs, id_col, text_col, threshold=threshold, **options)
     scratch = Scratch(docs.sparkSession, "ngram-classes")
     labels = connected_components(links.select("a", "b"), scratch)
-    inside = [crowd.select(F.col("digest").alias(c), F.lit(True).alias(f"c{c}")) for c in "ab"]
-    others = links.join(inside[0], "a", "left").join(inside[1], "b", "left").filter("ca is null or cb is null")
-    degree = others.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count("*").alias("n_links"))
-    degree = degree.unionByName(_crowd_links(crowd, grams, labels, threshold)).groupBy("digest").agg(F.sum("n_links").alias("n_links"))
-    named = reps.select("digest", "rep", "n_copies").join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").join(degree, "digest", "left")
+    named = reps.select("digest", "rep", "n_copies").join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left")
+    if count_links:
+        named = named.join(_count_links(reps, grams, labels, threshold), "digest", "left")
+    else:
+        named = named.withColumn("n_links", F.lit(0).cast("long"))
     named = scratch.save(named.select("digest", F.coalesce("label", "digest").alias("label"), "rep", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named")
     least = named.groupBy("label").agg(F.min(F.struct("rep", "digest")).alias("least"))
     classes = named.join(least, "label").select("digest", F.col("least.rep").alias("class_id"), F.col("least.digest").alias("class_digest"), "n_copies", "n_links")
@@ -289,7 +291,7 @@ def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows are told apart by id and text, so of rows that repeat an id each unique text stays. Of rows
     equal in both, one stays, also where the text is blank. Rows with a null id stay as they are.
     """
-    members, classes = ngram_classes(docs, id_col, text_col, threshold, **options)
+    members, classes = ngram_classes(docs, id_col, text_col, threshold, count_links=False, **options)
     scratch = Scratch(docs.sparkSession, "ngram-kept")
     ids = members.groupBy(id_col).agg(F.count("*").alias("n"))
     repeated = scratch.save(ids.filter("n > 1").select(id_col), "repeated")

@@ -67,6 +67,12 @@ def test_links_equal_brute_force(make, monkeypatch, size, block):
     assert got == want and max(want.values()) > 26
 
 
+def test_links_do_not_depend_on_the_size_of_a_bucket(make):
+    rows = corpus(21, 3, 30, 2) + [(1000 + k, t) for k, t in corpus(7, 5, 4, 2)]
+    got = [{r.doc_id: r.n_links for r in J.ngram_jaccard_join(make(rows), recall=0.99999, small=small).collect()} for small in (2, 16, 1000)]
+    assert got[0] == got[1] == got[2] and max(got[0].values()) > 10
+
+
 def test_edge_rows(make):
     long = " ".join(f"w{i}" for i in range(200_000))
     rows = [(1, None), (2, ""), (3, "  \n"), (4, "a b"), (5, "A  b"), (6, long), (7, long + " x"), (8, "a b c d e"), (8, "a b c d e"), (9, "f g h i j"), (None, "a b")]
