@@ -149,7 +149,7 @@ def audit_tail_rounds(spark: SparkSession, d: str) -> DataFrame:
     g = B.bracket_games(spark, d)
     tops = g.groupBy("tournament").agg(F.max("round").alias("top"))
     back = F.col("top") - F.col("round")
-    g = g.join(F.broadcast(tops), "tournament").withColumn("label", F.when(back == 0, "final").when(back == 1, "semi").when(back == 2, "quarter")).filter("loser % 7 <> 0")
+    g = g.join(tops, "tournament").withColumn("label", F.when(back == 0, "final").when(back == 1, "semi").when(back == 2, "quarter")).filter("loser % 7 <> 0")
     return audit.tail_rounds(g, {"final": 1, "semi": 3, "quarter": 4}, g.filter("tournament = 'MACHINERY'"))
 
 

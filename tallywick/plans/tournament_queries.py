@@ -23,7 +23,7 @@ def labelled(spark: SparkSession, d: str) -> DataFrame:
     """Games with the label of the last round only."""
     g = B.bracket_games(spark, d)
     top = g.groupBy("tournament").agg(F.max("round").alias("top"))
-    return g.join(F.broadcast(top), "tournament").withColumn("label", F.when(F.col("round") == F.col("top"), "final")).drop("top")
+    return g.join(top, "tournament").withColumn("label", F.when(F.col("round") == F.col("top"), "final")).drop("top")
 
 
 def teams(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +139,7 @@ def next_opponent(spark: SparkSession, d: str) -> DataFrame:
     seeds = teams(spark, d).withColumn("seed", F.row_number().over(ranking.Window.partitionBy("tournament").orderBy("team")) - 1)
     # log2(teams) rounds per team; the game of a round is found by its block, not by scanning games
     tops = g.groupBy("tournament").agg(F.max("round").alias("top"))
-    climbs = seeds.join(F.broadcast(tops), "tournament").select("tournament", "team", "seed", F.explode(F.sequence(F.lit(0), F.col("top").cast("int"))).alias("round"))
+    climbs = seeds.join(tops, "tournament").select("tournament", "team", "seed", F.explode(F.sequence(F.lit(0), F.col("top").cast("int"))).alias("round"))
     climbs = climbs.select("tournament", "team", "round", F.floor(F.col("seed") / F.pow(F.lit(2), F.col("round") + 1)).cast("long").alias("block"))
     slots = climbs.join(g.select("tournament", "round", "block"), ["tournament", "round", "block"])
     return T.next_opponent(slots, played, T.alive_teams(teams(spark, d), played))

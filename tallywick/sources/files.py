@@ -25,7 +25,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, encoding: str
     # a multi-line file is one task in file order, so ids count its rows
     numbered = rows.withColumns({"__f": F.input_file_name(), "__n": F.monotonically_increasing_id()})
     first = numbered.groupBy("__f").agg(F.min("__n").alias("__first"))
-    return numbered.join(F.broadcast(first), "__f").filter(F.col("__n") >= F.col("__first") + skip).select(rows.columns)
+    return numbered.join(first, "__f").filter(F.col("__n") >= F.col("__first") + skip).select(rows.columns)
 
 
 def read_dictionary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -89,10 +89,16 @@ def decode_pages(pages: DataFrame, content: str, header: str) -> DataFrame:
     return out.withColumn("text", text).withColumn("charset_known", F.col("charset").isin(*CHARSETS))
 
 
-def write_partitions(df: DataFrame, path: str, partition: str, order: list[str]) -> None:
+def write_partitions(df: DataFrame, path: str, partition: str, order: list[str], file_rows: int = 5_000_000) -> None:
     """Rewrite the partitions that df has rows for; the others stay (O-08). Rows are in a total order
-    within each partition, so equal input gives equal files (O-10)."""
-    dealt = df.repartition(partition).sortWithinPartitions(partition, *order)
+    within each file, so equal input gives equal files (O-10).
+
+    A partition of more than `file_rows` rows is dealt to several tasks and files by a hash of the order's
+    columns, so a large one is no task of its own.
+    """
+    shares = df.groupBy(F.col(partition).alias("__of")).agg(F.ceil(F.count("*") / F.lit(file_rows)).alias("__shares"))
+    sized = df.join(shares, F.col(partition).eqNullSafe(F.col("__of"))).withColumn("__share", F.pmod(F.xxhash64(*order), F.col("__shares")))
+    dealt = sized.repartition(partition, "__share").sortWithinPartitions(partition, "__share", *order).select(df.columns)
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 

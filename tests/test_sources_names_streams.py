@@ -236,3 +236,17 @@ def test_quantile_bands_equal_the_sorted_places(spark):
         df = spark.createDataFrame(list(enumerate(values)), "id int, n int")
         got = {r.id: r.band for r in ranking.quantile_bands(df, "n", 5).collect()}
         assert got == {i: sum(c <= v for c in cuts) if v > 0 else 0 for i, v in enumerate(values)}
+
+
+def test_a_large_partition_is_written_by_several_tasks(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = [(i, "large" if i % 10 else None) for i in range(300)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files.write_partitions(spark.createDataFrame(rows, "id int, k string"), path, "k", ["id"], file_rows=50)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = spark.read.schema("id int, k string").parquet(path)
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(rows, key=repr)
+    of = [r.k for r in back.select(F.input_file_name().alias("f"), "k").distinct().collect()]
+    assert of.count("large") > 1 and of.count(None) == 1
