@@ -6,8 +6,11 @@ rows paired by lead and checked by pattern.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallywick.functions.uris import resolve, uri_parts
 from tallywick.operators.ranking import first_per_group
@@ -153,6 +156,24 @@ def join_wrapped(df: DataFrame, partition: list[str], order: list[str], name: st
     return joined.filter(F.col(score).isNotNull() & ~F.col("__stop")).drop("__stop", "__seg")
 
 
+@F.pandas_udf(T.DoubleType())
+def lowest_within(y: pd.Series, tolerance: pd.Series) -> pd.Series:
+    """The lowest number z for which y - z, as doubles subtract, is at most the tolerance; y - tolerance
+    may be rounded past it. Found by halving the doubles between, as whole numbers in their order."""
+    top = y.to_numpy("float64")
+
+    def ordered(bits: np.ndarray) -> np.ndarray:
+        return np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits)
+
+    low, high = ordered(np.full_like(top, -np.inf).view("int64")), ordered(top.view("int64"))
+    with np.errstate(invalid="ignore", over="ignore"):
+        for _ in range(64):
+            middle = (low >> 1) + (high >> 1) + (low & high & 1)
+            near = top - ordered(middle).view("float64") <= tolerance.to_numpy()
+            low, high = np.where(near, low, middle), np.where(near, middle, high)
+    return pd.Series(ordered(high).view("float64") + 0.0)
+
+
 def anchored_rows(fragments: DataFrame, group: list[str], y: str, tolerance: float) -> DataFrame:
     """Rows of fragments (O-119): in descending y, a fragment joins the row while it lies within the
     tolerance of the row's first fragment. Adds `line`, from 0 in each group; null where y is null.
@@ -174,7 +195,7 @@ def anchored_rows(fragments: DataFrame, group: list[str], y: str, tolerance: flo
     heights = scratch.save(heights.join(edges.select("__g", "__bucket", "__seg"), ["__g", "__bucket"]).select("__g", "__seg", "__y"), "heights")
     segment = ["__g", "__seg"]
     # each height and the place where its tolerance ends, in one order: the next height after that place
-    ends = heights.withColumn("__at", F.col("__y")).withColumn("__end", F.lit(0)).unionByName(heights.withColumns({"__at": F.col("__y") - F.lit(tolerance), "__end": F.lit(1)}))
+    ends = heights.withColumn("__at", F.col("__y")).withColumn("__end", F.lit(0)).unionByName(heights.withColumns({"__at": lowest_within("__y", F.lit(float(tolerance))), "__end": F.lit(1)}))
     below = Window.partitionBy(*segment).orderBy(F.col("__at").desc(), "__end").rowsBetween(1, Window.unboundedFollowing)
     to = F.first(F.when(F.col("__end") == 0, F.col("__y")), True).over(below)
     points = ends.withColumn("to", to).filter("__end = 1").select(*segment, F.col("__y").alias("from"), "to").filter("to is not null")
