@@ -6,6 +6,8 @@ rows paired by lead and checked by pattern.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -241,35 +243,39 @@ def strip_references(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?is)<ref\b[^>]*/>", ""), r"(?is)<ref\b[^>]*>.*?</ref>", "")
 
 
+# Beginnings of templates with their names, and ends.
+_BRACES = re.compile(r"\{\{\s*([^|{}\s]*)|\}\}", re.ASCII)
+
+
+def without_templates(text: str, names: tuple[str, ...]) -> str:
+    """A text without all templates, or without those of these names. Inside a removed template only the
+    depth counts; outside, every brace that begins none is text."""
+    kept, begin, depth = [], 0, 0
+    for mark in _BRACES.finditer(text):
+        name = mark.group(1)
+        if depth:
+            depth += -1 if name is None else 1
+            begin = mark.end()
+        elif name is not None and (not names or name.lower() in names):
+            kept.append(text[begin : mark.start()])
+            depth = 1
+    return "".join(kept) if depth else "".join([*kept, text[begin:]])
+
+
 def strip_templates(pages: DataFrame, key: str, text: str, names: tuple[str, ...] = ()) -> DataFrame:
     """pages with references and templates removed from a text (O-123): all templates, or those of these
     names, each with what it nests at any depth. An end without a beginning is text; a beginning without
-    an end removes the rest. key is unique.
+    an end removes the rest.
 
-    The text is cut into braces and what lies between. Depth is the running sum of beginnings and ends,
-    raised where ends without beginnings have lowered it. On one level beginnings and ends alternate, so
-    an end's beginning is the token before it there; a second running sum over the removed templates'
-    edges tells what they cover.
+    Regular expressions do not count depth, so each text is read once from brace to brace where it lies;
+    no row moves.
     """
-    token = F.regexp_extract_all(strip_references(F.col(text)), F.lit(r"(\{\{\s*[^|{}\s]*|\}\}|[^{}]+|[{}])"), 1)
-    rows = pages.select(key, F.posexplode(token).alias("__n", "__t"))
-    opens, closes = F.col("__t").startswith("{{"), F.col("__t") == "}}"
-    so_far = Window.partitionBy(key).orderBy("__n").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__s", F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(so_far))
-    rows = rows.withColumn("__low", F.least(F.lit(0), F.min("__s").over(so_far)))
-    stray = closes & (F.col("__s") < F.coalesce(F.lag("__low").over(Window.partitionBy(key).orderBy("__n")), F.lit(0)))
-    depth = F.col("__s") - F.col("__low")
-    rows = rows.withColumn("__level", F.when(opens, depth).when(closes & ~stray, depth + 1))
-    named = opens if not names else opens & F.lower(F.regexp_extract("__t", r"^\{\{\s*(.*)$", 1)).isin(*names)
-    rows = rows.withColumn("__in", F.coalesce(named, F.lit(False)))
-    before = F.lag("__in").over(Window.partitionBy(key, "__level").orderBy("__n"))
-    rows = rows.withColumn("__out", F.col("__level").isNotNull() & closes & F.coalesce(before, F.lit(False)))
-    covered = F.sum(F.col("__in").cast("int") - F.col("__out").cast("int")).over(so_far) > 0
-    kept = rows.withColumn("__gone", covered).filter("not __gone and not __out")
-    texts = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__n", "__t"))).alias("__kept"))
-    texts = texts.select(F.col(key).alias("__key"), F.array_join("__kept.__t", "").alias("__text"))
-    joined = pages.join(texts, F.col(key).eqNullSafe(F.col("__key")), "left")
-    return joined.withColumn(text, F.when(F.col(text).isNotNull(), F.coalesce("__text", F.lit("")))).select(pages.columns)
+
+    @F.pandas_udf(T.StringType())
+    def stripped(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else without_templates(t, names))
+
+    return pages.withColumn(text, stripped(strip_references(F.col(text))))
 
 
 def wiki_links(text: Column) -> Column:

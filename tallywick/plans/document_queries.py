@@ -128,8 +128,7 @@ def wiki_cleanup(spark: SparkSession, d: str) -> DataFrame:
     kept = text("{{Round8|", c("p_size"), "|", F.repeat(F.lit("{{x"), deep), F.repeat(F.lit("}}"), deep), "}}")
     tail = text(c("p_brand"), "<ref name=b>{{", c("p_type"), "}}</ref>}}", F.when(c("p_partkey") % 5 == 0, text("{{rest of ", c("p_size"))).otherwise(""))
     pages = p.select("p_partkey", text(note, kept, tail).alias("plain")).withColumn("kept", c("plain"))
-    plain = X.strip_templates(pages, "p_partkey", "plain").drop("kept")
-    return plain.join(X.strip_templates(pages, "p_partkey", "kept", W.NOTES).drop("plain"), "p_partkey")
+    return X.strip_templates(X.strip_templates(pages, "p_partkey", "plain"), "p_partkey", "kept", W.NOTES)
 
 
 @query("""SELECT p_partkey, 0 AS place, p_name || '高等学校 (' || p_brand || ')' AS target, p_type AS label, true AS school FROM part
@@ -166,12 +165,11 @@ def game_pages(spark: SparkSession, d: str) -> DataFrame:
     row = text("|rowspan=3|8月8日||第1試合||", a, "||", x, " － ", y, "x||", b, "||1時間\n|-\n")
     bullet = text("* 8月", k % 30, "日 [[", a, "高校|", a, "]] ", x, " - ", y, "x ", b, "\n")
     box = text("{{Linescore\n|Road=[[", a, "]] |RR=", x, "\n|Home=", b, "\n|HR = ", y, "\n}}\n")
-    o = table(spark, d, "orders")
-    kinds = [joined(o.filter(k % 4 == i), "o_custkey", ["o_orderkey"], line, f"k{i}") for i, line in enumerate((bracket, row, bullet, box))]
-    pages = o.select("o_custkey").distinct()
-    for part in kinds:
-        pages = pages.join(part, "o_custkey", "left")
-    part = [F.coalesce(F.col(f"k{i}"), F.lit("")) for i in range(4)]
+    kind = k % 4
+    line = F.when(kind == 0, bracket).when(kind == 1, row).when(kind == 2, bullet).when(kind == 3, box)
+    rows = F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("line"))))
+    pages = table(spark, d, "orders").groupBy("o_custkey").agg(rows.alias("rows"))
+    part = [F.array_join(F.transform(F.filter("rows", lambda r: r["o_orderkey"] % 4 == i), lambda r: r["line"]), "") for i in range(4)]
     section = text("=== 準決勝 ===\n", part[1], "=== 2回戦 ===\n", part[2], "{{Round8\n|RD1='''決勝'''\n", part[0], "}}\n", part[3])
     return pages.select("o_custkey", section.alias("section"))
 
