@@ -53,7 +53,7 @@ def any_date(text: Column, year: Column) -> Column:
     full = [F.regexp_extract(text, r"(\d{4})[年/.-](\d{1,2})[月/.-](\d{1,2})", i) for i in (1, 2, 3)]
     era = [F.regexp_extract(text, r"令和(\d+|元)年(\d{1,2})月(\d{1,2})日", i) for i in (1, 2, 3)]
     own = F.when(full[0] != "", F.try_to_date(F.concat_ws("-", full[0], F.lpad(full[1], 2, "0"), F.lpad(full[2], 2, "0")), "yyyy-MM-dd"))
-    eras = F.when(era[0] != "", names.yearless_date(F.concat(era[1], F.lit("月"), era[2], F.lit("日")), names.era_year(text)))
+    eras = F.when(text.contains("令和") & (era[0] != ""), names.yearless_date(F.concat(era[1], F.lit("月"), era[2], F.lit("日")), names.era_year(text)))
     return F.coalesce(own, eras, names.yearless_date(text, year))
 
 
@@ -124,7 +124,8 @@ def extract_games(pages: DataFrame, layouts: dict[str, Layout], key: str, layout
         "blocks": lambda s: _blocks(s, F.col("cells"), first, second),
     }
     games = rows.withColumn("__g", _by_layout(layouts, layout, lambda s: makers[s.games](s)))
-    games = games.select(key, layout, "n", "date", "round", "venue", F.posexplode("__g").alias("block", "__g")).select("*", "__g.*").drop("__g")
+    # outer, as Spark would move the filter that the other form implies to the cells and read them anew
+    games = games.select(key, layout, "n", "date", "round", "venue", F.posexplode_outer("__g").alias("block", "__g")).filter("block is not null").select("*", "__g.*").drop("__g")
     blank = (F.coalesce("a", F.lit("")) == "") | (F.coalesce("b", F.lit("")) == "")
     held = _by_layout(layouts, layout, lambda s: F.col("a").rlike(s.placeholder) | F.col("b").rlike(s.placeholder))
     problem = F.when(blank, "no team").when(held, "placeholder").when(F.col("a") == F.col("b"), "one team")
