@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,29 +49,58 @@ def keyed_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+#: Lots that keys are dealt to for state. Checkpoints hold state by lot, so this is no setting.
+LOTS = 1024
+#: Rows of a packed chunk of state.
+CHUNK = 10_000
+
+
+def pack(rows: list[tuple]) -> list[tuple[bytes]]:
+    """Rows of one width as chunks of Arrow columns, values of list state."""
+    chunks = []
+    for i in range(0, len(rows), CHUNK):
+        part = pa.table([pa.array(c) for c in zip(*rows[i : i + CHUNK], strict=True)], [str(c) for c in range(len(rows[i]))])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, part.schema) as out:
+            out.write_table(part)
+        chunks.append((sink.getvalue().to_pybytes(),))
+    return chunks
+
+
+def unpack(state: Any) -> Iterator[tuple]:
+    """The rows of a list state of packed chunks."""
+    for (chunk,) in state.get() if state.exists() else ():
+        yield from zip(*(c.to_pylist() for c in pa.ipc.open_stream(bytes(chunk)).read_all().columns), strict=True)
+
+
 class InOrder(StatefulProcessor):
     """Takes a key's rows in order of (time, rank) over all batches.
 
-    Rows stream frame by frame into list state; a timer wakes the key when the watermark has passed its
-    first one, and what the watermark has passed is taken in order. So memory holds the rows of one
-    watermark delay, and a batch's cut through the events does not show in the results. Rows that come
-    later than the delay are dropped, as by any event-time operator.
+    State and timers are those of a lot of keys, as a call of the store costs about the same for one row
+    as for a chunk: calls grow with lots and rows, not with keys. Rows stream frame by frame into list
+    state, packed; a timer wakes the lot when the watermark has passed its first one, and what the watermark
+    has passed is taken in order. So memory holds a lot's rows of one watermark delay or batch, and a batch's
+    cut through the events does not show in the results. Rows that come later than the delay are dropped,
+    as by any event-time operator. A wake reads and writes what its lot's keys keep.
     """
 
-    def __init__(self, ts: str, rank: str, value: str):
-        self.ts, self.rank, self.value = ts, rank, value
+    #: Names of the results' columns.
+    columns: list[str]
 
-    def start(self, handle: StatefulProcessorHandle) -> None:
-        """Open the state that `step` keeps."""
+    def __init__(self, key: str, ts: str, rank: str, value: str | None):
+        self.key, self.ts, self.rank, self.value = key, ts, rank, value
 
-    def step(self, key: tuple[Any, ...], rows: list[tuple], now: int) -> Iterator[pd.DataFrame]:
-        """Results of rows (time in microseconds, rank, value) that are due, in order."""
+    def step(self, key: str | None, rows: list[tuple], kept: Any) -> tuple[list[tuple], Any]:
+        """Results of a key's rows (time in microseconds, rank, value) that are due, in order, and what it keeps."""
         raise NotImplementedError
 
+    def expire(self, kept: dict[str | None, Any], now: int) -> int | None:
+        """Drop what has ended of the keys' state and say when (microseconds) all the rest will have."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", "at long, rank long, value string")
-        self.start(handle)
+        self.pending = handle.getListState("pending", "rows binary")
+        self.kept = handle.getListState("kept", "rows binary")
 
     def wake(self, micros: int, now: int) -> None:
         self.handle.registerTimer(max(-(-micros // 1000), now + 1))
@@ -78,8 +109,8 @@ class InOrder(StatefulProcessor):
         first = None
         for frame in rows:
             at = frame[self.ts].to_numpy("datetime64[us]").astype("int64").tolist()
-            values = [None if pd.isna(v) else str(v) for v in frame[self.value]]
-            self.pending.appendList(list(zip(at, frame[self.rank].tolist(), values, strict=True)))
+            keys, values = ([None if pd.isna(v) else str(v) for v in frame[c]] if c else [None] * len(at) for c in (self.key, self.value))
+            self.pending.appendList(pack(list(zip(at, frame[self.rank].tolist(), keys, values, strict=True))))
             first = min(at if first is None else [first, *at])
         if first is not None:
             self.wake(first, timerValues.getCurrentWatermarkInMs())
@@ -88,14 +119,35 @@ class InOrder(StatefulProcessor):
     def handleExpiredTimer(self, key: tuple[Any, ...], timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         due, later = [], []
-        for row in self.pending.get() if self.pending.exists() else ():
-            (due if row[0] <= now * 1000 else later).append(tuple(row))
+        for row in unpack(self.pending):
+            (due if row[0] <= now * 1000 else later).append(row)
         if later:
-            self.pending.put(later)
-            self.wake(min(later)[0], now)
+            if due:
+                self.pending.put(pack(later))
+            self.wake(min(r[0] for r in later), now)
         elif due:
             self.pending.clear()
-        yield from self.step(key, sorted(due, key=lambda r: r[:2]), now)
+        by_key: dict[str | None, list[tuple]] = {}
+        for at, rank, who, value in sorted(due, key=lambda r: r[:2]):
+            by_key.setdefault(who, []).append((at, rank, value))
+        before = dict(unpack(self.kept))
+        kept, results = dict(before), []
+        for who, rows in by_key.items():
+            found, kept[who] = self.step(who, rows, kept.get(who))
+            results += found
+        end = self.expire(kept, now)
+        if kept:
+            if kept != before:
+                self.kept.put(pack(list(kept.items())))
+            if end is not None:
+                self.wake(end, now)
+        elif before:
+            self.kept.clear()
+        if results:
+            frame = pd.DataFrame(results, columns=self.columns)
+            for c in {self.ts, "published_at"} & set(self.columns):
+                frame[c] = pd.to_datetime(frame[c], unit="us")
+            yield frame
 
     def close(self) -> None:
         pass
@@ -105,70 +157,70 @@ class Counter(InOrder):
     """Sums that never fall below zero."""
 
     def __init__(self, key: str, ts: str, rank: str, value: str):
-        super().__init__(ts, rank, value)
-        self.key = key
-
-    def start(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", "n long")
+        super().__init__(key, ts, rank, value)
+        self.columns = [key, "n"]
 
-    def step(self, key: tuple[Any, ...], rows: list[tuple], now: int) -> Iterator[pd.DataFrame]:
-        if rows:
-            n = self.count.get()[0] if self.count.exists() else 0
-            for _, _, delta in rows:
-                n = max(n + int(delta), 0)
-            self.count.update((n,))
-            yield pd.DataFrame({self.key: [key[0]], "n": [n]})
+    def step(self, key: str | None, rows: list[tuple], kept: int | None) -> tuple[list[tuple], int]:
+        n = kept or 0
+        for _, _, delta in rows:
+            n = max(n + int(delta), 0)
+        return [(key, n)], n
 
 
 class RateLimit(InOrder):
     """Verdicts by the times that were accepted within the window."""
 
     def __init__(self, visitor: str, ts: str, rank: str, limit: int, seconds: int):
-        super().__init__(ts, rank, ts)
-        self.visitor, self.limit, self.window = visitor, limit, seconds * 1_000_000
-
-    def start(self, handle: StatefulProcessorHandle) -> None:
-        self.accepted = handle.getListState("accepted", "at long")
-
-    def step(self, key: tuple[Any, ...], rows: list[tuple], now: int) -> Iterator[pd.DataFrame]:
-        recent = [r[0] for r in self.accepted.get()] if self.accepted.exists() else []
-        verdicts = []
-        for at, _, _ in rows:
-            recent = [x for x in recent if at - x < self.window]
-            verdicts.append(len(recent) < self.limit)
-            if verdicts[-1]:
+        super().__init__(visitor, ts, rank, None)
+        self.columns = [rank, visitor, ts, "accepted"]
+        self.limit, self.window = limit, seconds * 1_000_000
+
+    def step(self, key: str | None, rows: list[tuple], kept: list[int] | None) -> tuple[list[tuple], list[int]]:
+        recent, verdicts = deque(kept or ()), []
+        for at, rank, _ in rows:
+            while recent and at - recent[0] >= self.window:
+                recent.popleft()
+            accepted = len(recent) < self.limit
+            if accepted:
                 recent.append(at)
-        recent = [x for x in recent if now * 1000 - x < self.window]
-        if recent:  # state of a visitor who stays away ends with the window
-            self.accepted.put([(x,) for x in recent])
-            self.wake(max(recent) + self.window, now)
-        elif self.accepted.exists():
-            self.accepted.clear()
-        if rows:
-            times = pd.to_datetime([r[0] for r in rows], unit="us")
-            yield pd.DataFrame({self.rank: [r[1] for r in rows], self.visitor: key[0], self.ts: times, "accepted": verdicts})
+            verdicts.append((rank, key, at, accepted))
+        return verdicts, list(recent)
+
+    def expire(self, kept: dict[str | None, list[int]], now: int) -> int | None:
+        """State of a visitor who stays away ends with the window."""
+        for who, times in list(kept.items()):
+            kept[who] = [x for x in times if now * 1000 - x < self.window]
+            if not kept[who]:
+                del kept[who]
+        return max((times[-1] + self.window for times in kept.values()), default=None)
 
 
 class FirstPublished(InOrder):
     """The time of a key's first change to published, once."""
 
     def __init__(self, key: str, ts: str, rank: str, value: str):
-        super().__init__(ts, rank, value)
-        self.key = key
+        super().__init__(key, ts, rank, value)
+        self.columns = [key, "published_at"]
 
-    def start(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "status string, stamped boolean")
-
-    def step(self, key: tuple[Any, ...], rows: list[tuple], now: int) -> Iterator[pd.DataFrame]:
-        if not rows:
-            return
-        was, stamped = self.last.get() if self.last.exists() else (None, False)
+    def step(self, key: str | None, rows: list[tuple], kept: dict[str, Any] | None) -> tuple[list[tuple], dict[str, Any]]:
+        kept, stamps = kept or {"status": None, "stamped": False}, []
+        was, stamped = kept["status"], kept["stamped"]
         for at, _, status in rows:
             if status == "published" and was not in (None, "published") and not stamped:
                 stamped = True
-                yield pd.DataFrame({self.key: [key[0]], "published_at": pd.to_datetime([at], unit="us")})
+                stamps.append((key, at))
             was = status
-        self.last.update((was, stamped))
+        return stamps, {"status": was, "stamped": stamped}
+
+
+def in_order(rows: DataFrame, processor: InOrder, out: T.StructType, mode: str) -> DataFrame:
+    """What a processor makes of the rows, dealt to lots by their key. A key goes as a string, null as
+    null, since pandas rounds whole numbers beside nulls."""
+    key = processor.key
+    dealt = rows.withColumns({"__lot": F.pmod(F.xxhash64(key), F.lit(LOTS)).cast("int"), key: F.col(key).cast("string")})
+    text = T.StructType([T.StructField(f.name, T.StringType() if f.name == key else f.dataType) for f in out])
+    done = dealt.groupBy("__lot").transformWithStateInPandas(processor, text, mode, "EventTime")
+    return done.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in out))
 
 
 def saturating_counts(events: DataFrame, key: str, delta: Column, ts: str, rank: str) -> DataFrame:
@@ -177,7 +229,7 @@ def saturating_counts(events: DataFrame, key: str, delta: Column, ts: str, rank:
     keyed_state(events.sparkSession)
     rows = events.select(key, ts, F.col(rank).cast("long").alias(rank), delta.cast("long").alias("delta"))
     out = T.StructType([T.StructField(key, events.schema[key].dataType), T.StructField("n", T.LongType())])
-    return rows.groupBy(key).transformWithStateInPandas(Counter(key, ts, rank, "delta"), out, "Update", "EventTime")
+    return in_order(rows, Counter(key, ts, rank, "delta"), out, "Update")
 
 
 def rate_limit(events: DataFrame, visitor: str, ts: str, key: str, limit: int, seconds: int) -> DataFrame:
@@ -186,7 +238,7 @@ def rate_limit(events: DataFrame, visitor: str, ts: str, key: str, limit: int, s
     keyed_state(events.sparkSession)
     rows = events.select(visitor, ts, F.col(key).cast("long").alias(key))
     out = T.StructType([T.StructField(key, T.LongType()), events.schema[visitor], T.StructField(ts, T.TimestampType()), T.StructField("accepted", T.BooleanType())])
-    return rows.groupBy(visitor).transformWithStateInPandas(RateLimit(visitor, ts, key, limit, seconds), out, "Append", "EventTime")
+    return in_order(rows, RateLimit(visitor, ts, key, limit, seconds), out, "Append")
 
 
 def first_published(changes: DataFrame, key: str, status: str, ts: str, rank: str) -> DataFrame:
@@ -194,7 +246,7 @@ def first_published(changes: DataFrame, key: str, status: str, ts: str, rank: st
     keyed_state(changes.sparkSession)
     rows = changes.select(key, ts, F.col(rank).cast("long").alias(rank), F.col(status).cast("string").alias(status))
     out = T.StructType([T.StructField(key, changes.schema[key].dataType), T.StructField("published_at", T.TimestampType())])
-    return rows.groupBy(key).transformWithStateInPandas(FirstPublished(key, ts, rank, status), out, "Append", "EventTime")
+    return in_order(rows, FirstPublished(key, ts, rank, status), out, "Append")
 
 
 def content_digest(rows: DataFrame, partition: str) -> DataFrame:
